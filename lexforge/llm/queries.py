@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -19,5 +31,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality, op8_toxicity)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packing
+
+    return packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op7_quality, op8_toxicity, op9_packing)}
 ORACLES: dict[str, str] = {}
