@@ -37,5 +37,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op7_quality, op8_toxicity, op9_packing)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
 ORACLES: dict[str, str] = {}
