@@ -226,3 +226,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     named = classes.select("set_key", "rep").join(part.withColumnRenamed("u", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("c"))
     out = own.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` without the near copies of a document with a smaller id; of rows with one id one stays.
+
+    Rows without an id, or whose text has no words, are no copies of anything and stay.
+    """
+    found = near_duplicates(docs, words, threshold)
+    gone = stored(found.where("not kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(once.select(docs.columns))
