@@ -19,6 +19,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -43,5 +49,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op4_imatch, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
 ORACLES: dict[str, str] = {}
