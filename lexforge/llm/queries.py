@@ -19,6 +19,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprints
 
@@ -49,5 +57,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_imatch, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_bpe, op4_imatch, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
 ORACLES: dict[str, str] = {}
