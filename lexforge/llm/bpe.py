@@ -6,12 +6,12 @@ joining the pair whose merged piece has the lowest rank, leftmost first. The ran
 map is a literal: a table of all pairs of pieces whose concatenation is a piece,
 under a perfect hash (displace, then look up one slot).
 
-Words in a text are replaced by ids in two ways, after one count of all words. The
-FREQUENT most common words and their ids are broadcast (a bound on rows and, with
-LONG_WORD, on bytes). Every other word's ids are joined to the texts' rows by a
-shuffle of the (text, word) pairs that are not in that table. Words of more than
-LONG_WORD bytes are not folded, as each step copies the array: they are merged
-over a heap in Python, with the same result, in n log n.
+After one count of all words, the FREQUENT most common ones are encoded and
+broadcast (a bound on rows and, with LONG_WORD, on bytes). Every text's other
+distinct words are encoded in its own row by the same expression: no text and no
+word is shuffled for it. Words of more than LONG_WORD bytes are not folded, as each
+step copies the array: they are merged over a heap in Python, with the same
+result, in n log n.
 
 A null or empty text has no ids. Repeated rows are encoded alike and stay, as do
 rows with null ids. An empty table gives an empty one.
@@ -29,11 +29,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .common import stored
 from .imatch import let
 
-FREQUENT = 100_000
+FREQUENT = 300_000
 LONG_WORD = 64
 COUNTED = 200_000
 NONE = 1 << 30
@@ -173,92 +175,78 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(texts: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> dict[str, str]:
+    """At most ``most`` words, the commonest, each with its ids joined by spaces."""
+    counts = stored(word_counts(texts, pattern).where(F.octet_length("word") <= LONG_WORD))
+    # the least count is found by eighths of a power of two: a few hundred rows whatever the corpus
+    step = F.floor(F.log2("n") * 8).cast("int")
+    taken, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        taken += r.words
+        if taken > most:
+            break
+        least = r.step
+    ranks = read_ranks(path)
+    top = counts.where(step >= least).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "word")
+    found = top.select("word", F.array_join(folded(F.col("word"), ranks, PairTable(ranks)), " ").alias("ids")).toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every row: doc_id, ids (array of int)."""
-    return _applied(docs, path, pattern, id_col, text_col, digest=False)
+    return _applied(docs, path, pattern, id_col, text_col, "ids array<int>", ids_of)
 
 
-def _applied(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    ranks = read_ranks(path)
+def _applied(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, rows_of) -> DataFrame:
+    """Each text's ids, as ``rows_of(words, their ids as text, pieces by id as text)`` gives them."""
+    kind, ranks = dict(docs.dtypes)[id_col], read_ranks(path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = word_counts(rows, pattern)
-    short = F.octet_length("word") <= LONG_WORD
-    words = stored(counts.where(short).select("word", "n", folded(F.col("word"), ranks, PairTable(ranks)).alias("ids")))
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids").toArrow()
-    frequent = spark.sparkContext.broadcast((top.column(0).combine_chunks(), top.column(1).combine_chunks()))
-
-    def known() -> dict[str, list[int]]:
-        names, ids = frequent.value
-        return dict(zip(names.to_pylist(), ids.to_pylist(), strict=True))
-
-    # (row, word) pairs whose ids have to be fetched; a row is named by its place, which a repeated task finds again
-    placed = rows.withColumn("row", F.monotonically_increasing_id())
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, path, pattern))
 
     def rare(batches):
         import regex
 
-        find, table = regex.compile(pattern).findall, frozenset(frequent.value[0].to_pylist())
+        find, table = regex.compile(pattern).findall, known.value
         for batch in batches:
-            row, word = [], []
-            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [w for w in set(find(text)).difference(table) if len(w) <= LONG_WORD and len(w.encode()) <= LONG_WORD]
-                row += [r] * len(own)
-                word += own
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string())], ["row", "word"])
-
-    pairs = placed.select("row", "text").mapInArrow(rare, "row long, word string").join(words.select("word", "ids"), "word")
-    fetched = pairs.groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    both = placed.join(fetched, "row", "left").select("doc_id", "text", "own")
-    schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids"]
+            own = [[w for w in set(find(t)) if w not in table and len(w) <= LONG_WORD and len(w.encode()) <= LONG_WORD] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string()))], ["doc_id", "text", "rare"])
+
+    table = PairTable(ranks)
+    own = rows.mapInArrow(rare, f"doc_id {kind}, text string, rare array<string>")
+    own = own.withColumn("ids", F.transform("rare", lambda w: F.array_join(folded(w, ranks, table), " ")))
 
     def apply(batches):
         import regex
 
-        find, table = regex.compile(pattern).findall, known()
-        pieces = {r: p for p, r in ranks_here().items()}
-        shown = {w: " ".join(map(str, i)) for w, i in table.items()} if digest else {}
+        find, shared, here = regex.compile(pattern).findall, known.value, read_ranks(path)
+        pieces = {str(r): p for p, r in here.items()}
         for batch in batches:
             out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                mine = {x["word"]: x["ids"] for x in own or ()}
+            for text, words, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 found = find(text)
+                mine = dict(zip(words, ids, strict=True))
                 for w in set(found):
-                    if w not in table and w not in mine:
-                        mine[w] = heap_encode(w.encode(), ranks_here())
-                out.append(digested(found, table, shown, mine, pieces) if digest else [i for w in found for i in (mine[w] if w in mine else table[w])])
-            columns = [pa.array(c) for c in zip(*out, strict=True)] if digest else [pa.array(out, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+                    if w not in shared and w not in mine:
+                        mine[w] = " ".join(map(str, heap_encode(w.encode(), here)))
+                out.append(rows_of([mine[w] if w in mine else shared[w] for w in found], pieces))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    fields = StructType.fromDDL(schema).fields
+    kinds, names = [to_arrow_type(f.dataType) for f in fields], ["doc_id", *(f.name for f in fields)]
+    return own.mapInArrow(apply, f"doc_id {kind}, {schema}")
 
-    def ranks_here() -> Ranks:
-        return read_ranks(path)
 
-    return both.mapInArrow(apply, schema)
+def ids_of(words: list[str], pieces: dict[str, bytes]) -> tuple[list[int]]:
+    return ([int(i) for w in words for i in w.split(" ")],)
 
 
-def digested(found, table, shown, mine, pieces) -> tuple[int, str, str]:
+def digests_of(words: list[str], pieces: dict[str, bytes]) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the bytes they decode to."""
-    if mine:
-        own = {w: " ".join(map(str, i)) for w, i in mine.items()}
-        text = " ".join([own[w] if w in own else shown[w] for w in found])
-    else:
-        text = " ".join([shown[w] for w in found])
-    decode = decoder(pieces)
-    raw = b"".join(map(decode.__getitem__, text.split(" "))) if text else b""
+    text = " ".join(words)
+    raw = b"".join(map(pieces.__getitem__, text.split(" "))) if text else b""
     return text.count(" ") + 1 if text else 0, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
-_decoders: dict[int, dict[str, bytes]] = {}
-
-
-def decoder(pieces: dict[int, bytes]) -> dict[str, bytes]:
-    if id(pieces) not in _decoders:
-        _decoders.clear()
-        _decoders[id(pieces)] = {str(i): p for i, p in pieces.items()}
-    return _decoders[id(pieces)]
-
-
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``bytes``: the pieces of the ids, one binary after another. Null ids are the empty array."""
     pieces = [None] * (max(read_ranks(path).values()) + 1)
@@ -271,4 +259,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The query's rows: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _applied(docs, path, pattern, "doc_id", "text", digest=True)
+    return _applied(docs, path, pattern, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", digests_of)
