@@ -33,6 +33,18 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal
+
+    return personal(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -57,5 +69,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_bpe, op4_imatch, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_bpe, op4_imatch, op5_pii, op6_html, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
 ORACLES: dict[str, str] = {}
