@@ -13,6 +13,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets
 
@@ -69,5 +75,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_bpe, op4_imatch, op5_pii, op6_html, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_secrets, op3_bpe, op4_imatch, op5_pii, op6_html, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
 ORACLES: dict[str, str] = {}
