@@ -15,20 +15,20 @@ empty one. A hot id is dealt like any other since the row's place is hashed too.
 
 from __future__ import annotations
 
+import re
 import zlib
+from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 512
-#: ASCII white space, at which the pre-tokenizer always cuts and which it drops.
-BLANKS = " \t\n\r\x0b\x0c"
 
 
 class FirstFit:
@@ -100,31 +100,73 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, i
     return pieces
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 16-bit bytes; asked for in batches of unknown words."""
+#: The tokenizer's pre-tokens, here only for words of PLAIN characters, for which NFC changes nothing and lower case is one to one.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+class Memo(dict):
+    """A memo of two generations: at ``most`` entries the young one becomes the old one, whose entries come back when met."""
+
+    def __init__(self, make, most: int = 500_000) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
+        return out
+
+
+class WordIds:
+    """Ids of words without white space, as little-endian unsigned 16-bit bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > MEMO_ENTRIES:
-            self.clear()
-        unknown = [w for w in words if w not in self]
-        for start in range(0, len(unknown), 20_000):
-            part = unknown[start : start + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(found.ids, "<u2").tobytes()
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.model = self.tokenizer.model
+        #: Words and pre-tokens alike: a pre-token's ids do not depend on its neighbours.
+        self.words = Memo(self.word)
+
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return self.piece(word)
+        if not word:
+            return b""
+        if PLAIN.fullmatch(word):
+            pieces = PRETOKEN.findall(word.lower())
+            return b"".join(map(self.words.__getitem__, pieces)) if pieces != [word] else self.piece(word)
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack_ids(f"<{len(ids)}H", *ids)
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return pack_ids(f"<{len(ids)}H", *ids)
+
+
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: its memo serves the tasks that follow."""
+    return WordIds(path)
 
 
 def split_words(text: str) -> list[str]:
-    """At ASCII white space only."""
-    return text.translate(TO_BLANK).split(" ")
+    """At ASCII white space only, where the pre-tokenizer always cuts and which it drops; empty words have no ids."""
+    return BLANK.sub(" ", text).split(" ")
 
 
-TO_BLANK = str.maketrans(dict.fromkeys(BLANKS, " "))
+BLANK = re.compile("[\t\n\r\x0b\x0c]")
 
 
 def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,14 +174,12 @@ def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", t
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        memo = WordIds(path)
+        find = word_ids(path).words.__getitem__
         end = np.asarray([END_ID], "<u2").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                words = [split_words(t or "") for t in part.column(1).to_pylist()]
-                memo.learn(set().union(*words))
-                ids = [b"".join(map(memo.__getitem__, w)) + end for w in words]
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                ids = [b"".join(map(find, split_words(t or ""))) + end for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), part.column(2)], ["doc_id", "ids", "grp"])
 
     # the partition's number and the row's place in it are the same again if a task is repeated
