@@ -1,0 +1,2 @@
+"""Queries."""
+QUERIES, ORACLES = {}, {}
