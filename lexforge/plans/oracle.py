@@ -13,7 +13,7 @@ def lit(value: object) -> str:
         return "TRUE" if value else "FALSE"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
-    return repr(value)
+    return f"{value!r}::DOUBLE" if isinstance(value, float) else repr(value)
 
 
 def values(rows: list[tuple], names: str) -> str:

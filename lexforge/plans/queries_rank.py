@@ -1,2 +1,276 @@
-"""Queries."""
+"""Queries: plans, lanes, the pool, field scores, tiers, decay, proximity, diversity, quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring as C
+from ..functions import text as T
+from ..operators import metrics as M
+from ..operators import ranking as R
+from ..operators import search as S
+from . import oracle as O
+from .api import excerpt_window
+from .queries_search import Built, asked, best, doc_chunks, table, talk_chunks
+from .query_plan import EXTENSIONS, QueryPlan, classified
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+NOW = "2026-09-21 00:00:00"
+ASKED = [
+    (1, '"connection reset"', "diagnostic"), (2, "E0308", "diagnostic"), (3, "ts2345", "diagnostic"), (4, "ERR_CONN", "diagnostic"), (5, "error[E1]", "diagnostic"), (6, "src/lib", "path"), (7, "main.rs", "path"), (8, "a\\b", "path"),
+    (9, "parse_http", "identifier"), (10, "Foo::bar", "identifier"), (11, "foo.bar", "identifier"), (12, "ManagerV2", "identifier"), (13, "how does parse_http work", "mixed"), (14, "where is the crash", "natural"), (15, "timeout", "natural"), (16, "is", "natural"), (17, "  Cargo.TOML ", "path"), (18, "E1", "identifier"),
+]
+
+
+@query(
+    rf"""SELECT query_id, CASE WHEN (starts_with(q, '"') AND ends_with(q, '"') AND strlen(q) > 2) OR regexp_matches(q, '(?i)^(((E|TS|CS|C)[0-9][0-9]+$)|ERR_|ERR-|ERROR\[|WARNING\[)') THEN 'diagnostic'
+    WHEN NOT regexp_matches(q, '\s') AND regexp_matches(q, '[/\\]|\.(?i:{'|'.join(EXTENSIONS)})$') THEN 'path' WHEN NOT regexp_matches(q, '\s') AND regexp_matches(q, '_|::|\.|\p{{Lu}}') THEN 'identifier'
+    WHEN regexp_matches(q, '_|::|/') THEN 'mixed' ELSE 'natural' END AS class FROM (SELECT query_id, trim(query) AS q FROM {O.values([a[:2] for a in ASKED], 'query_id, query')})"""
+)
+def query_classify(spark, sf_dir):
+    return spark.createDataFrame([a[:2] for a in ASKED], "query_id int, query string").select("query_id", classified(F.col("query")).alias("class"))
+
+
+PLANNED = [(1, "where is the crash", "crash"), (2, "how to fix the deleted file", "fix deleted file"), (3, "is it", "is it"), (4, "parse_http", "parse parse_http http"), (5, "kill the panic", "kill panic")]
+
+
+@query(f"SELECT query_id, unnest(string_split(terms, ' ')) AS term FROM {O.values([(i, t) for i, _, t in PLANNED], 'query_id, terms')}")
+def query_terms(spark, sf_dir):
+    rows = [(i, t) for i, q, _ in PLANNED for t in QueryPlan.of(q).original]
+    return spark.createDataFrame(rows, "query_id int, term string")
+
+
+PROBED = [
+    (1, 1, "crashed", 0.6, "morphology"), (1, 2, "crashing", 0.6, "morphology"), (1, 3, "panic", 0.4, "alias"), (2, 1, "fixed", 0.6, "morphology"), (2, 2, "fixing", 0.6, "morphology"), (2, 3, "delete", 0.6, "morphology"),
+    (2, 4, "deleting", 0.6, "morphology"), (2, 5, "deletion", 0.6, "morphology"), (5, 1, "terminate", 0.4, "alias"), (5, 2, "crash", 0.4, "alias"),
+]
+
+
+@query(f"SELECT * FROM {O.values(PROBED, 'query_id, place, probe, weight, origin')}")
+def query_probes(spark, sf_dir):
+    rows = [(i, n, p.query, p.weight, p.origin) for i, q, _ in PLANNED for n, p in enumerate(QueryPlan.of(q).probes, 1)]
+    return spark.createDataFrame(rows, "query_id int, place int, probe string, weight double, origin string")
+
+
+@query(f"WITH a AS (SELECT match_id, term FROM {O.tf(O.DOCS, 'match_id')}) SELECT term, count(*) AS n, CAST(term IN ({', '.join(map(O.lit, T.STOPWORDS))}) AS BOOLEAN) AS stop, CAST(term IN ({', '.join(map(O.lit, (*T.STOPWORDS, *T.GENERIC)))}) OR strlen(term) < 2 AS BOOLEAN) AS generic FROM a GROUP BY term")
+def term_classes(spark, sf_dir):
+    terms = Built(doc_chunks(spark, sf_dir)).df.select("term", F.col("doc_freq").alias("n"))
+    return terms.select("term", "n", F.col("term").isin(*T.STOPWORDS).alias("stop"), (F.col("term").isin(*T.STOPWORDS, *T.GENERIC) | (F.octet_length("term") < 2)).alias("generic"))
+
+
+MEANT = [(1, "stupid trash")]
+
+
+@query(f"WITH {O.scored(O.DOCS, O.values(MEANT, 'query_id, query'))} {O.top(40)}")
+def meaningful_lane(spark, sf_dir):
+    """Natural words without their stopwords, top 40."""
+    plan = QueryPlan.of("the stupid in the trash")
+    return best(Built(doc_chunks(spark, sf_dir)).hits(asked(spark, [(1, " ".join(plan.original))])), S.RESERVE)
+
+
+GATED = [(1, "trash"), (2, "the"), (3, "thanedble attion"), (4, "nomatchqvx")]
+
+
+@query(f"WITH {O.scored(O.DOCS, O.values(GATED, 'query_id, query'))}, lex AS ({O.top(200, columns='query_id, score')}) SELECT query_id, count(score) < 20 OR max(score) < 0.25 OR count(score) = 0 AS weak FROM {O.values(GATED, 'query_id, query')} LEFT JOIN lex USING (query_id) GROUP BY 1")
+def expansion_lane_gate(spark, sf_dir):
+    lexical = S.top(Built(doc_chunks(spark, sf_dir)).hits(asked(spark, GATED)), S.TOP)
+    every = spark.createDataFrame(GATED, "query_id long, query string").select("query_id")
+    return every.join(S.is_weak(lexical), "query_id", "left").select("query_id", F.coalesce("weak", F.lit(True)).alias("weak"))
+
+
+def lanes(spark, sf_dir):
+    """Lexical, meaningful and expansion lanes of a weak and a strong query; definitions and paths by rule."""
+    b = Built(doc_chunks(spark, sf_dir))
+    rows = b.hits(asked(spark, [(1, "the stupid trash"), (2, "trash")]))
+    lexical = S.top(rows.where("query_id = 1 or match_id like '%3'"), 60)
+    meaningful = S.top(b.hits(asked(spark, [(1, "stupid trash")])), S.RESERVE)
+    expansion = S.top(b.hits(asked(spark, [(2, "idiot clown")])), S.TOP)
+    own = b.chunks.withColumn("n", F.col("match_id").cast("long"))
+    definition = own.where("n % 100 = 7").select(F.lit(1).cast("long").alias("query_id"), "match_id")
+    path = own.where("n % 250 = 11").select(F.lit(2).cast("long").alias("query_id"), "match_id")
+    return S.merged_lanes(lexical, meaningful, definition, path, expansion)
+
+
+LANES = f"""{O.scored(O.DOCS, O.values([(1, 'the stupid trash'), (2, 'trash'), (11, 'stupid trash'), (12, 'idiot clown')], 'query_id, query'))},
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS r FROM hits WHERE query_id <> 2 OR match_id LIKE '%3'),
+  every AS (SELECT query_id, match_id, score AS raw_bm25, NULL::FLOAT AS meaningful_bm25, NULL::BOOLEAN AS definition, NULL::BOOLEAN AS path, NULL::FLOAT AS expansion_bm25 FROM ranked WHERE query_id < 10 AND r <= 60
+    UNION ALL SELECT 1, match_id, NULL, score, NULL, NULL, NULL FROM ranked WHERE query_id = 11 AND r <= 40 UNION ALL SELECT 2, match_id, NULL, NULL, NULL, NULL, score FROM ranked WHERE query_id = 12 AND r <= 200
+    UNION ALL SELECT 1, match_id, NULL, NULL, TRUE, NULL, NULL FROM src WHERE CAST(match_id AS BIGINT) % 100 = 7 UNION ALL SELECT 2, match_id, NULL, NULL, NULL, TRUE, NULL FROM src WHERE CAST(match_id AS BIGINT) % 250 = 11),
+  lanes AS MATERIALIZED (SELECT CAST(query_id AS BIGINT) AS query_id, match_id, max(raw_bm25) AS raw_bm25, max(meaningful_bm25) AS meaningful_bm25, bool_or(definition) AS definition, bool_or(path) AS path, max(expansion_bm25) AS expansion_bm25 FROM every GROUP BY 1, 2)"""
+
+
+@query(f"WITH {LANES} SELECT query_id, count(raw_bm25) AS n_lexical, count(meaningful_bm25) AS n_meaningful, count(definition) AS n_definition, count(path) AS n_path, count(expansion_bm25) AS n_expansion FROM lanes GROUP BY 1")
+def lane_counts(spark, sf_dir):
+    return S.lane_counts(lanes(spark, sf_dir))
+
+
+@query(f"""WITH {LANES},
+  d AS (SELECT query_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(raw_bm25, 0) DESC, match_id) AS r FROM lanes WHERE definition) WHERE r <= 40),
+  m AS (SELECT query_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY meaningful_bm25 DESC, match_id) AS r FROM lanes ANTI JOIN d USING (query_id, match_id) WHERE meaningful_bm25 IS NOT NULL) WHERE r <= 40),
+  x AS (SELECT query_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(expansion_bm25, 0) DESC, match_id) AS r FROM lanes ANTI JOIN d USING (query_id, match_id) WHERE query_id = 2 AND raw_bm25 IS NULL) WHERE r <= 40),
+  kept AS (SELECT *, 'definition' AS lane FROM d UNION ALL SELECT *, 'meaningful' FROM m UNION ALL SELECT *, 'expansion' FROM x),
+  f AS (SELECT query_id, match_id, 'fill' AS lane FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_bm25 IS NOT NULL DESC, coalesce(raw_bm25, 0) DESC, match_id) AS r FROM lanes ANTI JOIN kept USING (query_id, match_id)) LEFT JOIN (SELECT query_id, count(*) AS n FROM kept GROUP BY 1) USING (query_id) WHERE r <= 200 - coalesce(n, 0))
+  SELECT query_id, match_id, lane, row_number() OVER (PARTITION BY query_id ORDER BY raw_bm25 IS NOT NULL DESC, coalesce(raw_bm25, 0) DESC, match_id) AS position FROM (SELECT * FROM kept UNION ALL SELECT * FROM f) JOIN lanes USING (query_id, match_id)""")
+def admission_pool(spark, sf_dir):
+    pool = S.admitted(lanes(spark, sf_dir), F.lit(False), F.lit(False), F.col("query_id") == 2)
+    return pool.select("query_id", "match_id", "lane", F.col("position").cast("long").alias("position"))
+
+
+WANTED = ["stupid", "trash", "the"]
+
+
+@query(f"""WITH {O.index(O.TALKS)}, q(term) AS (VALUES ('the'), ('of'), ('and')),
+  shares AS (SELECT match_id, term, CASE WHEN role = 'user' THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END * tf / (0.1::DOUBLE + 0.9::DOUBLE * length / 128) AS share FROM post JOIN q USING (term) JOIN len USING (match_id) JOIN src USING (match_id))
+  SELECT match_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * share / (1.5::DOUBLE + share)), 6) AS score FROM shares JOIN df USING (term) CROSS JOIN st GROUP BY 1""")
+def field_scores_session(spark, sf_dir):
+    """The body field of every session chunk by its role."""
+    b = Built(talk_chunks(spark, sf_dir))
+    fields = b.chunks.select("match_id", R.body_field().alias("field"))
+    terms = spark.createDataFrame([(1, t, 1.0) for t in ("the", "of", "and")], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
+    counts = b.posted.join(F.broadcast(terms.select("term")), "term", "left_semi").join(b.lengths, ["match_id", "collection", "kind"]).join(fields, "match_id").join(F.broadcast(b.stats), ["collection", "kind"])
+    n = b.stats.first().doc_count
+    return R.field_scores(R.field_shares(counts, F.lit(0.0)), terms, F.lit(n)).select("match_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {O.index(O.DOCS)}, q(term) AS (VALUES ('src0'), ('txt'), ('trash'), ('stupid')), fl AS (SELECT match_id, 'path' AS field, path AS value FROM src UNION ALL SELECT match_id, 'basename', regexp_extract(path, '[^/]*$') FROM src UNION ALL SELECT match_id, 'body', text FROM src),
+  ft AS (SELECT match_id, field, term, tf FROM {O.tf('fl', 'match_id, field', 'value')}), flen AS (SELECT match_id, field, sum(tf) AS length FROM ft GROUP BY 1, 2),
+  shares AS (SELECT match_id, term, sum(CASE field WHEN 'path' THEN 4.0::DOUBLE * tf WHEN 'basename' THEN 5.0::DOUBLE * tf ELSE tf / (0.25::DOUBLE + 0.75::DOUBLE * length / greatest(total::DOUBLE / n, 1)) END) AS share FROM ft JOIN flen USING (match_id, field) JOIN q USING (term) CROSS JOIN st GROUP BY 1, 2)
+  SELECT match_id, round(sum(coalesce(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1) * share / (1.5::DOUBLE + share)), 6) AS score FROM shares LEFT JOIN df USING (term) CROSS JOIN st GROUP BY 1""")
+def field_scores_project(spark, sf_dir):
+    b = Built(doc_chunks(spark, sf_dir))
+    chunks = b.chunks.withColumns({"field_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")})
+    fields = R.field_texts(chunks).where(F.col("field").isin("path", "basename", "body"))
+    counted = T.term_frequencies(fields, ["match_id", "field"], "value")
+    sizes = counted.groupBy("match_id", "field").agg(F.sum("tf").alias("length"))
+    terms = spark.createDataFrame([(1, t, 1.0) for t in ("src0", "txt", "trash", "stupid")], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
+    stats = b.stats.first()
+    counts = counted.join(F.broadcast(terms.select("term")), "term", "left_semi").join(sizes, ["match_id", "field"])
+    return R.field_scores(R.field_shares(counts, F.lit(stats.total_tokens / stats.doc_count)), terms, F.lit(stats.doc_count)).select("match_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN a > 0 THEN least(b, a * 0.35::DOUBLE) ELSE least(b, 0.5::DOUBLE) END AS capped FROM (SELECT doc_id, (n_chars % 7)::DOUBLE AS a, (n_chars % 11)::DOUBLE / 4 AS b FROM documents)")
+def expansion_cap(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 7).cast("double").alias("a"), ((F.col("n_chars") % 11).cast("double") / 4).alias("b"))
+    return rows.select("doc_id", R.capped_expansion(F.col("a"), F.col("b")).alias("capped"))
+
+
+EXACT = [
+    (1, "project", "src/lib.rs", "fn parse_http() {}", "identifier", "parse_http", "symbol", 2), (2, "project", "src/lib.rs", "void Foo::bar(int x) {}", "identifier", "foo::bar", "qualified_symbol", 2), (3, "project", "a/x.rs", "see Foo::bar", "identifier", "foo::bar", "historical_identity", 1),
+    (4, "session", "", "call parse_http now", "identifier", "parse_http", "historical_identity", 1), (5, "project", "src/lib.rs", "", "path", "lib.rs", "basename", 2), (6, "project", "src/lib.rs", "", "path", "src/lib.rs", "full_path", 2), (7, "project", "src/mylib.rs", "", "path", "lib.rs", None, 0),
+    (8, "session", "", "open src/lib.rs", "path", "src/lib.rs", "historical_identity", 1), (9, "project", "x", "got E0308 here", "diagnostic", "e0308", "diagnostic", 2), (10, "project", "x", "got E03081", "diagnostic", "e0308", None, 0), (11, "project", "x", "mention parse_http", "identifier", "parse_http", None, 0), (12, "project", "x", "anything", "natural", "anything", None, 0),
+]
+
+
+@query(f"SELECT id, exact, tier FROM {O.values([(e[0], e[6], e[7]) for e in EXACT], 'id, exact, tier')}")
+def exact_tier(spark, sf_dir):
+    rows = spark.createDataFrame([e[:6] for e in EXACT], "id int, kind string, path string, text string, class string, literal string")
+    whole = F.transform(T.occurrences(F.col("text")), lambda o: T.fold(F.regexp_replace(o, r"[-.:/\\]+$", "")))
+    rows = rows.withColumns({"symbols": R.declared_symbols(F.col("text")), "identities": whole, "surfaces": F.array_union(T.tokens(F.col("text")), whole)})
+    exact = R.exact_class(F.col("class"), F.col("literal"))
+    return rows.select("id", exact.alias("exact"), R.tier(exact).alias("tier"))
+
+
+@query(f"SELECT match_id, round(0.25::DOUBLE + 0.75::DOUBLE * pow(2, -greatest(0, epoch(TIMESTAMP '{NOW}') - epoch(CAST(replace(timestamp, 'Z', '') AS TIMESTAMP))) / 86400.0::DOUBLE / 45), 9) AS decay FROM {O.TALKS}")
+def temporal_decay(spark, sf_dir):
+    at = F.col("timestamp").cast("timestamp")
+    return talk_chunks(spark, sf_dir).select("match_id", F.round(C.temporal_factor(at, f"{NOW}Z".replace(" ", "T"), F.lit(False), F.lit(False)), 9).alias("decay"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) - 1 AS n_collapsed FROM documents WHERE text <> '' GROUP BY text")
+def content_dedupe(spark, sf_dir):
+    """Identical non-empty texts fall to the first of them."""
+    rows = table(spark, sf_dir, "documents").where("text <> ''")
+    return rows.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("n_collapsed")).drop("k")
+
+
+@query(f"""WITH t AS (SELECT match_id, term, 1.0::DOUBLE + strlen(term) AS w FROM {O.tf(O.DOCS, 'match_id')}), s AS (SELECT match_id, sum(w) AS total FROM t GROUP BY 1),
+  p AS (SELECT a.match_id AS a, b.match_id AS b FROM s a JOIN s b ON CAST(b.match_id AS BIGINT) = CAST(a.match_id AS BIGINT) + 1), o AS (SELECT a, b, sum(x.w) AS common FROM p JOIN t x ON x.match_id = a JOIN t y ON y.match_id = b AND x.term = y.term GROUP BY 1, 2)
+  SELECT a, b, round(coalesce(common, 0) / (sa.total + sb.total - coalesce(common, 0)), 9) AS similarity FROM p LEFT JOIN o USING (a, b) JOIN s sa ON sa.match_id = a JOIN s sb ON sb.match_id = b""")
+def weighted_jaccard(spark, sf_dir):
+    """Of every document with the next one, over all their terms."""
+    w = (1.0 + F.octet_length("term")).alias("w")
+    maps = Built(doc_chunks(spark, sf_dir)).posted.select("match_id", "term", w).groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
+    a = maps.select(F.col("match_id").alias("a"), F.col("m").alias("ma"), (F.col("match_id").cast("long") + 1).cast("string").alias("b"))
+    both = a.join(maps.select(F.col("match_id").alias("b"), F.col("m").alias("mb")), "b")
+    return both.select("a", "b", F.round(C.weighted_jaccard(F.col("ma"), F.col("mb")), 9).alias("similarity"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list) AS t, generate_subscripts(list, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS list FROM documents)), m AS (SELECT * FROM w WHERE t IN ('the', 'thin')),
+  n AS (SELECT a.doc_id, min(abs(a.i - b.i)) + 1 AS best FROM m a ASOF JOIN m b ON a.doc_id = b.doc_id AND a.i > b.i WHERE a.t <> b.t GROUP BY 1) SELECT doc_id, 2.0::DOUBLE / best AS proximity FROM n""")
+def proximity(spark, sf_dir):
+    """Two words' nearest places: the last other word before each."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "t")).where(F.col("t").isin("the", "thin"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    near = rows.withColumn("before", F.lag("t").over(w)).withColumn("at", F.lag("i").over(w)).where("t <> before")
+    return near.groupBy("doc_id").agg((F.lit(2.0) / (F.min(F.col("i") - F.col("at")) + 1)).alias("proximity"))
+
+
+@query()
+def ranked_search(spark, sf_dir):
+    """The whole way for a batch: lanes, pool, field scores, tiers, proximity, dedupe, diversity."""
+    texts = [(1, "the stupid trash"), (2, "worthless clown")]
+    plans = {i: QueryPlan.of(q) for i, q in texts}
+    b = Built(doc_chunks(spark, sf_dir))
+    lexical = S.top(b.hits(asked(spark, texts)), S.TOP)
+    meaningful = S.top(b.hits(asked(spark, [(i, " ".join(p.original)) for i, p in plans.items() if p.stopwords_removed])), S.RESERVE)
+    none = lexical.limit(0)
+    pool = S.admitted(S.merged_lanes(lexical, meaningful, none, none, none), F.lit(False), F.lit(False), F.lit(False))
+    chunks = b.chunks.withColumns({"field_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}).join(F.broadcast(pool.select("match_id").distinct()), "match_id", "left_semi")
+    counted = T.term_frequencies(R.field_texts(chunks), ["match_id", "field"], "value")
+    sizes = counted.groupBy("match_id", "field").agg(F.sum("tf").alias("length"))
+    terms = spark.createDataFrame([(i, t, 1.0) for i, p in plans.items() for t in p.original], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
+    stats = b.stats.first()
+    shares = R.field_shares(counted.join(sizes, ["match_id", "field"]), F.lit(stats.total_tokens / stats.doc_count))
+    scored = R.field_scores(shares, terms, F.lit(stats.doc_count)).withColumnRenamed("score", "original")
+    idf = {r.term: float(r.w) for r in b.df.join(counted.select("term").distinct(), "term", "left_semi").select("term", C.ranker_idf(F.lit(stats.doc_count), F.col("doc_freq")).alias("w")).collect()}
+    rows = pool.drop("path").join(scored, ["query_id", "match_id"]).join(chunks, "match_id").withColumns({
+        "source_version": F.sha2("text", 256), "symbols": R.declared_symbols(F.col("text")), "start_byte": F.lit(0), "end_byte": F.octet_length("text"), "start_line": F.lit(1), "end_line": F.lit(1),
+        "tier": F.lit(0), "expansion": F.lit(0.0), "decay": F.lit(1.0),
+    })
+    return R.rerank(rows, idf, 1.0, 10, plans=plans)
+
+
+@query()
+def excerpt_windows(spark, sf_dir):
+    """Excerpts of the ten best hits: final hits only."""
+    hits = best(Built(doc_chunks(spark, sf_dir)).hits(asked(spark, [(1, "stupid trash")])), 10)
+    rows = hits.join(doc_chunks(spark, sf_dir).select("match_id", "text"), "match_id").select("match_id", "text").collect()
+    return spark.createDataFrame([(r.match_id, *excerpt_window(r.text, "stupid trash")) for r in rows], "match_id string, byte_offset int, excerpt string")
+
+
+@query(f"""WITH {O.scored(O.DOCS, '(SELECT item_id AS query_id, text AS query FROM benchmark)')}, ranked AS ({O.top(10)}),
+  r AS (SELECT query_id, split_part(path, '/', 1) AS source, rank, md5(text) AS text_key FROM ranked JOIN src USING (match_id)), judged AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS source, 3 AS grade FROM benchmark UNION ALL SELECT item_id, 'src0', 1 FROM benchmark WHERE item_id % 20 <> 0),
+  f AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source) AS i FROM r GROUP BY query_id, source),
+  g AS (SELECT f.query_id, i, coalesce(grade, 0) AS grade FROM f LEFT JOIN judged USING (query_id, source) WHERE i <= 10),
+  o AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(i + 1)) AS dcg, min(CASE WHEN grade > 0 THEN i END) AS first, count(*) FILTER (grade > 0) AS hits FROM g GROUP BY 1),
+  b AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(i + 1)) AS ideal, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, source) AS i FROM judged) GROUP BY 1),
+  d AS (SELECT query_id, 1 - count(DISTINCT text_key) / count(*) AS duplicate_rate FROM r GROUP BY 1)
+  SELECT query_id, round(coalesce(hits / wanted, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(duplicate_rate, 0), 6) AS duplicate_rate FROM b LEFT JOIN o USING (query_id) LEFT JOIN d USING (query_id)""")
+def retrieval_metrics(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark")
+    chunks = doc_chunks(spark, sf_dir)
+    ranked = best(Built(chunks).hits(S.query_terms(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))), 10)
+    ranked = ranked.join(chunks.select("match_id", F.split_part("path", F.lit("/"), F.lit(1)).alias("source"), F.sha2("text", 256).alias("text_key")), "match_id")
+    judged = bench.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.lit(3).alias("grade"))
+    judged = judged.unionByName(bench.where("item_id % 20 <> 0").select(F.col("item_id").alias("query_id"), F.lit("src0").alias("source"), F.lit(1).alias("grade")))
+    out = M.retrieval_metrics(ranked, judged)
+    return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "duplicate_rate")))
+
+
+@query("SELECT percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS value FROM documents")
+def nearest_rank_percentile(spark, sf_dir):
+    return M.nearest_rank(table(spark, sf_dir, "documents"), "n_chars", 0.95)

@@ -59,6 +59,11 @@ def get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col("v"), path, kind)
 
 
+def scalar(value: Column) -> Column:
+    """A VARIANT's text, null for arrays and objects."""
+    return F.when(~F.schema_of_variant(value).rlike("^(?:ARRAY|OBJECT)"), F.try_variant_get(value, "$", "string"))
+
+
 def first_of(*paths: str) -> Column:
     return F.coalesce(*(get(p) for p in paths))
 
@@ -70,9 +75,8 @@ def normal_timestamp(raw: Column) -> Column:
 
 
 def leaves(value: Column) -> Column:
-    """The scalars below a VARIANT as texts: itself, or (depth two) those of its objects and arrays, as JSON for deeper ones."""
-    whole = F.try_variant_get(value, "$", "string")
-    return F.coalesce(whole, F.to_json(value))
+    """A VARIANT as one text: a scalar itself, an object or array as JSON, which keeps its keys and scalars searchable."""
+    return F.try_variant_get(value, "$", "string")
 
 
 def one(role: Column | str | None, tool: Column | str | None, field_kind: str, call_id: Column | None, text: Column) -> Column:
@@ -91,7 +95,7 @@ def of(block: Column, path: str, kind: str = "string") -> Column:
 def codex() -> Column:
     """Fields of a record: messages of user and assistant (not on the analysis channel), calls, and outputs."""
     kind, role = get("$.payload.type"), get("$.payload.role")
-    plain = F.array(one(role, None, "message", None, get("$.payload.content")))
+    plain = F.array(one(role, None, "message", None, scalar(get("$.payload.content", "variant"))))
     texts = F.transform(F.filter(blocks("$.payload.content"), lambda b: of(b, "$.type").isin("text", "input_text", "output_text")), lambda b: one(role, None, "message", None, of(b, "$.text")))
     message = F.when(role.isin("user", "assistant") & ~F.coalesce(get("$.payload.channel") == "analysis", F.lit(False)), F.concat(plain, texts))
     name, call = F.coalesce(get("$.payload.name"), F.lit("")), get("$.payload.call_id")
@@ -110,12 +114,12 @@ def claude() -> Column:
     content = blocks("$.message.content")
     first = lambda kind, path: F.try_element_at(F.transform(F.filter(content, lambda b: of(b, "$.type") == kind), lambda b: of(b, path)), F.lit(1))
     name, call, answers = F.coalesce(first("tool_use", "$.name"), F.lit("")), first("tool_use", "$.id"), F.coalesce(first("tool_result", "$.tool_use_id"), get("$.toolUseResult.tool_use_id"))
-    plain = F.array(one(role, None, "message", None, get("$.message.content")))
+    plain = F.array(one(role, None, "message", None, scalar(get("$.message.content", "variant"))))
 
     def block(b: Column) -> Column:
         kind = of(b, "$.type")
         result = F.concat(
-            F.array(one("tool", None, "tool_result", answers, of(b, "$.content"))),
+            F.array(one("tool", None, "tool_result", answers, scalar(of(b, "$.content", "variant")))),
             F.transform(F.coalesce(of(b, "$.content", "array<variant>"), F.array().cast("array<variant>")), lambda x: one("tool", None, "tool_result", answers, of(x, "$.text"))),
         )
         return (
