@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import dealt, pairs_of, runs
 from .common import stored
 from .components import components
 
@@ -37,9 +38,6 @@ RECALL = 0.97
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 4_096
 BITS = 64
-BLOCK = 1_024
-#: Table rows of a task's unit of small buckets.
-UNIT = 8_192
 
 
 class Index:
@@ -116,25 +114,6 @@ def units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(id_col, vec_col).mapInArrow(run, f"id {kind}, digest binary, unit binary, dims int")
 
 
-def runs(key: np.ndarray) -> list[tuple[int, int]]:
-    """Starts and ends of equal neighbours."""
-    cut = np.flatnonzero(np.diff(key)) + 1
-    return list(zip([0, *cut], [*cut, len(key)], strict=True))
-
-
-def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Table rows with their unit of work (t, part, i, j) and block: small buckets together, hot ones in pairs of blocks."""
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    total = rows.count()
-    parts = F.lit(max(1, total // UNIT))
-    own = rows.join(sizes, ["t", "key"])
-    small = own.where(F.col("n") <= BLOCK).select("t", F.pmod(F.xxhash64("t", "key"), parts).alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "key", *columns)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = own.where(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("t", F.lit(-1).cast("bigint").alias("part"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", *columns)
-    return small.unionByName(large)
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """A row for every row: id, n_links, component_id, kept."""
     spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_col]
@@ -168,10 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         bucket, block = found.column("key").to_numpy(), found.column("block").to_numpy()
         codes = np.frombuffer(b"".join(found.column("code").to_pylist()), np.uint64).reshape(len(bucket), -1)
         keep = np.zeros(len(bucket), bool)
-        for a, b in runs(bucket):
-            x, y = (np.arange(a, b),) * 2 if i == j else (a + np.flatnonzero(block[a:b] == i), a + np.flatnonzero(block[a:b] == j))
-            if not len(x) or not len(y):
-                continue
+        for x, y in pairs_of(bucket, block, i, j):
             apart = np.zeros((len(x), len(y)), np.int32)
             for w in range(codes.shape[1]):
                 apart += np.bitwise_count(codes[x, w][:, None] ^ codes[y, w][None, :])
@@ -194,10 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         unit = np.frombuffer(b"".join(found.column("unit").to_pylist())).reshape(len(bucket), -1)
         keys = np.array(found.column("keys").to_pylist(), np.int64)
         links, root = np.zeros(len(bucket), np.int64), np.arange(len(bucket))
-        for a, b in runs(bucket):
-            x, y = (np.arange(a, b),) * 2 if i == j else (a + np.flatnonzero(block[a:b] == i), a + np.flatnonzero(block[a:b] == j))
-            if not len(x) or not len(y):
-                continue
+        for x, y in pairs_of(bucket, block, i, j):
             near = unit[x] @ unit[y].T >= threshold
             if i == j:
                 near = np.triu(near, 1)

@@ -1,18 +1,22 @@
 """MinHash near-dedup with odd sketches.
 
 Documents of equal shingle sets form a class; its smallest id stands for it. A
-class has BANDS * ROWS minimum hashes. A band's values, hashed together, make a
-bucket; members of a bucket are candidates. An odd sketch folds the (position,
-minimum) samples into a parity bitmap of BITS bits: the population count of two
-sketches' XOR tells how many samples differ, precisely so where similarity is high,
-and only pairs that it lets through are confirmed on their full shingle sets.
+class has BANDS * ROWS minimum hashes; a band's values, hashed together, make a
+bucket, and members of one bucket are candidates. For their verification the hash
+range is cut into BINS, whose minima are MinHash samples too (nearly the whole set, if it
+is small). An odd sketch folds the samples into a parity bitmap of BITS bits. The
+population count of two sketches' XOR tells how many samples differ, precisely so
+where similarity is high; with the sets' sizes it estimates the Jaccard similarity
+to about a hundredth. Only pairs whose estimate reaches the threshold, less SLACK
+standard errors, are confirmed on their full shingle sets.
 
 Candidates are verified in two passes, so that a bucket of near copies never emits
-all its pairs. First each member meets the first member of its bucket and the one
-before it in the bucket's order; confirmed links join classes to components. Then
-pairs of one bucket that still lie in different components, and only those, are
-compared by sketch in blocks, and what passes is confirmed. A link between any two
-candidates is thus either confirmed or within a component already.
+all its pairs. First each bucket gives a maximum spanning forest, by estimate, of
+the pairs that pass; confirmed links join classes to components. Then rows with
+passing partners in another component bring their full sets to the bucket, where
+all those pairs are tested, until what they connect is one component: only the
+links found leave the task. A link between any two candidates is thus either
+confirmed or within a component.
 
 Null and empty texts have no shingles, are linked with nothing and stand for
 themselves. Repeated rows are one class. An empty table gives an empty one. With
@@ -29,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import GROUP, dealt, pairs_of
 from .common import MEMO_ENTRIES, stored
 from .components import components
 
 BANDS, ROWS = 28, 5
-BITS = 1024
-#: Rows of one bucket's block; two blocks are compared in one task.
-BLOCK = 512
+BINS, BITS = 1024, 2048
 #: How far below the threshold, in standard errors, a sketch's estimate may lie.
 SLACK = 4.0
+#: Bits of the filter that says whose sets are needed: a bound on what comes to the driver, 2 MB.
+FILTER_BITS = 1 << 24
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,64 +91,148 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(least: np.ndarray) -> bytes:
-    """The parity, for each bit, of the samples that hash to it."""
-    at = mixed(least + SEEDS) % np.uint64(BITS)
-    bits = np.bincount(at.astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
+def odd_sketch(shingles: np.ndarray) -> tuple[int, bytes]:
+    """The number of samples (bins that are not empty), and the parity, for each bit, of those that hash to it."""
+    bins = (shingles >> np.uint64(54)).astype(np.int64)  # BINS of them; sets are sorted, so a bin's first is its least
+    samples = shingles[np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1])]
+    at = (mixed(samples) % np.uint64(BITS)).astype(np.int64)
+    return len(samples), np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sizes, sample counts and sketches of a unit's rows."""
+
+    def __init__(self, found: pa.Table, threshold: float) -> None:
+        self.size = found.column("size").to_numpy().astype(np.float64)
+        self.samples = found.column("samples").to_numpy().astype(np.float64)
+        self.bits = np.frombuffer(b"".join(found.column("sketch").to_pylist()), np.uint64).reshape(len(self.size), -1)
+        self.threshold = threshold
+
+    def estimate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Estimated similarity of rows x against rows y; -1 for what cannot be similar enough."""
+        j, out = self.threshold, np.full((len(x), len(y)), -1.0)
+        a, b = self.size[x][:, None], self.size[y][None, :]
+        p, q = np.nonzero(np.minimum(a, b) >= (j - 1e-9) * np.maximum(a, b))
+        for start in range(0, len(p), 1 << 15):
+            r, s = p[start : start + (1 << 15)], q[start : start + (1 << 15)]
+            odd = np.bitwise_count(self.bits[x[r]] ^ self.bits[y[s]]).sum(axis=1).astype(np.float64)
+            even = np.maximum(1 - 2 * odd / BITS, 0.02)
+            differ = -BITS / 2 * np.log(even)
+            union = (self.size[x[r]] + self.size[y[s]]) / (1 + j)
+            bins = np.minimum(BINS * -np.expm1(-union / BINS), union)
+            same = (self.samples[x[r]] + self.samples[y[s]] - differ) / 2
+            by_odd = np.sqrt(np.maximum(BITS / 4 * (1 - even**2) - differ * even**2, 0)) / even / 2
+            by_bins = np.sqrt(bins * j * (1 - j) * np.maximum(1 - bins / union, 0.05))
+            ok = same >= j * bins - SLACK * np.hypot(by_odd, by_bins) - 1
+            out[r[ok], s[ok]] = np.maximum(same[ok] / bins[ok], 0)
+        return out
 
-def most_bits(threshold: float) -> float:
-    """The largest XOR population count at which a pair may still be similar.
 
-    Of m samples m * (1 - J) differ in expectation, each putting two elements into
-    the symmetric difference; n elements leave BITS * (1 - exp(-2n / BITS)) / 2 odd bits.
-    """
-    m = BANDS * ROWS
-    differ = m * (1 - threshold) + SLACK * np.sqrt(m * threshold * (1 - threshold))
-    n = 2 * differ
-    return BITS * (1 - np.exp(-2 * n / BITS)) / 2 + 2 * np.sqrt(BITS) / 4
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the entries >= 0 of a symmetric matrix: each tree takes its best way out, again and again."""
+    n = len(near)
+    root, out = np.arange(n), []
+    near = near.copy()
+    while True:
+        near[root[:, None] == root[None, :]] = -1
+        best = near.argmax(axis=1)
+        value = near[np.arange(n), best]
+        order = np.argsort(-value, kind="stable")
+        if n == 0 or value[order[0]] < 0:
+            return out
+        taken = set()
+        for k in order[value[order] >= 0]:
+            if root[k] in taken:
+                continue
+            taken.add(root[k])
+            a, b = root[k], root[best[k]]
+            if find(root, a) != find(root, b):
+                out.append((int(k), int(best[k])))
+                root[find(root, max(a, b))] = find(root, min(a, b))
+        root = np.array([find(root, k) for k in range(n)])
+
+
+def find(root: np.ndarray, k: int) -> int:
+    while root[k] != k:
+        k = root[k]
+    return k
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (digest of the set; null if it is empty), sketch, bands."""
+    """id, n_shingles, set_key (digest of the set; null if it is empty), samples, sketch, bands."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         memo = WordHash()
         for batch in batches:
-            n, key, sketch, bands = [], [], [], []
+            n, key, samples, sketch, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words, memo)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), sketch.append(None), bands.append(None)
+                    for column in (key, samples, sketch, bands):
+                        column.append(None)
                     continue
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 least = minima(s)
-                sketch.append(odd_sketch(least))
+                count, bits = odd_sketch(s)
+                samples.append(count)
+                sketch.append(bits)
                 b = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX
                 for k in range(ROWS):
                     b = mixed(b + least[k::ROWS])
                 bands.append(b.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(samples, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "samples", "sketch", "bands"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, samples int, sketch binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of representatives whose full sets meet 100 * |A & B| >= percent * |A | B|."""
+def places(hashes: np.ndarray) -> np.ndarray:
+    """Four bits of the filter for each hash."""
+    h = hashes.view(np.uint64)
+    return np.concatenate([(mixed(h + k) % np.uint64(FILTER_BITS)).astype(np.int64) for k in np.arange(1, 5, dtype=np.uint64) * MIX])
 
-    def sets(batches):
-        memo = WordHash()
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``ids`` (id) as bytes: FILTER_BITS, whatever the number of ids; a full one only lets more through."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 32, np.int32)
+        for batch in batches:
+            at = places(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 5, (np.uint32(1) << (at & 31).astype(np.uint32)).view(np.int32))
+        word = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits[word])], ["word", "bits"])
+
+    found = ids.select(F.xxhash64("id")).mapInArrow(run, "word int, bits int").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.int32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def shingle_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles: the full sets of the documents with ``ids`` (and of a few others). The texts stay where they are."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches):
+        memo, bits = WordHash(), wanted.value
         for batch in batches:
+            at = places(batch.column(2).to_numpy()).reshape(4, -1)
+            keep = (bits[at >> 5].view(np.uint32) >> (at & 31).astype(np.uint32) & 1).all(axis=0)
+            batch = batch.filter(pa.array(keep))
             found = [shingle_set(t, words, memo).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    kind = dict(docs.dtypes)[id_col]
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    own = stored(texts.mapInArrow(sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.xxhash64(id_col))
+    return stored(rows.mapInArrow(run, f"id {kind}, shingles binary"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets meet 100 * |A & B| >= percent * |A | B|.
+
+    An id of repeated rows with different texts has several sets; any two may make the link.
+    """
 
     def check(batches):
         for batch in batches:
@@ -154,75 +243,108 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(own.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
-    both = left.join(own.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return stored(both.mapInArrow(check, f"u {kind}, v {kind}"))
-
-
-def population(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """XOR population counts of every row of ``a`` against every row of ``b`` (rows of 64-bit words)."""
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return out
+    kind = dict(pairs.dtypes)["u"]
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    return stored(both.mapInArrow(check, f"u {kind}, v {kind}").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every document: id, n_shingles, component_id, kept."""
-    percent, limit = round(100 * threshold), most_bits(threshold)
-    kind = dict(docs.dtypes)[id_col]
+    percent, kind = round(100 * threshold), dict(docs.dtypes)[id_col]
     own = stored(signatures(docs, words, id_col, text_col))
-    # one class for each distinct set; max_by would keep whole rows, the digest decides equality
-    classes = stored(own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch"), F.min_by("bands", "id").alias("bands")))
-
-    members = classes.select("rep", "sketch", F.explode("bands").alias("bucket"))
-    shared = members.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stored(members.join(shared, "bucket").select("bucket", "n", "rep", "sketch"))
-
-    # pass 1: every member against its bucket's first; a bucket's first is an aggregate with partial sums
-    first = buckets.groupBy("bucket").agg(F.min("rep").alias("v"), F.min_by("sketch", "rep").alias("other"))
-    star = buckets.join(first, "bucket").where("rep <> v").groupBy("rep", "v").agg(F.first("sketch").alias("sketch"), F.first("other").alias("other"))
-
-    def near(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = np.bitwise_count(a ^ b).sum(axis=1) <= limit
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    pairs = stored(star.select(F.col("rep").alias("u"), "v", "sketch", "other").mapInArrow(near, f"u {kind}, v {kind}"))
-    links = confirmed(pairs, docs, words, percent, id_col, text_col)
+    least = lambda c: F.min_by(c, "id").alias(c)
+    classes = stored(own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("size"), least("samples"), least("sketch"), least("bands")))
+
+    members = classes.select(F.lit(0).alias("t"), F.explode("bands").alias("key"), "rep")
+    shared = members.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    members = stored(members.join(shared, ["t", "key"]))
+    sketches = classes.select("rep", "size", "samples", "sketch")
+
+    def first_pass(key, found):
+        """The forest of the pairs that pass, and every row that is in such a pair."""
+        i, j = key[2].as_py(), key[3].as_py()
+        found = found.sort_by("key")
+        bucket, block, sketch = found.column("key").to_numpy(), found.column("block").to_numpy(), Sketches(found, threshold)
+        us, vs = [], []
+        for x, y in pairs_of(bucket, block, i, j):
+            rows = x if i == j else np.concatenate([x, y])
+            near = np.full((len(rows), len(rows)), -1.0)
+            if i == j:
+                near = sketch.estimate(x, y)
+            else:
+                near[: len(x), len(x) :] = sketch.estimate(x, y)
+                near[len(x) :, : len(x)] = near[: len(x), len(x) :].T
+            np.fill_diagonal(near, -1)
+            for a, b in forest(near):
+                us.append(rows[a])
+                vs.append(rows[b])
+        rep = found.column("rep")
+        return pa.table({"u": rep.take(pa.array(us, pa.int64())), "v": rep.take(pa.array(vs, pa.int64()))})
+
+    def second_pass(key, found):
+        """Rows with a partner that passes and lies in another component."""
+        i, j = key[2].as_py(), key[3].as_py()
+        found = found.sort_by("key")
+        bucket, block, sketch = found.column("key").to_numpy(), found.column("block").to_numpy(), Sketches(found, threshold)
+        component = np.unique(found.column("component").to_pylist(), return_inverse=True)[1]
+        keep = np.zeros(len(bucket), bool)
+        for x, y in pairs_of(bucket, block, i, j):
+            near = (component[x][:, None] != component[y][None, :]) & (sketch.estimate(x, y) >= 0)
+            keep[x[near.any(axis=1)]] = True
+            keep[y[near.any(axis=0)]] = True
+        return found.select(["t", "key", "rep"]).filter(pa.array(keep))
+
+    def verified(key, found):
+        """Links between components, by the full sets of all pairs that pass; none within what is connected already."""
+        i, j = key[2].as_py(), key[3].as_py()
+        found = found.sort_by("key")
+        bucket, block, sketch = found.column("key").to_numpy(), found.column("block").to_numpy(), Sketches(found, threshold)
+        root = np.unique(found.column("component").to_pylist(), return_inverse=True)[1]
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in found.column("shingles")]
+        us, vs = [], []
+        for x, y in pairs_of(bucket, block, i, j):
+            near = sketch.estimate(x, y)
+            a, b = np.nonzero(np.triu(near >= 0, 1) if i == j else near >= 0)
+            order = np.argsort(-near[a, b], kind="stable")
+            a, b = x[a[order]], y[b[order]]
+            while True:
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                if not len(a):
+                    break
+                for p, q in zip(a[:64], b[:64], strict=True):
+                    if root[p] == root[q]:
+                        continue
+                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                        us.append(p)
+                        vs.append(q)
+                        root[root == root[q]] = root[p]
+                a, b = a[64:], b[64:]
+        rep = found.column("rep")
+        return pa.table({"u": rep.take(pa.array(us, pa.int64())), "v": rep.take(pa.array(vs, pa.int64()))})
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    columns = ["rep", "size", "samples", "sketch"]
+    work = stored(dealt(members.join(sketches, "rep"), columns))
+    pairs = stored(ordered(work.groupBy(*GROUP).applyInArrow(first_pass, f"u {kind}, v {kind}")))
+    # a row that passes with any other is in its bucket's forest, so these are all the ids whose sets either pass needs
+    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs, words, id_col, text_col)
+    links = confirmed(pairs, sets, percent)
     part = stored(components(links))
 
-    # pass 2: what still lies apart within a bucket
-    labelled = buckets.join(part.withColumnRenamed("u", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    apart = labelled.join(mixed_buckets, "bucket").select("bucket", "rep", "component", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    # block i meets every block j >= i: a row goes to as many tasks as its bucket has blocks
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = apart.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component", "sketch")
-
-    def compare(key, found):
-        i, j = key[1].as_py(), key[2].as_py()
-        mine = found.column("mine").to_numpy()
-        rep, comp = np.asarray(found.column("rep").to_pylist()), np.asarray(found.column("component").to_pylist())
-        sketch = np.frombuffer(b"".join(found.column("sketch").to_pylist()), np.uint64).reshape(len(rep), -1)
-        x, y = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        us, vs = [], []
-        for start in range(0, len(x), 256):
-            part = x[start : start + 256]
-            ok = (population(sketch[part], sketch[y]) <= limit) & (comp[part][:, None] != comp[y][None, :]) & ((rep[part][:, None] > rep[y][None, :]) | (i != j))
-            a, b = np.nonzero(ok)
-            us += list(np.maximum(rep[part[a]], rep[y[b]]))
-            vs += list(np.minimum(rep[part[a]], rep[y[b]]))
-        kinds = found.schema.field("rep").type
-        return pa.table({"u": pa.array(us, kinds), "v": pa.array(vs, kinds)})
-
-    rest = dealt.groupBy("bucket", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}").distinct()
-    more = stored(rest.join(pairs, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, words, percent, id_col, text_col))
-        part = stored(components(links))
+    names = part.withColumnRenamed("u", "rep")
+    label = lambda rows: rows.join(names, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = label(work)
+    apart = labelled.groupBy(*GROUP, "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*GROUP, "key")
+    open_rows = stored(labelled.join(apart, [*GROUP, "key"]).groupBy(*GROUP).applyInArrow(second_pass, f"t int, key long, rep {kind}").distinct())
+    if not open_rows.isEmpty():
+        full = label(open_rows).join(sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        more = stored(dealt(full, [*columns, "component", "shingles"]).groupBy(*GROUP).applyInArrow(verified, f"u {kind}, v {kind}"))
+        part = stored(components(links.unionByName(ordered(more))))
     named = classes.select("set_key", "rep").join(part.withColumnRenamed("u", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("c"))
     out = own.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
