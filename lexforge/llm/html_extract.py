@@ -2,7 +2,7 @@
 
 A page is read once into leaf blocks: runs of text between block-level tags, with
 the open elements above them. Each block has features of its ancestors (tags, and
-the words of their class, id and role), of its own tag and text (length, link
+the words of their class, id and role; those of the innermost marked element apart), of its own tag and text (length, link
 share, punctuation) and of its place. The field's two labels are main text or not;
 it is trained by its conditional likelihood on labelled pages made by a rule below,
 and decoded by Viterbi.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,9 +45,9 @@ class Block:
     tag: str
     path: tuple[str, ...]
     hints: frozenset[str]
+    near: frozenset[str]  # hints of the innermost element that has any
     text: str
     linked: int = 0
-    more: dict = field(default_factory=dict)
 
 
 def tag_end(page: str, at: int) -> int:
@@ -76,7 +76,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
             path = tuple(t for t, _ in stack)
-            out.append(Block(path[-1] if path else "", path, frozenset().union(*(h for _, h in stack)) if stack else frozenset(), text, min(linked, len(text))))
+            hints = [h for _, h in stack if h]
+            out.append(Block(path[-1] if path else "", path, frozenset().union(*hints), hints[-1] if hints else frozenset(), text, min(linked, len(text))))
         texts.clear()
         linked = 0
 
@@ -159,6 +160,7 @@ def features(page: list[Block]) -> list[list[str]]:
         own = [f"tag={b.tag}", f"len={bucket(len(b.text))}", f"link={min(4, int(share * 4 + 0.01))}", "ends" if PUNCTUATION.search(b.text) else "open", f"words={bucket(b.text.count(' '))}"]
         own += [f"in={t}" for t in set(b.path)]
         own += [f"hint={h}" for h in b.hints]
+        own += [f"near={h}" for h in b.near] or ["near="]
         if "©" in b.text:
             own.append("copyright")
         if has_article:
@@ -327,11 +329,11 @@ class Maker:
                 body.append((f"<pre>{self.words(2, 9)}</pre>", True))
             elif u < 0.21:
                 body.append((f"<table><tr><td>{self.words(1, 3)}<td>{self.words(1, 3)}</table>", True))
-            elif u < 0.27:
-                body.append((self.furniture(r.choice(["ad", "related", "share", "notice", "form", "sidebar"])), False))
+            elif u < 0.4:
+                body.append((self.furniture(r.choice(["ad", "ad", "related", "share", "notice", "form", "sidebar", "nav", "header", "footer"])), False))
             else:
                 body.append((f"<p>{self.paragraph()}" + ("</p>" if r.random() < 0.85 else "<br>"), True))
-        if r.random() < 0.1:
+        if r.random() < 0.25:
             body.append((self.furniture("comments"), False))
         before = [(self.furniture(k), False) for k in r.sample(["nav", "menu", "header", "ad", "notice", "breadcrumb", "sidebar", "form"], r.randint(1, 4))]
         after = [(self.furniture(k), False) for k in r.sample(["footer", "comments", "related", "ad", "sidebar", "form", "notice", "share", "nav"], r.randint(1, 4))]
@@ -351,7 +353,7 @@ def labelled_page(parts: list[tuple[str, bool]]) -> tuple[list[list[str]], list[
 
 
 @lru_cache(1)
-def model(pages: int = 400, seed: int = 11) -> Field:
+def model(pages: int = 600, seed: int = 11) -> Field:
     maker = Maker(seed)
     return Field().train([labelled_page(maker.page()) for _ in range(pages)])
 
