@@ -53,7 +53,7 @@ def term_hashes(text: Column) -> Column:
 def lexicon(docs: DataFrame, text: Column, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> list[int]:
     """Hashes of the terms in the band."""
     n = docs.count()
-    low, high = n * math.exp(-idf_high), n * math.exp(-idf_low)
+    low, high = n * math.exp(-idf_high) * (1 - 1e-9), n * math.exp(-idf_low) * (1 + 1e-9)  # ends belong to the band, whatever rounding does
     df = docs.select(F.explode(term_hashes(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return [r.term for r in df.where((F.col("df") >= low) & (F.col("df") <= high)).select("term").collect()]
 
