@@ -96,7 +96,7 @@ def field_scores(shares: DataFrame, terms: DataFrame, n: Column) -> DataFrame:
 
     terms: query_id, term, evidence, doc_freq (null: unknown).
     """
-    tf = shares.join(F.broadcast(terms), "term").groupBy("query_id", "match_id", "term").agg(F.sum("share").alias("tf"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"))
+    tf = shares.join(terms, "term").groupBy("query_id", "match_id", "term").agg(F.sum("share").alias("tf"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"))
     one = ranker_idf(n, F.col("doc_freq")) * F.col("tf") / (K1 + F.col("tf")) * F.col("evidence")
     return tf.groupBy("query_id", "match_id").agg(F.sum(one).alias("score"))
 

@@ -26,6 +26,10 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return term_frequencies(queries, "query_id", text).withColumnRenamed("tf", "weight")
 
 
+def few(rows: DataFrame, bound: int = BROADCAST_TERMS) -> bool:
+    return rows.limit(bound + 1).count() <= bound
+
+
 def score(terms: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFrame, df: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """query_id, match_id, score (float): BM25 of every chunk that has a query term.
 
@@ -33,9 +37,8 @@ def score(terms: DataFrame, posted: DataFrame, lengths: DataFrame, stats: DataFr
     done on narrow postings; texts are joined for winners only.
     """
     asked = terms if scope is None else terms.join(scope.select("query_id", *SCOPE), "query_id")
-    asked = asked.join(df, [*SCOPE, "term"]).join(F.broadcast(stats), SCOPE)  # stats: a row for each collection and kind
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
+    with_stats = asked.join(df, [*SCOPE, "term"]).join(stats, SCOPE)  # a row for each term asked, at most
+    asked = F.broadcast(with_stats) if few(terms) else with_stats
     found = posted.join(asked, [*SCOPE, "term"]).join(lengths.select("match_id", "length"), "match_id")
     share = contribution(F.col("tf"), F.col("length"), F.col("total_tokens") / F.col("doc_count"), F.col("doc_count"), F.col("doc_freq"), F.col("weight"))
     return found.groupBy("query_id", "match_id").agg(F.sum(share).cast("float").alias("score")).where("score > 0")

@@ -12,7 +12,7 @@ from ..operators import ranking as R
 from ..operators import search as S
 from . import oracle as O
 from .api import excerpt_window
-from .queries_search import Built, asked, best, doc_chunks, table, talk_chunks
+from .queries_search import TALK_SCOPE, Built, asked, best, doc_chunks, table, talk_chunks
 from .query_plan import EXTENSIONS, QueryPlan, classified
 
 QUERIES, ORACLES = {}, {}
@@ -95,20 +95,19 @@ def lanes(spark, sf_dir):
     """Lexical, meaningful and expansion lanes of a weak and a strong query; definitions and paths by rule."""
     b = Built(doc_chunks(spark, sf_dir))
     rows = b.hits(asked(spark, [(1, "the stupid trash"), (2, "trash")]))
-    lexical = S.top(rows.where("query_id = 1 or match_id like '%3'"), 60)
+    lexical = S.top(rows, 60)
     meaningful = S.top(b.hits(asked(spark, [(1, "stupid trash")])), S.RESERVE)
     expansion = S.top(b.hits(asked(spark, [(2, "idiot clown")])), S.TOP)
-    own = b.chunks.withColumn("n", F.col("match_id").cast("long"))
-    definition = own.where("n % 100 = 7").select(F.lit(1).cast("long").alias("query_id"), "match_id")
-    path = own.where("n % 250 = 11").select(F.lit(2).cast("long").alias("query_id"), "match_id")
+    definition = b.chunks.where(F.col("text").startswith("The ")).select(F.lit(1).cast("long").alias("query_id"), "match_id")
+    path = S.path_lane(b.chunks, "11.txt").select(F.lit(2).cast("long").alias("query_id"), "match_id")
     return S.merged_lanes(lexical, meaningful, definition, path, expansion)
 
 
 LANES = f"""{O.scored(O.DOCS, O.values([(1, 'the stupid trash'), (2, 'trash'), (11, 'stupid trash'), (12, 'idiot clown')], 'query_id, query'))},
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS r FROM hits WHERE query_id <> 2 OR match_id LIKE '%3'),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS r FROM hits),
   every AS (SELECT query_id, match_id, score AS raw_bm25, NULL::FLOAT AS meaningful_bm25, NULL::BOOLEAN AS definition, NULL::BOOLEAN AS path, NULL::FLOAT AS expansion_bm25 FROM ranked WHERE query_id < 10 AND r <= 60
     UNION ALL SELECT 1, match_id, NULL, score, NULL, NULL, NULL FROM ranked WHERE query_id = 11 AND r <= 40 UNION ALL SELECT 2, match_id, NULL, NULL, NULL, NULL, score FROM ranked WHERE query_id = 12 AND r <= 200
-    UNION ALL SELECT 1, match_id, NULL, NULL, TRUE, NULL, NULL FROM src WHERE CAST(match_id AS BIGINT) % 100 = 7 UNION ALL SELECT 2, match_id, NULL, NULL, NULL, TRUE, NULL FROM src WHERE CAST(match_id AS BIGINT) % 250 = 11),
+    UNION ALL SELECT 1, match_id, NULL, NULL, TRUE, NULL, NULL FROM src WHERE starts_with(text, 'The ') UNION ALL SELECT 2, match_id, NULL, NULL, NULL, TRUE, NULL FROM src WHERE ends_with(path, '/11.txt')),
   lanes AS MATERIALIZED (SELECT CAST(query_id AS BIGINT) AS query_id, match_id, max(raw_bm25) AS raw_bm25, max(meaningful_bm25) AS meaningful_bm25, bool_or(definition) AS definition, bool_or(path) AS path, max(expansion_bm25) AS expansion_bm25 FROM every GROUP BY 1, 2)"""
 
 
@@ -137,10 +136,10 @@ WANTED = ["stupid", "trash", "the"]
   SELECT match_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * share / (1.5::DOUBLE + share)), 6) AS score FROM shares JOIN df USING (term) CROSS JOIN st GROUP BY 1""")
 def field_scores_session(spark, sf_dir):
     """The body field of every session chunk by its role."""
-    b = Built(talk_chunks(spark, sf_dir))
+    b = Built(talk_chunks(spark, sf_dir), TALK_SCOPE)
     fields = b.chunks.select("match_id", R.body_field().alias("field"))
     terms = spark.createDataFrame([(1, t, 1.0) for t in ("the", "of", "and")], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
-    counts = b.posted.join(F.broadcast(terms.select("term")), "term", "left_semi").join(b.lengths, ["match_id", "collection", "kind"]).join(fields, "match_id").join(F.broadcast(b.stats), ["collection", "kind"])
+    counts = b.posted.join(terms.select("term"), "term", "left_semi").join(b.lengths, ["match_id", "collection", "kind"]).join(fields, "match_id")
     n = b.stats.first().doc_count
     return R.field_scores(R.field_shares(counts, F.lit(0.0)), terms, F.lit(n)).select("match_id", F.round("score", 6).alias("score"))
 
@@ -157,7 +156,7 @@ def field_scores_project(spark, sf_dir):
     sizes = counted.groupBy("match_id", "field").agg(F.sum("tf").alias("length"))
     terms = spark.createDataFrame([(1, t, 1.0) for t in ("src0", "txt", "trash", "stupid")], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
     stats = b.stats.first()
-    counts = counted.join(F.broadcast(terms.select("term")), "term", "left_semi").join(sizes, ["match_id", "field"])
+    counts = counted.join(terms.select("term"), "term", "left_semi").join(sizes, ["match_id", "field"])
     return R.field_scores(R.field_shares(counts, F.lit(stats.total_tokens / stats.doc_count)), terms, F.lit(stats.doc_count)).select("match_id", F.round("score", 6).alias("score"))
 
 
@@ -229,7 +228,7 @@ def ranked_search(spark, sf_dir):
     meaningful = S.top(b.hits(asked(spark, [(i, " ".join(p.original)) for i, p in plans.items() if p.stopwords_removed])), S.RESERVE)
     none = lexical.limit(0)
     pool = S.admitted(S.merged_lanes(lexical, meaningful, none, none, none), F.lit(False), F.lit(False), F.lit(False))
-    chunks = b.chunks.withColumns({"field_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}).join(F.broadcast(pool.select("match_id").distinct()), "match_id", "left_semi")
+    chunks = b.chunks.withColumns({"field_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}).join(pool.select("match_id").distinct(), "match_id", "left_semi")
     counted = T.term_frequencies(R.field_texts(chunks), ["match_id", "field"], "value")
     sizes = counted.groupBy("match_id", "field").agg(F.sum("tf").alias("length"))
     terms = spark.createDataFrame([(i, t, 1.0) for i, p in plans.items() for t in p.original], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")

@@ -48,8 +48,8 @@ def talk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Built:
     """Postings and statistics of some chunks."""
 
-    def __init__(self, chunks: DataFrame) -> None:
-        self.chunks = chunks
+    def __init__(self, chunks: DataFrame, scope: tuple[str, str] = ("docs", "project")) -> None:
+        self.chunks, self.scope = chunks, scope
         self.posted = I.postings(chunks)
         self.lengths = I.lengths(chunks, self.posted)
         self.stats = I.corpus_stats(self.lengths)
@@ -57,8 +57,8 @@ class Built:
 
     def hits(self, terms: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
         posted = self.posted if chunks is None else self.posted.join(chunks.select("match_id"), "match_id", "left_semi")
-        scope = self.chunks.select("collection", "kind").limit(1)
-        return S.score(terms.crossJoin(F.broadcast(scope)), posted, self.lengths, self.stats, self.df)
+        collection, kind = self.scope
+        return S.score(terms.withColumns({"collection": F.lit(collection), "kind": F.lit(kind)}), posted, self.lengths, self.stats, self.df)
 
 
 def asked(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
@@ -125,9 +125,12 @@ def bm25_batch(spark, sf_dir):
     return best(Built(doc_chunks(spark, sf_dir)).hits(S.query_terms(asked_)), 5)
 
 
+TALK_SCOPE = ("talks", "session")
+
+
 def narrowed(chunks_of, rows, **filters):
     def run(spark, sf_dir):
-        b = Built(chunks_of(spark, sf_dir))
+        b = Built(chunks_of(spark, sf_dir), TALK_SCOPE if chunks_of is talk_chunks else ("docs", "project"))
         return best(b.hits(asked(spark, rows), S.filtered(b.chunks, **filters)), 10)
 
     return run

@@ -12,7 +12,7 @@ from ..operators import sessions as N
 from ..sources import session_records as J
 from ..streaming.incremental import IndexStream, appended, checkpoints
 from . import oracle as O
-from .queries_search import Built, S, asked, best, table, talk_chunks
+from .queries_search import TALK_SCOPE, Built, S, asked, table, talk_chunks
 
 QUERIES, ORACLES = {}, {}
 
@@ -51,7 +51,7 @@ TALKED = [(1, "stupid trash"), (2, "with the")]
 def session_topk(spark, sf_dir):
     """Copies are grouped before the ten best are taken."""
     chunks = copied_talks(spark, sf_dir)
-    hits = Built(chunks).hits(asked(spark, TALKED)).withColumn("score", F.round(F.col("score").cast("double"), 5))
+    hits = Built(chunks, TALK_SCOPE).hits(asked(spark, TALKED)).withColumn("score", F.round(F.col("score").cast("double"), 5))
     grouped = N.grouped_hits(N.occurrences(chunks).join(hits, "match_id"))
     return S.top(grouped, 10).select("query_id", "match_id", "copy_count", "score", F.col("rank").cast("long").alias("rank"))
 

@@ -34,7 +34,7 @@ def chunks(spark, docs):
 @pytest.mark.parametrize("query", ["timeout", "parseHTTPResponse", "snake_case", "http timeout", "timeout timeout", "nomatchqvx"])
 def test_scores(spark, query):
     docs = ["parseHTTPResponse timeout timeout snake_case", "http Timeout in snake_case and snake", "nothing here", ""]
-    found = {r.match_id: r.score for r in Built(chunks(spark, docs)).hits(asked(spark, [(1, query)])).collect()}
+    found = {r.match_id: r.score for r in Built(chunks(spark, docs), ("c", "project")).hits(asked(spark, [(1, query)])).collect()}
     for i, want in enumerate(brute(docs, query)):
         assert found.get(str(i), 0.0) == pytest.approx(want, abs=1e-6)
 
@@ -56,7 +56,7 @@ def test_incremental_equals_batch(spark):
 
 def test_weak_and_filters(spark):
     docs = ["panic"] * 3
-    hits = Built(chunks(spark, docs)).hits(asked(spark, [(1, "panic")]))
+    hits = Built(chunks(spark, docs), ("c", "project")).hits(asked(spark, [(1, "panic")]))
     assert S.is_weak(hits).first().weak
     found = S.filtered(chunks(spark, docs), path_glob="src/[01].rs")
     assert found.count() == 2
