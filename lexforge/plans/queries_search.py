@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import search as S
 from ..sources import project as P
+from ..sources.shared import stored
 from . import oracle as O
 
 QUERIES, ORACLES = {}, {}
@@ -46,11 +47,11 @@ def talk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Built:
-    """Postings and statistics of some chunks."""
+    """Postings of some chunks, written once as an index is, and the statistics over them."""
 
     def __init__(self, chunks: DataFrame, scope: tuple[str, str] = ("docs", "project")) -> None:
         self.chunks, self.scope = chunks, scope
-        self.posted = I.postings(chunks)
+        self.posted = stored(I.postings(chunks))
         self.lengths = I.lengths(chunks, self.posted)
         self.stats = I.corpus_stats(self.lengths)
         self.df = I.term_stats(self.posted)

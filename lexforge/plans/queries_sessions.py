@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..streaming.folders import stream_folder
+from ..sources.shared import stream_folder
 from ..operators import coverage as V
 from ..operators import sessions as N
 from ..sources import session_records as J
