@@ -145,3 +145,13 @@ def read_project(files: DataFrame, collection: str) -> tuple[DataFrame, DataFram
     key = F.sha2(F.concat(F.lit(collection), F.lit("\x00"), "path"), 256).alias("source_key")
     found = chunk_texts(decoded.where("reason is null").select(key, "path", "version", "text"), ["source_key", "path", "version"])
     return found.withColumns({"collection": F.lit(collection), "kind": F.lit("project")}), decoded.where("reason is not null").select("path", "reason")
+
+
+def narrowed_changes(porcelain: list[str], diff: list[str]) -> set[str] | None:
+    """Paths to look at again, from ``git status --porcelain`` and ``git diff --name-only`` lines; None (everything) if an ignore file changed."""
+    paths = {p.strip() for p in diff if p.strip()}
+    for line in porcelain:
+        name = line[3:].strip()
+        paths |= {part.strip().strip('"') for part in name.split(" -> ")} if name else set()
+    ignoring = (".gitignore", ".git/info/exclude")
+    return None if any(p.endswith(ignoring) for p in paths) else paths
