@@ -18,6 +18,7 @@ table gives an empty one. Texts of any length are scanned whole, in linear time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
@@ -35,7 +36,8 @@ COUNTED = 200_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As ``[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`` matches, whose matches begin and end with a run of digits, but in linear time.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -93,6 +95,20 @@ def base_spans(text: str) -> list[Span]:
 def windows(text: str, spans: list[Span]) -> list[tuple[int, int, str, int, int]]:
     """(entity, window, term, start, end) of each term near each mention; entity and window as hashes."""
     out = []
+    # the spans' union, to leave out their own words by one look each
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def within(m: re.Match) -> bool:
+        k = bisect_left(starts, m.end()) - 1
+        return k >= 0 and ends[k] > m.start()
+
     for start, end, kind in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}") >> 1
         # a window of words is found within some characters on either side; growing, as words may be long
@@ -108,7 +124,7 @@ def windows(text: str, spans: list[Span]) -> list[tuple[int, int, str, int, int]
                 near = before[-WINDOW:] + after[:WINDOW]
                 break
             reach *= 4
-        near = [m for m in near if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        near = [m for m in near if not within(m)]
         window = xxhash.xxh64_intdigest(" ".join(m[0].lower() for m in near)) >> 1
         out += [(entity, window, m[0].lower(), m.start(), m.end()) for m in near]
     return out
@@ -121,7 +137,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])), pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
-        for batch in batches:
+        for batch in sliced(batches):
             base, terms = [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
@@ -141,7 +157,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "c"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(set(WORD.findall(text.lower())))

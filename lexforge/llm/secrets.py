@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row
+from .common import per_row, sliced
 
 KINDS = ("assign", "access", "hex")
 MAX_INFLATED = 1 << 26
@@ -36,12 +36,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
-PERCENT_RUN = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+RUN = re.compile(r"[^\s\"'<>]+")
 BACKSLASH = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BACKSLASH_RUN = re.compile(r"[^\s\"'<>]*\\[ux][0-9A-Fa-f{][^\s\"'<>]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A base64 segment without these is more likely a word: it must mix cases or hold digits.
-MIXED = re.compile(r"[a-z].*[A-Z0-9+/_=-]|[A-Z0-9+/_=-].*[a-z].*[A-Z0-9]")
+#: A base64 segment without both of these is a word.
+LOWER, OTHER = re.compile(r"[a-z]"), re.compile(r"[A-Z0-9+/_=-]")
 
 Span = tuple[int, str, int]  # start, kind, end
 
@@ -86,7 +85,9 @@ class Layer:
 def percent_layers(layer: Layer) -> Iterator[Layer]:
     if "%" not in layer.text or not ESCAPED.search(layer.text):
         return
-    for run in PERCENT_RUN.finditer(layer.text):
+    for run in RUN.finditer(layer.text):
+        if not ESCAPED.search(layer.text, run.start(), run.end()):
+            continue
         raw, sources, i, text = bytearray(), [], run.start(), layer.text
         while i < run.end():
             if ESCAPED.match(text, i):
@@ -105,7 +106,9 @@ def percent_layers(layer: Layer) -> Iterator[Layer]:
 def backslash_layers(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text:
         return
-    for run in BACKSLASH_RUN.finditer(layer.text):
+    for run in RUN.finditer(layer.text):
+        if not BACKSLASH.search(layer.text, run.start(), run.end()):
+            continue
         text, units, sources, i = layer.text, [], [], run.start()
         while i < run.end():
             m = BACKSLASH.match(text, i)
@@ -145,7 +148,7 @@ def inflate(raw: bytes) -> bytes | None:
 def base64_layers(layer: Layer) -> Iterator[Layer]:
     for run in BASE64.finditer(layer.text):
         word = run[0]
-        if not MIXED.search(word):
+        if not (LOWER.search(word) and OTHER.search(word)):
             continue
         body = word.rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -244,7 +247,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if t is None else redact_text(t) for t in batch.column(position).to_pylist()]
             yield batch.set_column(position, batch.schema.field(position), pa.array(texts, batch.schema.field(position).type))
 
