@@ -19,8 +19,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-#: Entries a per-worker memo may hold before it is emptied; it never changes a result.
-MEMO_ENTRIES = 300_000
+#: Entries of one generation of a memo; it never changes a result.
+MEMO_ENTRIES = 120_000
+
+
+class Recent(dict):
+    """A memo of two generations: at ``most`` entries the young one becomes the old one, whose entries come back when met.
+
+    A subclass says how to ``make`` a value; memory is bounded, and what is common stays.
+    """
+
+    def __init__(self, most: int = MEMO_ENTRIES) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +81,13 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches over the same memory, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def per_row(df: DataFrame, columns: list[str | Column], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """``mapInArrow`` over ``columns``: ``make()`` runs once a task and returns rows(list of columns) -> list of columns."""
     fields = StructType.fromDDL(schema).fields
@@ -65,7 +96,7 @@ def per_row(df: DataFrame, columns: list[str | Column], schema: str, make: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = make()
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 out = rows(*[c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)

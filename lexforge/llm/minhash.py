@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import GROUP, dealt, pairs_of
-from .common import MEMO_ENTRIES, stored
+from .common import Recent, sliced, stored
 from .components import components
 
 BANDS, ROWS = 28, 5
@@ -48,12 +48,9 @@ UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
+class WordHash(Recent):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -164,7 +161,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
     def run(batches):
         memo = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             n, key, samples, sketch, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words, memo)
@@ -198,7 +195,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
     def run(batches):
         bits = np.zeros(FILTER_BITS // 32, np.int32)
-        for batch in batches:
+        for batch in sliced(batches):
             at = places(batch.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 5, (np.uint32(1) << (at & 31).astype(np.uint32)).view(np.int32))
         word = np.flatnonzero(bits)
@@ -217,7 +214,7 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_
 
     def run(batches):
         memo, bits = WordHash(), wanted.value
-        for batch in batches:
+        for batch in sliced(batches):
             at = places(batch.column(2).to_numpy()).reshape(4, -1)
             keep = (bits[at >> 5].view(np.uint32) >> (at & 31).astype(np.uint32) & 1).all(axis=0)
             batch = batch.filter(pa.array(keep))
@@ -235,7 +232,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def check(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)

@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent, sliced
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 512
+#: Words of one of two generations of the memo.
+MEMO_WORDS = 250_000
 
 
 class FirstFit:
@@ -105,46 +108,31 @@ PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
-class Memo(dict):
-    """A memo of two generations: at ``most`` entries the young one becomes the old one, whose entries come back when met."""
+class WordIds(Recent):
+    """Ids of words without white space, and of pre-tokens, as little-endian unsigned 16-bit bytes.
 
-    def __init__(self, make, most: int = 500_000) -> None:
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(word)
-        if out is None:
-            out = self.make(word)
-        self[word] = out
-        return out
-
-
-class WordIds:
-    """Ids of words without white space, as little-endian unsigned 16-bit bytes."""
+    A pre-token's ids do not depend on its neighbours.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__(MEMO_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
         self.model = self.tokenizer.model
-        #: Words and pre-tokens alike: a pre-token's ids do not depend on its neighbours.
-        self.words = Memo(self.word)
 
-    def word(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if word.isascii() and word.isalpha() and word.islower():
             return self.piece(word)
         if not word:
             return b""
         if PLAIN.fullmatch(word):
             pieces = PRETOKEN.findall(word.lower())
-            return b"".join(map(self.words.__getitem__, pieces)) if pieces != [word] else self.piece(word)
+            return b"".join(map(self.__getitem__, pieces)) if pieces != [word] else self.piece(word)
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return pack_ids(f"<{len(ids)}H", *ids)
 
@@ -174,13 +162,11 @@ def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", t
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        find = word_ids(path).words.__getitem__
+        find = word_ids(path).__getitem__
         end = np.asarray([END_ID], "<u2").tobytes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                ids = [b"".join(map(find, split_words(t or ""))) + end for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), part.column(2)], ["doc_id", "ids", "grp"])
+        for part in sliced(batches):
+            ids = [b"".join(map(find, split_words(t or ""))) + end for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), part.column(2)], ["doc_id", "ids", "grp"])
 
     # the partition's number and the row's place in it are the same again if a task is repeated
     deal = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(groups))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, held_out, labelled_sample, per_row
+from .common import Recent, held_out, labelled_sample, per_row, sliced
 
 #: Labelled rows the classifier is fitted on, at most; their texts come to the driver.
 TRAIN_ROWS = 2_500
@@ -95,18 +95,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.4,
     return np.where(seen, table @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32), float(bias[1] - bias[0])
 
 
-class Memo(dict):
+class Memo(Recent):
     """word -> complex(sum of its rows' shares, number of its rows)."""
 
     def __init__(self, shares: np.ndarray) -> None:
+        super().__init__()
         self.shares = shares
 
-    def __missing__(self, word: str) -> complex:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+    def make(self, word: str) -> complex:
         rows = buckets(word)
-        self[word] = out = complex(float(self.shares[rows].sum()), len(rows))
-        return out
+        return complex(float(self.shares[rows].sum()), len(rows))
 
 
 def score_text(text: str, memo: Memo, bias: float) -> float:
@@ -148,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         memo = Memo(shares.value)
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [score_text(t or "", memo, bias) >= THRESHOLD for t in batch.column(position).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

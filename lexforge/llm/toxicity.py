@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, held_out, labelled_sample, per_row
+from .common import Recent, held_out, labelled_sample, per_row, sliced
 
 FLOOR = 0.02
 THRESHOLD = 0.7
@@ -32,6 +32,8 @@ TRAIN_ROWS = 24_000
 #: Entries of the lexicon, at most: the strongest ones.
 LEXICON_ENTRIES = 5_000
 STEMS = (4, 5, 6, 7)
+#: Features counted in a task before they are handed on.
+COUNTED = 300_000
 
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca tampoco".split())
 REPORTS = frozenset("said says wrote claimed called quoted alleged sagte schrieb nannte dit écrit dijo escribió".split())
@@ -122,18 +124,16 @@ def grammar() -> Transducer:
     return threat().then(insult()).then(negation()).then(reported()).then(target())
 
 
-class Memo(dict):
+class Memo(Recent):
     """word -> weight of the strongest lexicon entry that fits it, 0 without one."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+    def make(self, word: str) -> float:
         found = [self.lexicon.get(word, 0.0), *(self.lexicon.get(f"{word[:n]}*", 0.0) for n in STEMS if len(word) >= n), 0.9 if word in THREATS else 0.0]
-        self[word] = out = max(found)
-        return out
+        return max(found)
 
 
 def symbol(word: str, memo: Memo) -> str:
@@ -187,14 +187,14 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["feature", "n", "t"])
 
         seen, toxic = Counter(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = features(WORD.findall(text.lower()))
                 found.add("")  # counts documents
                 seen.update(found)
                 if y == 1:
                     toxic.update(found)
-                if len(seen) > MEMO_ENTRIES:
+                if len(seen) > COUNTED:
                     yield out(seen, toxic)
                     seen, toxic = Counter(), Counter()
         yield out(seen, toxic)
@@ -258,7 +258,7 @@ def flagged_filter(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         import pyarrow as pa
 
         memo, machine = Memo(lexicon), grammar()
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [score_text(t or "", memo, machine)[0] < THRESHOLD for t in batch.column(position).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

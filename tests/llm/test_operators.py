@@ -454,7 +454,7 @@ def test_op9_ids(spark):
 @given(st.text(alphabet="aAbzß'éÉ1.,! \n\t<|>ΣİÅé½", max_size=30))
 def test_op9_words(text):
     own = packing.word_ids(tokenizer_path("word_bpe_49k.json"))
-    found = np.frombuffer(b"".join(map(own.words.__getitem__, packing.split_words(text))), "<u2")
+    found = np.frombuffer(b"".join(map(own.__getitem__, packing.split_words(text))), "<u2")
     assert list(found) == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
