@@ -23,22 +23,27 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import sliced, stored
 from .imatch import let
 
 FREQUENT = 300_000
 LONG_WORD = 64
 COUNTED = 200_000
 NONE = 1 << 30
+#: Stands before a word's first id and after its last.
+EDGE = 65535
 
 Ranks = dict[bytes, int]
 
@@ -57,10 +62,10 @@ def pair_ranks(ranks: Ranks) -> dict[int, int]:
 class PairTable:
     """A perfect hash of the pair ranks: slot = (key * A + displacement of key's bucket) mod N."""
 
-    A, BUCKETS, SLOTS = 2654435761, 1 << 16, 1 << 19
+    A, BUCKETS, SLOTS = 1664525, 1 << 16, 1 << 19
 
     def __init__(self, ranks: Ranks) -> None:
-        if max(ranks.values()) >= 1 << 16:
+        if max(ranks.values()) >= EDGE:
             raise ValueError("ids of more than 16 bits")
         pairs = pair_ranks(ranks)
         buckets: dict[int, list[int]] = {}
@@ -80,54 +85,57 @@ class PairTable:
                 self.slots[i] = key << 16 | pairs[key]
 
     def lookup(self):
-        """(left id, right id) -> the joined piece's id, or NONE."""
+        """An array of keys -> the joined pieces' ids, NONE where a pair is no piece."""
         slots, shifts = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in (self.slots, self.shifts))
 
-        def of(left: Column, right: Column) -> Column:
-            key = F.shiftleft(left.cast("bigint"), 16).bitwiseOR(right)
+        def slot(k: Column) -> Column:
+            return F.get(slots, ((k * F.lit(self.A) + F.get(shifts, (k * F.lit(40503) % F.lit(65521)).cast("int"))) % F.lit(self.SLOTS)).cast("int"))
 
-            def found(k: Column) -> Column:
-                shift = F.get(shifts, (k * F.lit(40503) % F.lit(65521)).cast("int"))
-                slot = F.get(slots, ((k * F.lit(self.A) + shift) % F.lit(self.SLOTS)).cast("int"))
-                return let(slot, lambda s: F.when(F.shiftright(s, 16) == k, s.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE)))
+        def check(k: Column, s: Column) -> Column:
+            return F.when(F.shiftright(s, 16) == k, s.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE))
 
-            return F.coalesce(let(key, found), F.lit(NONE))
+        return lambda keys: let(keys, lambda ks: F.zip_with(ks, F.transform(ks, slot), check))
 
-        return of
 
+def byte_values(word: Column) -> Column:
+    """A UTF-8 word's bytes as numbers: read as ISO-8859-1, a byte is a character."""
+    return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
-def byte_ids(word: Column, ranks: Ranks) -> Column:
-    """The ids of a UTF-8 word's bytes: read as ISO-8859-1, a byte is a character."""
-    ids = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
-    return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(ids, F.ascii(c)))
+
+def int_literal(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
 
 
 def folded(word: Column, ranks: Ranks, table: PairTable) -> Column:
     """The ids of a word: the state is (ids, ranks of neighbouring pairs); each step makes the best merge."""
     rank = table.lookup()
+    ids_of_bytes = int_literal([ranks[bytes([b])] for b in range(256)])
+    pairs_of_bytes = int_literal([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
+    edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
 
-    def ranked(ids: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: rank(F.element_at(ids, i), F.element_at(ids, i + 1)))
-        return F.struct(ids.alias("ids"), F.when(F.size(ids) > 1, pairs).otherwise(F.array().cast("array<int>")).alias("ranks"))
+    def start(values: Column) -> Column:
+        """ids between two edges, which join with nothing; ranks of all neighbours."""
+        pairs = F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.get(pairs_of_bytes, F.element_at(values, i) * 256 + F.element_at(values, i + 1)))
+        inner = F.when(F.size(values) > 1, F.concat(none, pairs, none)).otherwise(F.concat(none, none))
+        return F.struct(F.concat(edge, F.transform(values, lambda b: F.get(ids_of_bytes, b)), edge).alias("ids"), inner.alias("ranks"))
 
     def merge(s: Column, best: Column) -> Column:
         ids, ranks_ = s["ids"], s["ranks"]
-        i = F.array_position(ranks_, best).cast("int")  # pair i joins ids i and i + 1
-        of_i = lambda at: F.struct(
-            F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(
-                F.slice(ranks_, 1, F.greatest(at - 2, F.lit(0))),
-                F.when(at > 1, F.array(rank(F.element_at(ids, at - 1), best))).otherwise(F.array().cast("array<int>")),
-                F.when(at + 2 <= F.size(ids), F.array(rank(best, F.element_at(ids, at + 2)))).otherwise(F.array().cast("array<int>")),
-                F.slice(ranks_, at + 2, F.size(ids)),
-            ).alias("ranks"),
-        )
-        return let(i, of_i)
+
+        def at(i: Column) -> Column:  # pair i joins ids i and i + 1; by the edges, 1 < i
+            around = F.array(F.shiftleft(F.element_at(ids, i - 1).cast("bigint"), 16).bitwiseOR(best), F.shiftleft(best.cast("bigint"), 16).bitwiseOR(F.element_at(ids, i + 2)))
+            return F.struct(
+                F.concat(F.slice(ids, 1, i - 1), F.array(best), F.slice(ids, i + 2, LONG_WORD)).alias("ids"),
+                F.concat(F.slice(ranks_, 1, i - 2), rank(around), F.slice(ranks_, i + 2, LONG_WORD)).alias("ranks"),
+            )
+
+        return let(F.array_position(ranks_, best).cast("int"), at)
 
     def step(s: Column, _: Column) -> Column:
-        return let(F.coalesce(F.array_min(s["ranks"]), F.lit(NONE)), lambda best: F.when(best == NONE, s).otherwise(merge(s, best)))
+        return let(F.array_min(s["ranks"]), lambda best: F.when(best == NONE, s).otherwise(merge(s, best)))
 
-    return let(byte_ids(word, ranks), lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), ranked(ids), step, lambda s: s["ids"]))
+    inner = lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2)
+    return let(byte_values(word), lambda values: F.aggregate(F.sequence(F.lit(1), F.size(values)), start(values), step, inner))
 
 
 def heap_encode(word: bytes, ranks: Ranks) -> list[int]:
@@ -153,18 +161,33 @@ def heap_encode(word: bytes, ranks: Ranks) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+#: Texts of these characters only are cut by a plain pattern that finds the same words.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def finder(pattern: str):
+    """text -> its words. The short cut holds for the one pattern it was written for."""
+    import regex
+
+    whole = regex.compile(pattern).findall
+    if pattern != GPT2:
+        return whole
+    plain, fits = PLAIN_WORDS.findall, PLAIN.fullmatch
+    return lambda text: plain(text) if fits(text) else whole(text)
+
+
 def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     """word, n over all texts; counted in each task before the shuffle."""
 
     def run(batches):
-        import regex
-
-        find, counts = regex.compile(pattern).findall, Counter()
+        find, counts = finder(pattern), Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(find(text))
                 if len(counts) > COUNTED:
@@ -175,8 +198,8 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> dict[str, str]:
-    """At most ``most`` words, the commonest, each with its ids joined by spaces."""
+def frequent_words(texts: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> tuple[pa.Array, pa.Array]:
+    """At most ``most`` words, the commonest, and their ids as unsigned 16-bit bytes."""
     counts = stored(word_counts(texts, pattern).where(F.octet_length("word") <= LONG_WORD))
     # the least count is found by eighths of a power of two: a few hundred rows whatever the corpus
     step = F.floor(F.log2("n") * 8).cast("int")
@@ -188,8 +211,44 @@ def frequent_words(texts: DataFrame, path: str, pattern: str, most: int = FREQUE
         least = r.step
     ranks = read_ranks(path)
     top = counts.where(step >= least).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "word")
-    found = top.select("word", F.array_join(folded(F.col("word"), ranks, PairTable(ranks)), " ").alias("ids")).toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    found = top.select("word", folded(F.col("word"), ranks, PairTable(ranks)).alias("ids")).toArrow().combine_chunks()
+    words, ids = found.column(0).combine_chunks(), found.column(1).combine_chunks()
+    return words, packed_ids(ids)
+
+
+def packed_ids(ids: pa.ListArray) -> pa.Array:
+    values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u2")
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False) * 2, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+class Known(dict):
+    """word -> packed ids. A word that is not here is noted in ``rare`` and stands as a placeholder, or is merged over a heap if long."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array, ranks: Ranks) -> None:
+        super().__init__()
+        for start in range(0, len(words), 20_000):  # few at a time, for the memory of the lists
+            self.update(zip(words.slice(start, 20_000).to_pylist(), ids.slice(start, 20_000).to_pylist(), strict=True))
+        self.ranks, self.rare, self.which = ranks, {}, []
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONG_WORD or len(word.encode()) > LONG_WORD:
+            return np.asarray(heap_encode(word.encode(), self.ranks), "<u2").tobytes()
+        self.which.append(self.rare.setdefault(word, len(self.rare)))
+        return PLACEHOLDER
+
+
+PLACEHOLDER = b"\xff\xff"
+_known: dict[str, Known] = {}
+
+
+def known_words(token: str, frequent, path: str) -> Known:
+    """One for each worker process and call of the operator."""
+    if token not in _known:
+        _known.clear()
+        _known[token] = Known(*frequent.value, read_ranks(path))
+    return _known[token]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,54 +256,57 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _applied(docs, path, pattern, id_col, text_col, "ids array<int>", ids_of)
 
 
-def _applied(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, rows_of) -> DataFrame:
-    """Each text's ids, as ``rows_of(words, their ids as text, pieces by id as text)`` gives them."""
+def _applied(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, row_of) -> DataFrame:
+    """Each text's row, as ``row_of(ids, pieces, decimals)`` gives it."""
     kind, ranks = dict(docs.dtypes)[id_col], read_ranks(path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, path, pattern))
-
-    def rare(batches):
-        import regex
-
-        find, table = regex.compile(pattern).findall, known.value
-        for batch in batches:
-            own = [[w for w in set(find(t)) if w not in table and len(w) <= LONG_WORD and len(w.encode()) <= LONG_WORD] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string()))], ["doc_id", "text", "rare"])
+    frequent, token = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, path, pattern)), uuid.uuid4().hex
+
+    def look_up(batches):
+        find, known = finder(pattern), known_words(token, frequent, path)
+        get = known.__getitem__
+        for batch in sliced(batches):
+            packed, rare, which = [], [], []
+            for text in batch.column(1).to_pylist():
+                known.rare, known.which = {}, []
+                packed.append(b"".join(map(get, find(text))))
+                rare.append(list(known.rare))
+                which.append(known.which)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(which, pa.list_(pa.int32()))], ["doc_id", "packed", "rare", "which"])
 
     table = PairTable(ranks)
-    own = rows.mapInArrow(rare, f"doc_id {kind}, text string, rare array<string>")
-    own = own.withColumn("ids", F.transform("rare", lambda w: F.array_join(folded(w, ranks, table), " ")))
-
-    def apply(batches):
-        import regex
-
-        find, shared, here = regex.compile(pattern).findall, known.value, read_ranks(path)
-        pieces = {str(r): p for p, r in here.items()}
-        for batch in batches:
+    own = rows.mapInArrow(look_up, f"doc_id {kind}, packed binary, rare array<string>, which array<int>")
+    own = own.select("doc_id", "packed", "which", F.transform("rare", lambda w: folded(w, ranks, table)).alias("ids"))
+
+    def fill(batches):
+        pieces: list[bytes] = [b""] * (max(read_ranks(path).values()) + 1)
+        for p, r in read_ranks(path).items():
+            pieces[r] = p
+        decimals = [str(i) for i in range(len(pieces))]
+        for batch in sliced(batches):
             out = []
-            for text, words, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                found = find(text)
-                mine = dict(zip(words, ids, strict=True))
-                for w in set(found):
-                    if w not in shared and w not in mine:
-                        mine[w] = " ".join(map(str, heap_encode(w.encode(), here)))
-                out.append(rows_of([mine[w] if w in mine else shared[w] for w in found], pieces))
+            for packed, which, rare in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                ids = np.frombuffer(packed, "<u2")
+                if which:
+                    gaps = np.split(ids, np.flatnonzero(ids == 0xFFFF))
+                    ids = np.concatenate([gaps[0], *(np.asarray(x, np.int32) for gap, k in zip(gaps[1:], which, strict=True) for x in (rare[k], gap[1:]))])
+                out.append(row_of(ids.tolist(), pieces, decimals))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
     fields = StructType.fromDDL(schema).fields
     kinds, names = [to_arrow_type(f.dataType) for f in fields], ["doc_id", *(f.name for f in fields)]
-    return own.mapInArrow(apply, f"doc_id {kind}, {schema}")
+    return own.mapInArrow(fill, f"doc_id {kind}, {schema}")
 
 
-def ids_of(words: list[str], pieces: dict[str, bytes]) -> tuple[list[int]]:
-    return ([int(i) for w in words for i in w.split(" ")],)
+def ids_of(ids: list[int], pieces: list[bytes], decimals: list[str]) -> tuple[list[int]]:
+    return (ids,)
 
 
-def digests_of(words: list[str], pieces: dict[str, bytes]) -> tuple[int, str, str]:
+def digests_of(ids: list[int], pieces: list[bytes], decimals: list[str]) -> tuple[int, str, str]:
     """Number of ids, digest of the ids, digest of the bytes they decode to."""
-    text = " ".join(words)
-    raw = b"".join(map(pieces.__getitem__, text.split(" "))) if text else b""
-    return text.count(" ") + 1 if text else 0, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+    text = " ".join(map(decimals.__getitem__, ids))
+    raw = b"".join(map(pieces.__getitem__, ids))
+    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
