@@ -7,9 +7,16 @@ with an entity gives their pointwise mutual information,
     PMI(e; t) = ln(N * c(e, t) / (c(e) * c(t))),
 
 c counting documents; it reaches the entity's information content ln(N / c(e)) when
-the term gives the entity away. A term is removed from REMOVE of that on and
-generalised from GENERALISE on, if it is near the entity in SUPPORT different
-windows at least (copies of one passage are one window).
+the term gives the entity away. That is so when p(e | t) = c(e, t) / c(t) is 1, which
+few documents show badly: it is smoothed by PRIOR documents of the term in which the
+entity is as common as anywhere,
+
+    p(e | t) = (c(e, t) + PRIOR * c(e) / N) / (c(t) + PRIOR),
+
+and PMI(e; t) = ln(p(e | t) * N / c(e)). A term is removed from REMOVE of the
+information content on and generalised from GENERALISE on. Every pair is decided,
+those of a single document too. An entity of all documents has no information
+content and marks nothing.
 
 A null text is the empty text. Repeated rows are scanned alike and stay; an empty
 table gives an empty one. Texts of any length are scanned whole, in linear time.
@@ -30,7 +37,7 @@ from .common import sliced, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-WINDOW, SUPPORT = 8, 3
+WINDOW, PRIOR = 8, 1.0
 REMOVE, GENERALISE = 0.9, 0.75
 COUNTED = 200_000
 
@@ -92,8 +99,8 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str, spans: list[Span]) -> list[tuple[int, int, str, int, int]]:
-    """(entity, window, term, start, end) of each term near each mention; entity and window as hashes."""
+def windows(text: str, spans: list[Span]) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) of each term near each mention; entity as a hash."""
     out = []
     # the spans' union, to leave out their own words by one look each
     starts: list[int] = []
@@ -124,25 +131,23 @@ def windows(text: str, spans: list[Span]) -> list[tuple[int, int, str, int, int]
                 near = before[-WINDOW:] + after[:WINDOW]
                 break
             reach *= 4
-        near = [m for m in near if not within(m)]
-        window = xxhash.xxh64_intdigest(" ".join(m[0].lower() for m in near)) >> 1
-        out += [(entity, window, m[0].lower(), m.start(), m.end()) for m in near]
+        out += [(entity, m[0].lower(), m.start(), m.end()) for m in near if not within(m)]
     return out
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, base, near: a row for every row."""
     kind = dict(docs.dtypes)[id_col]
-    span, near = "array<struct<start: long, end: long, kind: string>>", "array<struct<entity: long, window: long, term: string, start: long, end: long>>"
+    span, near = "array<struct<start: long, end: long, kind: string>>", "array<struct<entity: long, term: string, start: long, end: long>>"
 
     def run(batches):
-        kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])), pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
+        kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
         for batch in sliced(batches):
             base, terms = [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-                terms.append([{"entity": e, "window": w, "term": t, "start": a, "end": b} for e, w, t, a, b in windows(text, found)] if found else [])
+                terms.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in windows(text, found)] if found else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kinds[0]), pa.array(terms, kinds[1])], ["row", "doc_id", "base", "near"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col)).mapInArrow(run, f"row long, doc_id {kind}, base {span}, near {near}")
@@ -172,15 +177,19 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """entity, term, action: the pairs whose mutual information passes a threshold."""
     n = scanned.count()
-    mentions = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.window", "m.term")
-    pairs = mentions.groupBy("entity", "term").agg(F.countDistinct("window").alias("support"), F.countDistinct("row").alias("both")).where(F.col("support") >= SUPPORT)
-    pairs = stored(pairs)
+    mentions = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.term")
+    pairs = stored(mentions.groupBy("entity", "term").agg(F.countDistinct("row").alias("both")))
     entities = mentions.groupBy("entity").agg(F.countDistinct("row").alias("ce"))
     terms = pairs.select("term").distinct()
     found = pairs.join(entities, "entity").join(document_frequencies(docs, text_col).join(terms, "term", "left_semi"), "term")
-    pmi = F.log(F.lit(n) * F.col("both") / (F.col("ce") * F.col("c")))
-    share = pmi / F.log(F.lit(n) / F.col("ce"))
-    return found.select("entity", "term", F.when(share >= REMOVE, "remove").when(share >= GENERALISE, "generalise").alias("action")).where("action is not null")
+    return found.where(F.col("ce") < n).select("entity", "term", action(n).alias("action")).where("action is not null")
+
+
+def action(n: int) -> Column:
+    """What is done with a term of ``c`` documents, ``both`` of them with an entity of ``ce`` documents; ce < n."""
+    prior = F.col("ce") / F.lit(float(n))
+    share = 1 - F.log((F.col("both") + PRIOR * prior) / (F.col("c") + PRIOR)) / F.log(prior)
+    return F.when(share >= REMOVE, "remove").when(share >= GENERALISE, "generalise")
 
 
 def listed(spans: Column) -> Column:

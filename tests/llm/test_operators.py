@@ -313,6 +313,18 @@ def test_op5_disclosing_terms(spark):
     assert clean == "memo 0 apple  writes from [EMAIL] about apples"
 
 
+def test_op5_rare_entities(spark):
+    """Entities of one document, of two, and of copies of one document are decided too."""
+    rows = [(1, "the wombat wrote to one@solo.example yesterday"), (2, "the numbat wrote to two@pair.example yesterday"), (3, "a numbat called two@pair.example yesterday")]
+    rows += [(10 + i, "the dugong wrote to many@copy.example yesterday") for i in range(5)] + [(100 + i, f"the man wrote to nobody yesterday, a man called {i}") for i in range(200)]
+    found = by_id(pii.personal(table(spark, rows)))
+    for i, text in rows[:8]:
+        marked = {text[int(a) : int(b)] for a, b in re.findall(r"(?:remove|generalise):(\d+):(\d+)", found[i].spans)}
+        assert marked == {"wombat", "numbat", "dugong"} & set(text.split()), i
+    assert all(found[100 + i].spans == "" for i in range(200))
+    assert by_id(pii.personal(table(spark, rows[:1])))[1].spans == "email:20:36"  # an entity of all documents
+
+
 # 6
 
 
