@@ -1,8 +1,9 @@
 """Personal data, with information-theoretic sanitisation of the terms around it.
 
 Each distinct value found by the base kinds is a protected entity. Terms are the
-words within WINDOW words of a mention. Over all documents, a term's co-occurrence
-with an entity gives their pointwise mutual information,
+words outside base spans, over the whole text of each document that mentions an
+entity. Over all documents, a term's co-occurrence with an entity gives their
+pointwise mutual information,
 
     PMI(e; t) = ln(N * c(e, t) / (c(e) * c(t))),
 
@@ -15,8 +16,10 @@ entity is as common as anywhere,
 
 and PMI(e; t) = ln(p(e | t) * N / c(e)). A term is removed from REMOVE of the
 information content on and generalised from GENERALISE on. Every pair is decided,
-those of a single document too. An entity of all documents has no information
-content and marks nothing.
+those of a single document too, and every occurrence of a term is marked in all
+documents that mention the entity. An entity of all documents has no information
+content and marks nothing. Entities of the very same documents are counted as one,
+so a list of many addresses does not multiply its terms.
 
 A null text is the empty text. Repeated rows are scanned alike and stay; an empty
 table gives an empty one. Texts of any length are scanned whole, in linear time.
@@ -25,8 +28,8 @@ table gives an empty one. Texts of any length are scanned whole, in linear time.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +40,7 @@ from .common import sliced, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
-WINDOW, PRIOR = 8, 1.0
+PRIOR = 1.0
 REMOVE, GENERALISE = 0.9, 0.75
 COUNTED = 200_000
 
@@ -99,58 +102,60 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str, spans: list[Span]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of each term near each mention; entity as a hash."""
-    out = []
-    # the spans' union, to leave out their own words by one look each
-    starts: list[int] = []
-    ends: list[int] = []
-    for a, b, _ in sorted(spans):
-        if starts and a <= ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-
-    def within(m: re.Match) -> bool:
-        k = bisect_left(starts, m.end()) - 1
-        return k >= 0 and ends[k] > m.start()
-
-    for start, end, kind in spans:
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}") >> 1
-        # a window of words is found within some characters on either side; growing, as words may be long
-        near, reach = [], 200
-        while True:
-            lo, hi = max(0, start - reach), min(len(text), end + reach)
-            before, after = list(WORD.finditer(text, lo, start)), list(WORD.finditer(text, end, hi))
-            if lo > 0 and before and before[0].start() == lo:
-                before = before[1:]  # may be cut
-            if hi < len(text) and after and after[-1].end() == hi:
-                after = after[:-1]
-            if (len(before) >= WINDOW or lo == 0) and (len(after) >= WINDOW or hi == len(text)):
-                near = before[-WINDOW:] + after[:WINDOW]
-                break
-            reach *= 4
-        out += [(entity, m[0].lower(), m.start(), m.end()) for m in near if not within(m)]
-    return out
+def words(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """The words outside ``spans``."""
+    at = 0
+    for start, end, _ in sorted(spans):
+        if start > at:
+            yield from WORD.finditer(text, at, start)
+        at = max(at, end)
+    yield from WORD.finditer(text, at)
+
+
+SPAN = "array<struct<start: long, end: long, kind: string>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+
+
+def as_rows(spans: list[Span]) -> list[dict]:
+    return [{"start": a, "end": b, "kind": k} for a, b, k in spans]
+
+
+def as_spans(rows: list[dict]) -> list[Span]:
+    return [(s["start"], s["end"], s["kind"]) for s in rows]
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, base, near: a row for every row."""
+    """row, doc_id, base, entities (distinct, as hashes), text (only of rows with entities): a row for every row."""
     kind = dict(docs.dtypes)[id_col]
-    span, near = "array<struct<start: long, end: long, kind: string>>", "array<struct<entity: long, term: string, start: long, end: long>>"
 
     def run(batches):
-        kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
         for batch in sliced(batches):
-            base, terms = [], []
+            base, entities, texts = [], [], []
             for text in batch.column(2).to_pylist():
                 found = base_spans(text or "")
-                base.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-                terms.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in windows(text, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kinds[0]), pa.array(terms, kinds[1])], ["row", "doc_id", "base", "near"])
+                base.append(as_rows(found))
+                entities.append(sorted({xxhash.xxh64_intdigest(f"{k}:{text[a:b].lower()}") >> 1 for a, b, k in found}))
+                texts.append(text if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, SPAN_TYPE), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["row", "doc_id", "base", "entities", "text"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col)).mapInArrow(run, f"row long, doc_id {kind}, base {span}, near {near}")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col)).mapInArrow(run, f"row long, doc_id {kind}, base {SPAN}, entities array<long>, text string")
+
+
+def pairs_by_row(held: DataFrame) -> DataFrame:
+    """row, class, ce, term: each term of each row with each class of entities there; a class has the same ce rows."""
+    mentions = held.select("row", F.explode("entities").alias("entity"))
+    rows = F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1)))
+    classes = mentions.groupBy("entity").agg(F.count("*").alias("ce"), F.xxhash64(F.count("*"), *rows).alias("class"))
+    classes = stored(mentions.join(classes, "entity").select("row", "class", "ce").distinct())
+
+    def run(batches):
+        for batch in sliced(batches, 100):
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            terms = [list({m[0].lower() for m in words(t, as_spans(s))}) for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["row", "terms"])
+
+    terms = held.select("row", "text", "base").mapInArrow(run, "row long, terms array<string>")
+    return terms.join(classes, "row").select("row", "class", "ce", F.explode("terms").alias("term"))
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -165,7 +170,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(set(WORD.findall(text.lower())))
+                    counts.update({w.lower() for w in set(WORD.findall(text))})
                 if len(counts) > COUNTED:
                     yield out()
                     counts.clear()
@@ -174,15 +179,12 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """entity, term, action: the pairs whose mutual information passes a threshold."""
-    n = scanned.count()
-    mentions = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.term")
-    pairs = stored(mentions.groupBy("entity", "term").agg(F.countDistinct("row").alias("both")))
-    entities = mentions.groupBy("entity").agg(F.countDistinct("row").alias("ce"))
-    terms = pairs.select("term").distinct()
-    found = pairs.join(entities, "entity").join(document_frequencies(docs, text_col).join(terms, "term", "left_semi"), "term")
-    return found.where(F.col("ce") < n).select("entity", "term", action(n).alias("action")).where("action is not null")
+def disclosing(pairs: DataFrame, n: int, docs: DataFrame, text_col: str) -> DataFrame:
+    """class, term, action: the pairs whose mutual information passes a threshold, of ``n`` documents."""
+    both = pairs.where(F.col("ce") < n).groupBy("class", "term").agg(F.count("*").alias("both"), F.max("ce").alias("ce"))
+    # a word that touches a span may be no word of the whole text
+    found = both.join(document_frequencies(docs, text_col), "term", "left").withColumn("c", F.greatest("both", "c"))
+    return found.select("class", "term", action(n).alias("action")).where("action is not null")
 
 
 def action(n: int) -> Column:
@@ -196,16 +198,32 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def marked_spans(held: DataFrame) -> DataFrame:
+    """doc_id, base, spans: ``base``, then every occurrence of the terms in ``marks``."""
+
+    def run(batches):
+        for batch in sliced(batches, 100):
+            spans = []
+            for base, text, marks in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                actions = {m["term"]: m["action"] for m in marks or ()}
+                found = as_spans(base)
+                more = [(m.start(), m.end(), actions[t]) for m in words(text, found) if (t := m[0].lower()) in actions] if actions else []
+                spans.append(as_rows(found + sorted(more, key=lambda s: (s[2], s[0]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPAN_TYPE)], ["doc_id", "base", "spans"])
+
+    return held.select("doc_id", "base", "text", "marks").mapInArrow(run, f"doc_id {dict(held.dtypes)['doc_id']}, base {SPAN}, spans {SPAN}")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, spans: base spans, and those with the terms to generalise or remove."""
     scanned = stored(scan(docs, id_col, text_col))
-    marked = disclosing(scanned, docs, text_col)
-    near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.term", "m.start", "m.end")
-    more = near.join(marked, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("kind"))  # remove beats generalise
-    more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
-    base = F.col("base")
-    extra = F.transform("more", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return scanned.join(more, "row", "left").select("doc_id", "base", F.coalesce(F.concat(base, extra), base).alias("spans"))
+    held = scanned.where(F.size("entities") > 0)
+    pairs = pairs_by_row(held)
+    marked = disclosing(pairs, scanned.count(), docs, text_col)
+    more = pairs.join(marked, ["class", "term"]).groupBy("row", "term").agg(F.max("action").alias("action"))  # remove beats generalise
+    more = more.groupBy("row").agg(F.collect_list(F.struct("term", "action")).alias("marks"))
+    plain = scanned.where(F.size("entities") == 0).select("doc_id", "base", F.col("base").alias("spans"))
+    return plain.unionByName(marked_spans(held.join(more, "row", "left")))
 
 
 def personal(docs: DataFrame) -> DataFrame:

@@ -325,6 +325,19 @@ def test_op5_rare_entities(spark):
     assert by_id(pii.personal(table(spark, rows[:1])))[1].spans == "email:20:36"  # an entity of all documents
 
 
+def test_op5_whole_documents(spark):
+    """A term far from the entity is counted, and marked wherever it stands in a document of the entity."""
+    far = " ".join(["the man wrote to nobody yesterday"] * 20)
+    rows = [(i, f"Wombat {far} signed ann@corp.example {far} wombat, {far} mail bob@corp.example, éteann@corp.example") for i in range(3)]
+    rows += [(100 + i, f"{far}, a man signed mail {i}") for i in range(200)]
+    found = by_id(pii.personal(table(spark, rows)))
+    for i in range(3):
+        text = rows[i][1]
+        marked = [(int(a), int(b)) for a, b in re.findall(r"(?:remove|generalise):(\d+):(\d+)", found[i].spans)]
+        assert [text[a:b] for a, b in marked] == ["Wombat", "wombat"]
+        assert marked == [m.span() for m in re.finditer("(?i)wombat", text)]
+
+
 # 6
 
 
