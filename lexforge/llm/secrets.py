@@ -9,7 +9,8 @@ range is not scanned again, so cycles end.
 
 A null text is the empty text and has no spans. Repeated rows are scanned alike
 and stay; an empty table gives an empty one. Nothing is cut: a text of any length
-is scanned whole. A decompressed layer may hold at most MAX_INFLATED bytes (a
+is scanned whole. Bytes that are not UTF-8 become U+FFFD, one each, and the layer is
+scanned with them and with any control characters. A decompressed layer may hold at most MAX_INFLATED bytes (a
 larger one is left packed: such bombs are no credentials).
 """
 
@@ -39,6 +40,10 @@ ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 RUN = re.compile(r"[^\s\"'<>]+")
 BACKSLASH = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What any base kind or encoded segment needs; decoded bytes without it need no scan.
+MAY_HOLD = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}")
+#: A byte that is not UTF-8, as surrogateescape decodes it.
+BAD = re.compile(r"[\udc80-\udcff]")
 #: A base64 segment without both of these is a word.
 LOWER, OTHER = re.compile(r"[a-z]"), re.compile(r"[A-Z0-9+/_=-]")
 
@@ -67,19 +72,16 @@ class Layer:
 
     def below(self, raw: bytes, sources: list[tuple[int, int]]) -> Layer | None:
         """The layer of decoded ``raw``, whose byte i came from characters ``sources[i]`` of this one."""
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        if not text or sum(c < " " and c not in "\t\n\r" for c in text) or "\x7f" in text:
+        if not MAY_HOLD.search(raw):
             return None
+        text = raw.decode("utf-8", "surrogateescape")
         starts, ends, at = [], [], 0
         for c in text:
-            n = len(c.encode("utf-8"))
+            n = 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
             starts.append(self.starts[sources[at][0]])
             ends.append(self.ends[sources[at + n - 1][1] - 1])
             at += n
-        return Layer(text, starts, ends)
+        return Layer(BAD.sub("\ufffd", text), starts, ends)
 
 
 def percent_layers(layer: Layer) -> Iterator[Layer]:
@@ -114,8 +116,8 @@ def backslash_layers(layer: Layer) -> Iterator[Layer]:
             m = BACKSLASH.match(text, i)
             code = int(m[1] or m[2] or m[3], 16) if m else ord(text[i])
             end = m.end() if m else i + 1
-            if code > 0x10FFFF:
-                break
+            if code > 0x10FFFF:  # no character: stays as it is
+                code, end = ord(text[i]), i + 1
             if 0xDC00 <= code < 0xE000 and units and 0xD800 <= units[-1] < 0xDC00:  # a pair of surrogates
                 units[-1] = 0x10000 + ((units[-1] - 0xD800) << 10) + code - 0xDC00
                 sources[-1] = (sources[-1][0], end)
@@ -123,14 +125,13 @@ def backslash_layers(layer: Layer) -> Iterator[Layer]:
                 units.append(code)
                 sources.append((i, end))
             i = end
-        else:
-            raw, of_byte = bytearray(), []
-            for code, source in zip(units, sources, strict=True):
-                own = chr(code).encode("utf-8", "surrogatepass")
-                raw += own
-                of_byte += [source] * len(own)
-            if found := layer.below(bytes(raw), of_byte):
-                yield found
+        raw, of_byte = bytearray(), []
+        for code, source in zip(units, sources, strict=True):
+            own = chr(code).encode("utf-8", "surrogatepass")
+            raw += own
+            of_byte += [source] * len(own)
+        if found := layer.below(bytes(raw), of_byte):
+            yield found
 
 
 def inflate(raw: bytes) -> bytes | None:
@@ -164,20 +165,11 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
                 if found:
                     yield found
                 continue
-        found = layer.below(raw, [(run.start() + i // 3 * 4 + i % 3, run.start() + i // 3 * 4 + i % 3 + 2) for i in range(len(raw))]) if printable(raw) else None
+        found = layer.below(raw, [(run.start() + i // 3 * 4 + i % 3, run.start() + i // 3 * 4 + i % 3 + 2) for i in range(len(raw))])
         if found:
             yield found
 
 
-def printable(raw: bytes) -> bool:
-    """Cheap refusal of what no text decodes to."""
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 DECODERS = (percent_layers, backslash_layers, base64_layers)
 
 

@@ -189,6 +189,16 @@ def test_op2_plain_and_redaction():
     assert secrets.all_spans(loop)[1] == []
 
 
+@pytest.mark.parametrize("code", [
+    "q=caf%E9&x=password%3DTr0ub4dor3", "a=%00&password%3DTr0ub4dor3", r"\ud83d\u0070assword\u003dTr0ub4dor3", r"\x00\x70assword=Tr0ub4dor3", r"\u{110000}\u0070assword=Tr0ub4dor3",
+    base64.b64encode(b"caf\xe9 password=Tr0ub4dor3").decode(), base64.b64encode(zlib.compress(b"\x00\xff " + SECRET.encode())).decode(),
+])
+def test_op2_bad_bytes(code):
+    base, spans = secrets.all_spans(f"before {code} after")
+    more = [s for s in spans if s not in base]
+    assert more and all(k == "assign" and 7 <= a < b <= 7 + len(code) for a, k, b in more)
+
+
 def test_op2_base_against_patterns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = by_id(secrets.secrets(docs))
