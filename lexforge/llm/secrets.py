@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned for the base kinds and for
-encoded segments (percent escapes, backslash escapes, base64, and zlib or gzip
-behind base64); each segment decodes to a further layer, until none is left. Every
+encoded segments. All its percent escapes together, and all its backslash escapes,
+decode to one further layer each; base64, and zlib or gzip behind it, to a layer a
+segment, until none is left. Every
 character of a layer knows the range of the whole text that it came from, so a
 finding at any depth has a span there. A layer that was met before over the same
 range is not scanned again, so cycles end.
@@ -37,7 +38,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
-RUN = re.compile(r"[^\s\"'<>]+")
 BACKSLASH = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What any base kind or encoded segment needs; decoded bytes without it need no scan.
@@ -85,53 +85,51 @@ class Layer:
 
 
 def percent_layers(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text or not ESCAPED.search(layer.text):
+    """The whole layer with its percent escapes undone."""
+    text = layer.text
+    if "%" not in text or not ESCAPED.search(text):
         return
-    for run in RUN.finditer(layer.text):
-        if not ESCAPED.search(layer.text, run.start(), run.end()):
-            continue
-        raw, sources, i, text = bytearray(), [], run.start(), layer.text
-        while i < run.end():
-            if ESCAPED.match(text, i):
-                raw.append(int(text[i + 1 : i + 3], 16))
-                sources.append((i, i + 3))
-                i += 3
-            else:
-                own = text[i].encode("utf-8", "surrogatepass")
-                raw += own
-                sources += [(i, i + 1)] * len(own)
-                i += 1
-        if found := layer.below(bytes(raw), sources):
-            yield found
+    raw, sources, i = bytearray(), [], 0
+    while i < len(text):
+        if text[i] == "%" and ESCAPED.match(text, i):
+            raw.append(int(text[i + 1 : i + 3], 16))
+            sources.append((i, i + 3))
+            i += 3
+        else:
+            own = text[i].encode("utf-8", "surrogatepass")
+            raw += own
+            sources += [(i, i + 1)] * len(own)
+            i += 1
+    if found := layer.below(bytes(raw), sources):
+        yield found
 
 
 def backslash_layers(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text:
+    """The whole layer with its backslash escapes undone."""
+    text = layer.text
+    if "\\" not in text or not BACKSLASH.search(text):
         return
-    for run in RUN.finditer(layer.text):
-        if not BACKSLASH.search(layer.text, run.start(), run.end()):
-            continue
-        text, units, sources, i = layer.text, [], [], run.start()
-        while i < run.end():
-            m = BACKSLASH.match(text, i)
-            code = int(m[1] or m[2] or m[3], 16) if m else ord(text[i])
-            end = m.end() if m else i + 1
-            if code > 0x10FFFF:  # no character: stays as it is
-                code, end = ord(text[i]), i + 1
-            if 0xDC00 <= code < 0xE000 and units and 0xD800 <= units[-1] < 0xDC00:  # a pair of surrogates
-                units[-1] = 0x10000 + ((units[-1] - 0xD800) << 10) + code - 0xDC00
-                sources[-1] = (sources[-1][0], end)
-            else:
-                units.append(code)
-                sources.append((i, end))
-            i = end
-        raw, of_byte = bytearray(), []
-        for code, source in zip(units, sources, strict=True):
-            own = chr(code).encode("utf-8", "surrogatepass")
-            raw += own
-            of_byte += [source] * len(own)
-        if found := layer.below(bytes(raw), of_byte):
-            yield found
+    units, sources, i = [], [], 0
+    while i < len(text):
+        m = BACKSLASH.match(text, i) if text[i] == "\\" else None
+        code = int(m[1] or m[2] or m[3], 16) if m else ord(text[i])
+        end = m.end() if m else i + 1
+        if code > 0x10FFFF:  # no character: stays as it is
+            code, end = ord(text[i]), i + 1
+        if 0xDC00 <= code < 0xE000 and units and 0xD800 <= units[-1] < 0xDC00:  # a pair of surrogates
+            units[-1] = 0x10000 + ((units[-1] - 0xD800) << 10) + code - 0xDC00
+            sources[-1] = (sources[-1][0], end)
+        else:
+            units.append(code)
+            sources.append((i, end))
+        i = end
+    raw, of_byte = bytearray(), []
+    for code, source in zip(units, sources, strict=True):
+        own = chr(code).encode("utf-8", "surrogatepass")
+        raw += own
+        of_byte += [source] * len(own)
+    if found := layer.below(bytes(raw), of_byte):
+        yield found
 
 
 def inflate(raw: bytes) -> bytes | None:

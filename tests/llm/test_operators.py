@@ -199,6 +199,14 @@ def test_op2_bad_bytes(code):
     assert more and all(k == "assign" and 7 <= a < b <= 7 + len(code) for a, k, b in more)
 
 
+@pytest.mark.parametrize("text", ['password="%54%72%30%75%62%34%64%6f%72%33"', "token: %68%75%6e%74%65%72%32", r'"api_key": "\u0061\u0062\u0063\u0064\u0065\u0066"', "%70assword = %54r0ub4dor3"])
+def test_op2_escaped_values(text):
+    """A key and its value are found together, whatever part of them is escaped."""
+    assert secrets.all_spans(text)[0] == []
+    (start, kind, end), = secrets.all_spans(text)[1]
+    assert kind == "assign" and text[start:end] == text.strip('"')
+
+
 def test_op2_base_against_patterns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = by_id(secrets.secrets(docs))
