@@ -18,7 +18,6 @@ larger one is left packed: such bombs are no credentials).
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -44,6 +43,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAY_HOLD = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}")
 #: A byte that is not UTF-8, as surrogateescape decodes it.
 BAD = re.compile(r"[\udc80-\udcff]")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+#: Where zlib or gzip data may begin: zlib of the usual window anywhere, any other at the start.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A\x78")
 #: A base64 segment without both of these is a word.
 LOWER, OTHER = re.compile(r"[a-z]"), re.compile(r"[A-Z0-9+/_=-]")
 
@@ -145,27 +147,29 @@ def inflate(raw: bytes) -> bytes | None:
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
-    for run in BASE64.finditer(layer.text):
-        word = run[0]
-        if not (LOWER.search(word) and OTHER.search(word)):
-            continue
-        body = word.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            packed = inflate(raw)
-            if packed is not None:
-                found = layer.below(packed, [(run.start(), run.end())] * len(packed))
-                if found:
-                    yield found
+    """Runs, and runs that follow one another on lines as one, at each of the four alignments: a code may begin anywhere in a run."""
+    for block in WRAPPED.finditer(layer.text):
+        runs = [block.span()]
+        if "\n" in block[0]:
+            runs += [m.span() for m in BASE64.finditer(layer.text, block.start(), block.end())]
+        for start, end in runs:
+            word = layer.text[start:end]
+            if not (LOWER.search(word) and OTHER.search(word)):
                 continue
-        found = layer.below(raw, [(run.start() + i // 3 * 4 + i % 3, run.start() + i // 3 * 4 + i % 3 + 2) for i in range(len(raw))])
-        if found:
-            yield found
+            at = [start + i for i, c in enumerate(word) if c not in "=\r\n\t "]
+            body = "".join(layer.text[i] for i in at).replace("-", "+").replace("_", "/")
+            for k in range(4):
+                part = body[k:]
+                if len(part) % 4 == 1:
+                    part = part[:-1]
+                raw = base64.b64decode(part + "=" * (-len(part) % 4))
+                first = lambda i, k=k, at=at: k + i // 3 * 4 + i % 3
+                for m in PACKED.finditer(raw):
+                    packed = inflate(raw[m.start() :])
+                    if packed and (found := layer.below(packed, [(at[first(m.start())], end)] * len(packed))):
+                        yield found
+                if MAY_HOLD.search(raw) and (found := layer.below(raw, [(at[first(i)], at[first(i) + 1] + 1) for i in range(len(raw))])):
+                    yield found
 
 
 DECODERS = (percent_layers, backslash_layers, base64_layers)

@@ -207,6 +207,18 @@ def test_op2_escaped_values(text):
     assert kind == "assign" and text[start:end] == text.strip('"')
 
 
+MANY = " ".join(f"w{i * 7919}" for i in range(60))
+
+
+@pytest.mark.parametrize("text", [
+    "https://h.example/cb/" + nested("b"), "session-" + nested("b"), "a_" + nested("z"), "session/" + nested("g"),
+    base64.encodebytes(f"{'x' * 45} {SECRET} {MANY}".encode()).decode(), base64.encodebytes(zlib.compress(f"{SECRET} {MANY}".encode())).decode(),
+])
+def test_op2_base64_anywhere(text):
+    base, spans = secrets.all_spans(text)
+    assert [s for s in spans if s not in base and s[1] == "assign"]
+
+
 def test_op2_base_against_patterns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = by_id(secrets.secrets(docs))
