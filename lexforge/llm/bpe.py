@@ -1,17 +1,21 @@
 """Byte-level BPE: encoding by folding ranked merges, decoding by joining binary pieces.
 
-Words are the matches of the tokenizer's pattern. Each distinct word is encoded
-once, by higher-order functions: an array of byte ids is folded over, each step
-joining the pair whose merged piece has the lowest rank, leftmost first. The rank
-map is a literal: a table of all pairs of pieces whose concatenation is a piece,
-under a perfect hash (displace, then look up one slot).
-
-After one count of all words, the FREQUENT most common ones are encoded and
-broadcast (a bound on rows and, with LONG_WORD, on bytes). Every text's other
-distinct words are encoded in its own row by the same expression: no text and no
-word is shuffled for it. Words of more than LONG_WORD bytes are not folded, as each
-step copies the array: they are merged over a heap in Python, with the same
-result, in n log n.
+Words are the matches of the tokenizer's pattern. Texts are cut into words once, a
+chunk of texts at a time (of about CHUNK_WORDS distinct words): a text becomes the
+numbers of its words, and the chunk's distinct words go, packed, to the partition
+that their hash names. There equal words of all chunks meet and each distinct word
+of the corpus is encoded once, by higher-order functions: an array of pairs of
+neighbouring ids is folded over, each step joining the pair whose piece has the
+lowest rank, leftmost first. The rank map is a literal: a table of all pairs of
+pieces whose concatenation is a piece, under a perfect hash (displace, then look up
+one slot). The ids go back to the chunks, where the texts' numbers are replaced.
+
+Nothing is broadcast but the tokenizer, and nothing comes to the driver but a count
+of bytes. A word crosses the network once for each chunk that holds it; a word that
+is a piece by itself has its own rank and needs no fold and no network, so what is
+common everywhere stays in place. A fold step copies the word's array, so words of
+more than LONG_WORD bytes are merged over a heap instead, with the same result, in
+n log n; no word is cut or left out.
 
 A null or empty text has no ids. Repeated rows are encoded alike and stay, as do
 rows with null ids. An empty table gives an empty one.
@@ -20,30 +24,35 @@ rows with null ids. An empty table gives an empty one.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import re
-import uuid
-from collections import Counter
+import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
 
 from .common import sliced, stored
 from .imatch import let
 
-FREQUENT = 300_000
-LONG_WORD = 64
-COUNTED = 200_000
-NONE = 1 << 30
-#: Stands before a word's first id and after its last.
-EDGE = 65535
+LONG_WORD = 1024
+#: A chunk of texts ends at so many distinct words or characters; a text is never cut.
+CHUNK_WORDS, CHUNK_CHARS = 200_000, 1 << 25
+#: Rows of texts of a chunk end at so many texts or characters.
+ROW_TEXTS, ROW_CHARS = 1_000, 1 << 22
+#: Bytes of text for each partition of distinct words.
+PART_BYTES = 1 << 24
+#: Numbers below are ranks of pieces, from here on numbers of a chunk's other words.
+OWN = 1 << 16
+NO_PAIR = EDGE = 65535
 
 Ranks = dict[bytes, int]
 
@@ -59,18 +68,28 @@ def pair_ranks(ranks: Ranks) -> dict[int, int]:
     return {ranks[p[:i]] << 16 | ranks[p[i:]]: r for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks}
 
 
+def literal(values: list) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+
+
 class PairTable:
-    """A perfect hash of the pair ranks: slot = (key * A + displacement of key's bucket) mod N."""
+    """A perfect hash of the pair ranks: slot = (key * A + displacement of key's bucket) mod SLOTS, holding key and rank.
 
-    A, BUCKETS, SLOTS = 1664525, 1 << 16, 1 << 19
+    An entry is a pair with its rank in front, rank << 32 | left id << 16 | right id,
+    so that the least entry is the best merge; a pair that makes no piece has NO_PAIR.
+    """
+
+    A, BUCKETS, SLOTS = 1664525, 65521, 1 << 19
+    RANK_BITS = 17
 
     def __init__(self, ranks: Ranks) -> None:
         if max(ranks.values()) >= EDGE:
             raise ValueError("ids of more than 16 bits")
+        self.ranks = ranks
         pairs = pair_ranks(ranks)
         buckets: dict[int, list[int]] = {}
         for key in pairs:
-            buckets.setdefault(key * 40503 % 65521 % self.BUCKETS, []).append(key)
+            buckets.setdefault(key % self.BUCKETS, []).append(key)
         self.slots, self.shifts = [0] * self.SLOTS, [0] * self.BUCKETS
         for b, keys in sorted(buckets.items(), key=lambda x: -len(x[1])):
             base = [key * self.A for key in keys]
@@ -82,19 +101,24 @@ class PairTable:
                 shift += 1
             self.shifts[b] = shift
             for i, key in zip(at, keys, strict=True):
-                self.slots[i] = key << 16 | pairs[key]
+                self.slots[i] = (key << self.RANK_BITS) + pairs[key]
 
-    def lookup(self):
-        """An array of keys -> the joined pieces' ids, NONE where a pair is no piece."""
-        slots, shifts = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in (self.slots, self.shifts))
+    def entry(self):
+        """key -> entry. What a slot holds less the key is the rank if the slot is the key's own, and far from any rank if not."""
+        slots, shifts = literal(self.slots), literal(self.shifts)
 
-        def slot(k: Column) -> Column:
-            return F.get(slots, ((k * F.lit(self.A) + F.get(shifts, (k * F.lit(40503) % F.lit(65521)).cast("int"))) % F.lit(self.SLOTS)).cast("int"))
+        def of(k: Column) -> Column:
+            slot = F.get(slots, (k * F.lit(self.A) + F.get(shifts, (k % F.lit(self.BUCKETS)).cast("int"))).bitwiseAND(F.lit(self.SLOTS - 1)).cast("int"))
+            rank = F.least(F.abs(slot - F.shiftleft(k, self.RANK_BITS)), F.lit(NO_PAIR).cast("bigint"))
+            return F.shiftleft(rank, 32).bitwiseOR(k)
 
-        def check(k: Column, s: Column) -> Column:
-            return F.when(F.shiftright(s, 16) == k, s.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE))
+        return of
 
-        return lambda keys: let(keys, lambda ks: F.zip_with(ks, F.transform(ks, slot), check))
+    def of_bytes(self) -> Column:
+        """The entries of all pairs of bytes, 256 standing for an edge, at first * 257 + second."""
+        ids = [self.ranks[bytes([b])] for b in range(256)] + [EDGE]
+        rank = lambda a, b: self.ranks.get(bytes([a, b]), NO_PAIR) if a < 256 and b < 256 else NO_PAIR
+        return literal([rank(a, b) << 32 | ids[a] << 16 | ids[b] for a in range(257) for b in range(257)])
 
 
 def byte_values(word: Column) -> Column:
@@ -102,40 +126,28 @@ def byte_values(word: Column) -> Column:
     return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
 
-def int_literal(values: list[int]) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
-
-
-def folded(word: Column, ranks: Ranks, table: PairTable) -> Column:
-    """The ids of a word: the state is (ids, ranks of neighbouring pairs); each step makes the best merge."""
-    rank = table.lookup()
-    ids_of_bytes = int_literal([ranks[bytes([b])] for b in range(256)])
-    pairs_of_bytes = int_literal([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
-    edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
-
-    def start(values: Column) -> Column:
-        """ids between two edges, which join with nothing; ranks of all neighbours."""
-        pairs = F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.get(pairs_of_bytes, F.element_at(values, i) * 256 + F.element_at(values, i + 1)))
-        inner = F.when(F.size(values) > 1, F.concat(none, pairs, none)).otherwise(F.concat(none, none))
-        return F.struct(F.concat(edge, F.transform(values, lambda b: F.get(ids_of_bytes, b)), edge).alias("ids"), inner.alias("ranks"))
-
-    def merge(s: Column, best: Column) -> Column:
-        ids, ranks_ = s["ids"], s["ranks"]
+def folded(word: Column, table: PairTable) -> Column:
+    """The ids of a word. The state is the array of its pairs' entries, from edge to edge; each step makes the best merge."""
+    entry, of_bytes = table.entry(), table.of_bytes()
 
-        def at(i: Column) -> Column:  # pair i joins ids i and i + 1; by the edges, 1 < i
-            around = F.array(F.shiftleft(F.element_at(ids, i - 1).cast("bigint"), 16).bitwiseOR(best), F.shiftleft(best.cast("bigint"), 16).bitwiseOR(F.element_at(ids, i + 2)))
-            return F.struct(
-                F.concat(F.slice(ids, 1, i - 1), F.array(best), F.slice(ids, i + 2, LONG_WORD)).alias("ids"),
-                F.concat(F.slice(ranks_, 1, i - 2), rank(around), F.slice(ranks_, i + 2, LONG_WORD)).alias("ranks"),
-            )
+    def merge(pairs: Column, i: Column) -> Column:
+        """The ids of pair i become one, its rank; by the edges, 1 < i < size."""
+        new = F.shiftright(F.element_at(pairs, i), 32)
+        left, right = F.element_at(pairs, i - 1).bitwiseAND(F.lit(0xFFFF0000)), F.element_at(pairs, i + 1).bitwiseAND(F.lit(0xFFFF))
+        around = F.transform(F.array(left.bitwiseOR(new), F.shiftleft(new, 16).bitwiseOR(right)), entry)
+        return F.concat(F.slice(pairs, F.lit(1), i - 2), around, F.slice(pairs, i + 2, F.size(pairs)))
 
-        return let(F.array_position(ranks_, best).cast("int"), at)
+    def step(pairs: Column, _: Column) -> Column:
+        best = F.array_min(pairs)
+        return F.when(best >= F.lit(NO_PAIR << 32), pairs).otherwise(let(F.array_position(pairs, best).cast("int"), lambda i: merge(pairs, i)))
 
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["ranks"]), lambda best: F.when(best == NONE, s).otherwise(merge(s, best)))
+    def run(values: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.get(of_bytes, F.element_at(values, i) * 257 + F.element_at(values, i + 1)))
+        ids = lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        return F.aggregate(F.sequence(F.lit(3), F.size(values)), pairs, step, ids)
 
-    inner = lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2)
-    return let(byte_values(word), lambda values: F.aggregate(F.sequence(F.lit(1), F.size(values)), start(values), step, inner))
+    edge = F.array(F.lit(256))
+    return let(F.concat(edge, byte_values(word), edge), run)
 
 
 def heap_encode(word: bytes, ranks: Ranks) -> list[int]:
@@ -178,147 +190,238 @@ def finder(pattern: str):
     return lambda text: plain(text) if fits(text) else whole(text)
 
 
-def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
-    """word, n over all texts; counted in each task before the shuffle."""
-
-    def run(batches):
-        find, counts = finder(pattern), Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-        for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(find(text))
-                if len(counts) > COUNTED:
-                    yield out()
-                    counts.clear()
-        yield out()
-
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays one after another, each with its number of bytes, compressed."""
+    raw = b"".join(x for a in map(bytes, map(memoryview, arrays)) for x in (struct.pack("<Q", len(a)), a))
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def frequent_words(texts: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> tuple[pa.Array, pa.Array]:
-    """At most ``most`` words, the commonest, and their ids as unsigned 16-bit bytes."""
-    counts = stored(word_counts(texts, pattern).where(F.octet_length("word") <= LONG_WORD))
-    # the least count is found by eighths of a power of two: a few hundred rows whatever the corpus
-    step = F.floor(F.log2("n") * 8).cast("int")
-    taken, least = 0, 1 << 30
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
-        taken += r.words
-        if taken > most:
-            break
-        least = r.step
-    ranks = read_ranks(path)
-    top = counts.where(step >= least).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "word")
-    found = top.select("word", folded(F.col("word"), ranks, PairTable(ranks)).alias("ids")).toArrow().combine_chunks()
-    words, ids = found.column(0).combine_chunks(), found.column(1).combine_chunks()
-    return words, packed_ids(ids)
+def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], struct.unpack_from("<Q", blob)[0], codec="zstd")
+    out, at = [], 0
+    for kind in kinds:
+        n = struct.unpack_from("<Q", raw, at)[0]
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
+        at += 8 + n
+    return out
 
 
-def packed_ids(ids: pa.ListArray) -> pa.Array:
-    values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u2")
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False) * 2, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of unsigned 32-bit numbers, all lowest ones first: like bytes together compress better."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-class Known(dict):
-    """word -> packed ids. A word that is not here is noted in ``rare`` and stands as a placeholder, or is merged over a heap if long."""
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
-    def __init__(self, words: pa.Array, ids: pa.Array, ranks: Ranks) -> None:
-        super().__init__()
-        for start in range(0, len(words), 20_000):  # few at a time, for the memory of the lists
-            self.update(zip(words.slice(start, 20_000).to_pylist(), ids.slice(start, 20_000).to_pylist(), strict=True))
-        self.ranks, self.rare, self.which = ranks, {}, []
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > LONG_WORD or len(word.encode()) > LONG_WORD:
-            return np.asarray(heap_encode(word.encode(), self.ranks), "<u2").tobytes()
-        self.which.append(self.rare.setdefault(word, len(self.rare)))
-        return PLACEHOLDER
+def strings(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-PLACEHOLDER = b"\xff\xff"
-_known: dict[str, Known] = {}
+class Numbers(dict):
+    """word -> number: its rank if it is a piece, else from OWN on in order of appearance."""
 
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.next
+        self.next = n + 1
+        return n
 
-def known_words(token: str, frequent, path: str) -> Known:
-    """One for each worker process and call of the operator."""
-    if token not in _known:
-        _known.clear()
-        _known[token] = Known(*frequent.value, read_ranks(path))
-    return _known[token]
 
+@lru_cache(2)
+def piece_words(path: str) -> dict[str, int]:
+    out = {}
+    for p, r in read_ranks(path).items():
+        try:
+            out[p.decode()] = r
+        except UnicodeDecodeError:
+            continue
+    return out
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for every row: doc_id, ids (array of int)."""
-    return _applied(docs, path, pattern, id_col, text_col, "ids array<int>", ids_of)
 
+def cut(rows: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+    """Rows of texts (chunk, ids, texts: lengths and numbers of words), and of a chunk's words (chunk, part, words)."""
+    kind = rows.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
 
-def _applied(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, row_of) -> DataFrame:
-    """Each text's row, as ``row_of(ids, pieces, decimals)`` gives it."""
-    kind, ranks = dict(docs.dtypes)[id_col], read_ranks(path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    frequent, token = docs.sparkSession.sparkContext.broadcast(frequent_words(rows, path, pattern)), uuid.uuid4().hex
-
-    def look_up(batches):
-        find, known = finder(pattern), known_words(token, frequent, path)
-        get = known.__getitem__
-        for batch in sliced(batches):
-            packed, rare, which = [], [], []
-            for text in batch.column(1).to_pylist():
-                known.rare, known.which = {}, []
-                packed.append(b"".join(map(get, find(text))))
-                rare.append(list(known.rare))
-                which.append(known.which)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(which, pa.list_(pa.int32()))], ["doc_id", "packed", "rare", "which"])
-
-    table = PairTable(ranks)
-    own = rows.mapInArrow(look_up, f"doc_id {kind}, packed binary, rare array<string>, which array<int>")
-    own = own.select("doc_id", "packed", "which", F.transform("rare", lambda w: folded(w, ranks, table)).alias("ids"))
-
-    def fill(batches):
-        pieces: list[bytes] = [b""] * (max(read_ranks(path).values()) + 1)
-        for p, r in read_ranks(path).items():
-            pieces[r] = p
-        decimals = [str(i) for i in range(len(pieces))]
+    def run(batches):
+        find, pieces = finder(pattern), piece_words(path)
+        chunk, numbers = TaskContext.get().partitionId() << 32, None
+        names = ["chunk", "part", "ids", "texts", "words"]
+
+        def of_words():
+            words = list(numbers)[len(pieces) :]
+            for part, at, lengths, raw in by_part(words, parts):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.list_(arrow)), pa.nulls(1, pa.binary()), pa.array([packed(np.diff(at, prepend=0).astype("<u4"), lengths, raw)], pa.binary())], names)
+
+        def of_texts(ids, found):
+            counts = np.asarray([len(f) for f in found], "<u4")
+            blob = packed(counts, planes(np.concatenate(found)))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, arrow))
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), ids, pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names)
+
+        ids, found, row_chars, chars = [], [], 0, 0
         for batch in sliced(batches):
-            out = []
-            for packed, which, rare in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                ids = np.frombuffer(packed, "<u2")
-                if which:
-                    gaps = np.split(ids, np.flatnonzero(ids == 0xFFFF))
-                    ids = np.concatenate([gaps[0], *(np.asarray(x, np.int32) for gap, k in zip(gaps[1:], which, strict=True) for x in (rare[k], gap[1:]))])
-                out.append(row_of(ids.tolist(), pieces, decimals))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if numbers is None:
+                    numbers = Numbers(pieces)
+                    numbers.next, chars = OWN, 0
+                words = find(text)
+                ids.append(key)
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                chars += len(text)
+                row_chars += len(text)
+                full = numbers.next - OWN >= CHUNK_WORDS or chars >= CHUNK_CHARS
+                if full or len(ids) >= ROW_TEXTS or row_chars >= ROW_CHARS:
+                    yield of_texts(ids, found)
+                    ids, found, row_chars = [], [], 0
+                if full:
+                    yield from of_words()
+                    chunk, numbers = chunk + 1, None
+        if ids:
+            yield of_texts(ids, found)
+        if numbers is not None:
+            yield from of_words()
+
+    return rows.mapInArrow(run, f"chunk long, part int, ids array<{kind.simpleString()}>, texts binary, words binary")
+
+
+def by_part(words: list[str], parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """part, places in ``words``, lengths and bytes of the words whose hash names the part."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    part = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        own = [raw[i] for i in at]
+        yield int(part[at[0]]), at, np.asarray([len(w) for w in own], "<u4"), b"".join(own)
+
+
+def distinct_words(batches):
+    """(chunk, words) of a part -> each of its distinct words, with the chunks and places that hold it."""
+    chunks, places, words = [], [], []
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, lengths, raw = unpacked(blob, "<u4", "<u4", "u1")
+            chunks.append(np.full(len(at), chunk, np.int64))
+            places.append(np.cumsum(at, dtype=np.int64))
+            words.append(strings(lengths, raw))
+    if not words:
+        return
+    coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+    which, words = coded.indices.to_numpy(), coded.dictionary
+    order = np.argsort(which, kind="stable")
+    refs = np.stack([np.concatenate(chunks)[order], np.concatenate(places)[order]], axis=1)
+    offsets = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.bincount(which, minlength=len(words)) * 16, out=offsets[1:])
+    held = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(refs))])
+    for start in range(0, len(words), 10_000):
+        yield pa.RecordBatch.from_arrays([words.slice(start, 10_000).cast(pa.string()), held.slice(start, 10_000).cast(pa.binary())], ["word", "refs"])
+
+
+def of_chunks(path: str, most: int = 500_000):
+    """(refs, ids, word where ids is null) -> (chunk, part -2, ids null, texts null, words: places, numbers of ids, ids)."""
 
-    fields = StructType.fromDDL(schema).fields
-    kinds, names = [to_arrow_type(f.dataType) for f in fields], ["doc_id", *(f.name for f in fields)]
-    return own.mapInArrow(fill, f"doc_id {kind}, {schema}")
+    def run(batches):
+        def out():
+            refs, counts, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
+            starts = np.cumsum(counts, dtype=np.int64) - counts
+            order = np.lexsort((refs[:, 1], refs[:, 0]))
+            cuts = np.flatnonzero(np.diff(refs[order, 0])) + 1
+            chunk, blob = [], []
+            for at in np.split(order, cuts):
+                n = counts[at]
+                chunk.append(refs[at[0], 0])
+                blob.append(packed(np.diff(refs[at, 1], prepend=0).astype("<u4"), n.astype("<u4"), ids[spread(starts[at], n)].astype("<u2")))
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([-2] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], ["chunk", "part", "words"])
+
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(1)
+            refs = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+            times = pc.binary_length(batch.column(0)).to_numpy() // 16
+            counts, values = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy()
+            if ids.null_count:
+                ends = np.cumsum(counts)
+                for row in reversed(np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))):
+                    own = heap_encode(batch.column(2)[int(row)].as_py().encode("utf-8", "surrogatepass"), read_ranks(path))
+                    counts[row] = len(own)
+                    values = np.insert(values, ends[row], own)
+            starts = np.repeat(np.cumsum(counts) - counts, times)
+            counts = np.repeat(counts, times)
+            held.append((refs, counts, values[spread(starts, counts)]))
+            n += len(refs)
+            if n >= most:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + counts[0] - 1, starts[1] .. and so on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def fill(kind: pa.DataType):
+    """Rows by chunk, words before texts -> doc_id, ids: the numbers of words replaced by ids."""
 
+    def run(batches):
+        now, counts, starts, values, fresh = None, None, None, None, []
+        for batch in sliced(batches, 20):
+            for chunk, keys, texts, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if chunk != now:
+                    now, counts, fresh = chunk, None, []
+                if texts is None:
+                    fresh.append(unpacked(words, "<u4", "<u4", "<u2"))
+                    continue
+                if counts is None:
+                    at, n, values = np.concatenate([np.arange(OWN), *(OWN + np.cumsum(f[0], dtype=np.int64) for f in fresh)]), np.concatenate([np.ones(OWN, np.int64), *(f[1] for f in fresh)]), np.concatenate([np.arange(OWN), *(f[2] for f in fresh)]).astype(np.int32)
+                    counts, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                    counts[at], starts[at], fresh = n, np.cumsum(n) - n, []
+                sizes, numbers = unpacked(texts, "<u4", "u1")
+                numbers = from_planes(numbers)
+                n = counts[numbers]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[spread(starts[numbers], n)]))
+                yield pa.RecordBatch.from_arrays([keys.values.cast(kind), ids], ["doc_id", "ids"])
+
+    return run
 
-def ids_of(ids: list[int], pieces: list[bytes], decimals: list[str]) -> tuple[list[int]]:
-    return (ids,)
 
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every row: doc_id, ids (array of int)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES
+    held = stored(cut(rows, path, pattern, parts))
 
-def digests_of(ids: list[int], pieces: list[bytes], decimals: list[str]) -> tuple[int, str, str]:
-    """Number of ids, digest of the ids, digest of the bytes they decode to."""
-    text = " ".join(map(decimals.__getitem__, ids))
-    raw = b"".join(map(pieces.__getitem__, ids))
-    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+    words = held.where("part >= 0").repartitionById(parts, "part").select("chunk", "words").mapInArrow(distinct_words, "word string, refs binary")
+    short = F.octet_length("word") <= LONG_WORD
+    ids = words.select("refs", F.when(short, folded(F.col("word"), PairTable(read_ranks(path)))).alias("ids"), F.when(~short, F.col("word")).alias("word"))
+    back = ids.mapInArrow(of_chunks(path), "chunk long, part int, words binary")
+    both = held.where("part < 0").select("chunk", "part", "ids", "texts", "words").unionByName(back, allowMissingColumns=True)
+    texts = both.repartition("chunk").sortWithinPartitions("chunk", "part").select("chunk", "ids", "texts", "words")
+    return texts.mapInArrow(fill(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``bytes``: the pieces of the ids, one binary after another. Null ids are the empty array."""
-    pieces = [None] * (max(read_ranks(path).values()) + 1)
+    """``encoded`` with ``bytes``: the pieces of the ids, one binary after another, each byte held as an ISO-8859-1 character. Null ids are the empty array."""
+    pieces = [""] * (max(read_ranks(path).values()) + 1)
     for p, r in read_ranks(path).items():
-        pieces[r] = p.hex()
-    table = F.transform(F.from_json(F.lit(json.dumps(pieces)), "array<string>"), F.unhex)
+        pieces[r] = p.decode("latin-1")
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-    return encoded.withColumn("bytes", F.aggregate(ids, F.lit(b""), lambda s, i: F.concat(s, F.get(table, i))))
+    return encoded.withColumn("bytes", F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The query's rows: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _applied(docs, path, pattern, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", digests_of)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encode(docs, path, pattern), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

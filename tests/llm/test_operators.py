@@ -243,7 +243,7 @@ def encoding():
 
 def test_op3_against_the_library(spark):
     enc, path = encoding(), tokenizer_path("byte_bpe_50k.tiktoken")
-    texts = [*TEXTS, (20, "a" * 500), (21, "=" * 300 + " " * 90), (22, "<|endoftext|> it's 12345"), (23, "ab" * 33)]
+    texts = [*TEXTS, (20, "a" * 500), (21, "=" * 300 + " " * 90), (22, "<|endoftext|> it's 12345"), (23, "ab" * 33), *((30 + k, letters(k, n)) for k, n in enumerate((63, 64, 65, 1023, 1024, 1025, 5_000, 10_000)))]
     found = by_id(bpe.round_trip(table(spark, texts), path, public_tokenizers.PATTERN))
     for i, text in texts:
         ids = enc.encode_ordinary(text or "")
@@ -252,6 +252,23 @@ def test_op3_against_the_library(spark):
         assert found[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def letters(seed, n):
+    """A word of n letters without any break."""
+    return "".join("etaoinshrdlu"[b % 12] for b in np.random.default_rng(seed).bytes(n))
+
+
+def test_op3_many_words_and_chunks(spark, monkeypatch):
+    """Over 300,000 distinct words, in chunks and parts that share words, and a text of many words of its own."""
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", 20_000)
+    monkeypatch.setattr(bpe, "ROW_TEXTS", 7)
+    monkeypatch.setattr(bpe, "PART_BYTES", 1 << 19)
+    texts = [(k, " ".join(f"{letters(k * 1000 + j, 7)} shared{j} Wort{k}x" for j in range(250))) for k in range(1_100)] + [(2_000, " ".join(letters(9_000_000 + j, 9) for j in range(60_000)))]
+    assert len({w for _, t in texts for w in t.split()}) > 300_000
+    enc, path = encoding(), tokenizer_path("byte_bpe_50k.tiktoken")
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), path, public_tokenizers.PATTERN).collect()}
+    assert got == {k: enc.encode_ordinary(t) for k, t in texts}
+
+
 def test_op3_round_trip(spark):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(table(spark), path, public_tokenizers.PATTERN), path)
