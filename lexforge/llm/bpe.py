@@ -2,8 +2,8 @@
 
 Words are the matches of the tokenizer's pattern. Texts are cut into words once, a
 chunk of texts at a time (of about CHUNK_WORDS distinct words): a text becomes the
-numbers of its words, and the chunk's distinct words go, packed, to the partition
-that their hash names. There equal words of all chunks meet and each distinct word
+numbers of its words, the chunk's commonest word being number 0, and the chunk's
+distinct words go, packed, to the partition that their hash names. There equal words of all chunks meet and each distinct word
 of the corpus is encoded once, by higher-order functions: an array of pairs of
 neighbouring ids is folded over, each step joining the pair whose piece has the
 lowest rank, leftmost first. The rank map is a literal: a table of all pairs of
@@ -45,14 +45,14 @@ from .imatch import let
 
 LONG_WORD = 1024
 #: A chunk of texts ends at so many distinct words or characters; a text is never cut.
-CHUNK_WORDS, CHUNK_CHARS = 200_000, 1 << 25
-#: Rows of texts of a chunk end at so many texts or characters.
-ROW_TEXTS, ROW_CHARS = 1_000, 1 << 22
+CHUNK_WORDS, CHUNK_CHARS = 300_000, 1 << 25
+#: A row holds so many texts of a chunk, or one more than so many words.
+ROW_TEXTS, ROW_WORDS = 500, 200_000
 #: Bytes of text for each partition of distinct words.
 PART_BYTES = 1 << 24
-#: Numbers below are ranks of pieces, from here on numbers of a chunk's other words.
-OWN = 1 << 16
 NO_PAIR = EDGE = 65535
+#: What a row of a chunk holds, in the order in which they are read: its pieces, ids of its other words, texts. Others are parts of distinct words.
+PIECES, IDS, TEXTS = -3, -2, -1
 
 Ranks = dict[bytes, int]
 
@@ -206,13 +206,27 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """The bytes of unsigned 32-bit numbers, all lowest ones first: like bytes together compress better."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+def varints(values: np.ndarray) -> np.ndarray:
+    """Numbers as bytes of seven bits each, lowest first, the highest bit saying that more follow."""
+    size = np.ones(len(values), np.int64)
+    for bits in range(7, 35, 7):
+        size += values >> np.uint32(bits) > 0 if bits < 32 else 0
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        more = size > k
+        out[at[more] + k] = (values[more] >> np.uint32(7 * k)) & np.uint32(127) | ((size[more] > k + 1).astype(np.uint32) << np.uint32(7))
+    return out
 
 
-def from_planes(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+def from_varints(raw: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = np.zeros(len(last), np.uint32)
+    for k in range(5):
+        here = first + k <= last
+        out[here] |= (raw[first[here] + k] & np.uint8(127)).astype(np.uint32) << np.uint32(7 * k)
+    return out
 
 
 def strings(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
@@ -222,11 +236,10 @@ def strings(lengths: np.ndarray, raw: np.ndarray) -> pa.Array:
 
 
 class Numbers(dict):
-    """word -> number: its rank if it is a piece, else from OWN on in order of appearance."""
+    """word -> number, in order of appearance."""
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.next
-        self.next = n + 1
+        n = self[word] = len(self)
         return n
 
 
@@ -242,65 +255,65 @@ def piece_words(path: str) -> dict[str, int]:
 
 
 def cut(rows: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
-    """Rows of texts (chunk, ids, texts: lengths and numbers of words), and of a chunk's words (chunk, part, words)."""
+    """Rows of a chunk: of texts (ids, blob: numbers of words each, numbers), its pieces (blob: numbers, ranks), and of each part of its other words (blob: numbers, lengths, bytes)."""
     kind = rows.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
+    names = ["chunk", "part", "ids", "blob"]
 
     def run(batches):
         find, pieces = finder(pattern), piece_words(path)
-        chunk, numbers = TaskContext.get().partitionId() << 32, None
-        names = ["chunk", "part", "ids", "texts", "words"]
-
-        def of_words():
-            words = list(numbers)[len(pieces) :]
-            for part, at, lengths, raw in by_part(words, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.list_(arrow)), pa.nulls(1, pa.binary()), pa.array([packed(np.diff(at, prepend=0).astype("<u4"), lengths, raw)], pa.binary())], names)
+        chunk, numbers, ids, sizes, found, chars = TaskContext.get().partitionId() << 32, Numbers(), [], [], [], 0
+
+        def row(part, blob, ids=None):
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([ids], pa.list_(arrow)), pa.array([blob], pa.binary())], names)
+
+        def chunk_rows():
+            every = np.concatenate(found)
+            common = np.argsort(-np.bincount(every, minlength=len(numbers)), kind="stable")
+            by_count = np.empty(len(numbers), np.uint32)
+            by_count[common] = np.arange(len(numbers), dtype=np.uint32)
+            every, ends, start = by_count[every], np.cumsum(sizes), 0
+            while start < len(ids):
+                before = int(ends[start - 1]) if start else 0
+                end = min(start + ROW_TEXTS, max(start + 1, int(np.searchsorted(ends, before + ROW_WORDS))), len(ids))
+                yield row(TEXTS, packed(np.asarray(sizes[start:end], "<u4"), varints(every[before : ends[end - 1]])), ids[start:end])
+                start = end
+            words = list(numbers)
+            words = [words[i] for i in common]
+            ranks = np.fromiter((pieces.get(w, -1) for w in words), np.int64, len(words))
+            own = np.flatnonzero(ranks >= 0)
+            yield row(PIECES, packed(own.astype("<u4"), ranks[own].astype("<u2")))
+            for part, at, lengths, raw in by_part(words, np.flatnonzero(ranks < 0), parts):
+                yield row(part, packed(np.diff(at, prepend=0).astype("<u4"), lengths, raw))
 
-        def of_texts(ids, found):
-            counts = np.asarray([len(f) for f in found], "<u4")
-            blob = packed(counts, planes(np.concatenate(found)))
-            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, arrow))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), ids, pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names)
-
-        ids, found, row_chars, chars = [], [], 0, 0
         for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if numbers is None:
-                    numbers = Numbers(pieces)
-                    numbers.next, chars = OWN, 0
                 words = find(text)
                 ids.append(key)
+                sizes.append(len(words))
                 found.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 chars += len(text)
-                row_chars += len(text)
-                full = numbers.next - OWN >= CHUNK_WORDS or chars >= CHUNK_CHARS
-                if full or len(ids) >= ROW_TEXTS or row_chars >= ROW_CHARS:
-                    yield of_texts(ids, found)
-                    ids, found, row_chars = [], [], 0
-                if full:
-                    yield from of_words()
-                    chunk, numbers = chunk + 1, None
+                if len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS:
+                    yield from chunk_rows()
+                    chunk, numbers, ids, sizes, found, chars = chunk + 1, Numbers(), [], [], [], 0
         if ids:
-            yield of_texts(ids, found)
-        if numbers is not None:
-            yield from of_words()
+            yield from chunk_rows()
 
-    return rows.mapInArrow(run, f"chunk long, part int, ids array<{kind.simpleString()}>, texts binary, words binary")
+    return rows.mapInArrow(run, f"chunk long, part int, ids array<{kind.simpleString()}>, blob binary")
 
 
-def by_part(words: list[str], parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """part, places in ``words``, lengths and bytes of the words whose hash names the part."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    part = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(parts)
+def by_part(words: list[str], which: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """part, ``which`` words it has, their lengths and bytes: the part is named by the word's hash."""
+    digest = xxhash.xxh64_intdigest
+    part = np.fromiter((digest(words[i]) for i in which), np.uint64, len(which)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for at in np.split(order, cuts) if len(order) else ():
-        own = [raw[i] for i in at]
-        yield int(part[at[0]]), at, np.asarray([len(w) for w in own], "<u4"), b"".join(own)
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        own = [words[i].encode() for i in which[at]]
+        yield int(part[at[0]]), which[at], np.asarray([len(w) for w in own], "<u4"), b"".join(own)
 
 
 def distinct_words(batches):
-    """(chunk, words) of a part -> each of its distinct words, with the chunks and places that hold it."""
+    """(chunk, blob) of a part -> each of its distinct words, with the chunks and places that hold it."""
     chunks, places, words = [], [], []
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -321,21 +334,20 @@ def distinct_words(batches):
         yield pa.RecordBatch.from_arrays([words.slice(start, 10_000).cast(pa.string()), held.slice(start, 10_000).cast(pa.binary())], ["word", "refs"])
 
 
-def of_chunks(path: str, most: int = 500_000):
-    """(refs, ids, word where ids is null) -> (chunk, part -2, ids null, texts null, words: places, numbers of ids, ids)."""
+def of_chunks(path: str, most: int = 200_000):
+    """(refs, ids, word where ids is null) -> rows of IDS of chunks (blob: numbers, counts of ids, ids)."""
 
     def run(batches):
         def out():
             refs, counts, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
             starts = np.cumsum(counts, dtype=np.int64) - counts
             order = np.lexsort((refs[:, 1], refs[:, 0]))
-            cuts = np.flatnonzero(np.diff(refs[order, 0])) + 1
             chunk, blob = [], []
-            for at in np.split(order, cuts):
+            for at in np.split(order, np.flatnonzero(np.diff(refs[order, 0])) + 1):
                 n = counts[at]
                 chunk.append(refs[at[0], 0])
                 blob.append(packed(np.diff(refs[at, 1], prepend=0).astype("<u4"), n.astype("<u4"), ids[spread(starts[at], n)].astype("<u2")))
-            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([-2] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], ["chunk", "part", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([IDS] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], ["chunk", "part", "blob"])
 
         held, n = [], 0
         for batch in batches:
@@ -348,7 +360,7 @@ def of_chunks(path: str, most: int = 500_000):
             if ids.null_count:
                 ends = np.cumsum(counts)
                 for row in reversed(np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))):
-                    own = heap_encode(batch.column(2)[int(row)].as_py().encode("utf-8", "surrogatepass"), read_ranks(path))
+                    own = heap_encode(batch.column(2)[int(row)].as_py().encode(), read_ranks(path))
                     counts[row] = len(own)
                     values = np.insert(values, ends[row], own)
             starts = np.repeat(np.cumsum(counts) - counts, times)
@@ -370,26 +382,31 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fill(kind: pa.DataType):
-    """Rows by chunk, words before texts -> doc_id, ids: the numbers of words replaced by ids."""
+    """Rows by chunk, texts last -> doc_id, ids: the numbers of words replaced by ids."""
 
     def run(batches):
-        now, counts, starts, values, fresh = None, None, None, None, []
+        now, counts, starts, values, known = None, None, None, None, []
         for batch in sliced(batches, 20):
-            for chunk, keys, texts, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for chunk, part, keys, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if chunk != now:
-                    now, counts, fresh = chunk, None, []
-                if texts is None:
-                    fresh.append(unpacked(words, "<u4", "<u4", "<u2"))
+                    now, counts, known = chunk, None, []
+                if part == PIECES:
+                    at, ranks = unpacked(blob.as_py(), "<u4", "<u2")
+                    known.append((at, np.ones(len(at), np.int64), ranks))
+                    continue
+                if part == IDS:
+                    at, n, ids = unpacked(blob.as_py(), "<u4", "<u4", "<u2")
+                    known.append((np.cumsum(at, dtype=np.int64), n.astype(np.int64), ids))
                     continue
                 if counts is None:
-                    at, n, values = np.concatenate([np.arange(OWN), *(OWN + np.cumsum(f[0], dtype=np.int64) for f in fresh)]), np.concatenate([np.ones(OWN, np.int64), *(f[1] for f in fresh)]), np.concatenate([np.arange(OWN), *(f[2] for f in fresh)]).astype(np.int32)
-                    counts, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    counts[at], starts[at], fresh = n, np.cumsum(n) - n, []
-                sizes, numbers = unpacked(texts, "<u4", "u1")
-                numbers = from_planes(numbers)
+                    at, n, values = (np.concatenate([k[j] for k in known]) for j in range(3))
+                    counts, starts, known = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), []
+                    counts[at], starts[at] = n, np.cumsum(n) - n
+                sizes, numbers = unpacked(blob.as_py(), "<u4", "u1")
+                numbers = from_varints(numbers)
                 n = counts[numbers]
                 ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[spread(starts[numbers], n)]))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[spread(starts[numbers], n)].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.values.cast(kind), ids], ["doc_id", "ids"])
 
     return run
@@ -402,13 +419,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     parts = 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES
     held = stored(cut(rows, path, pattern, parts))
 
-    words = held.where("part >= 0").repartitionById(parts, "part").select("chunk", "words").mapInArrow(distinct_words, "word string, refs binary")
+    words = held.where("part >= 0").repartitionById(parts, "part").select("chunk", "blob").mapInArrow(distinct_words, "word string, refs binary")
     short = F.octet_length("word") <= LONG_WORD
     ids = words.select("refs", F.when(short, folded(F.col("word"), PairTable(read_ranks(path)))).alias("ids"), F.when(~short, F.col("word")).alias("word"))
-    back = ids.mapInArrow(of_chunks(path), "chunk long, part int, words binary")
-    both = held.where("part < 0").select("chunk", "part", "ids", "texts", "words").unionByName(back, allowMissingColumns=True)
-    texts = both.repartition("chunk").sortWithinPartitions("chunk", "part").select("chunk", "ids", "texts", "words")
-    return texts.mapInArrow(fill(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
+    back = ids.mapInArrow(of_chunks(path), "chunk long, part int, blob binary")
+    both = held.where("part < 0").unionByName(back, allowMissingColumns=True).select("chunk", "part", "ids", "blob")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(fill(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

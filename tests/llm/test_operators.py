@@ -261,6 +261,7 @@ def test_op3_many_words_and_chunks(spark, monkeypatch):
     """Over 300,000 distinct words, in chunks and parts that share words, and a text of many words of its own."""
     monkeypatch.setattr(bpe, "CHUNK_WORDS", 20_000)
     monkeypatch.setattr(bpe, "ROW_TEXTS", 7)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 5_000)
     monkeypatch.setattr(bpe, "PART_BYTES", 1 << 19)
     texts = [(k, " ".join(f"{letters(k * 1000 + j, 7)} shared{j} Wort{k}x" for j in range(250))) for k in range(1_100)] + [(2_000, " ".join(letters(9_000_000 + j, 9) for j in range(60_000)))]
     assert len({w for _, t in texts for w in t.split()}) > 300_000
@@ -269,6 +270,11 @@ def test_op3_many_words_and_chunks(spark, monkeypatch):
     assert got == {k: enc.encode_ordinary(t) for k, t in texts}
 
 
+@given(st.lists(st.integers(0, (1 << 32) - 1)))
+def test_op3_varints(values):
+    assert bpe.from_varints(bpe.varints(np.asarray(values, np.uint32))).tolist() == values
+
+
 def test_op3_round_trip(spark):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(table(spark), path, public_tokenizers.PATTERN), path)
@@ -513,11 +519,12 @@ def test_op9_ids(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
+    texts = [*TEXTS, (50, "hello <|endoftext|> world"), (51, "x<|startoftext|>y's <|ENDOFTEXT|> <|endoftext|><|endoftext|> é<|endoftext|>")]
     found = {}
-    for r in packing.packing(table(spark), tokenizer_path("word_bpe_49k.json")).collect():
+    for r in packing.packing(table(spark, texts), tokenizer_path("word_bpe_49k.json")).collect():
         found.setdefault(r.doc_id, set()).add((r.start, r.length, r.ids_crc32, r.doc_tokens))
-    for i, text in TEXTS:
+    assert tk.encode(texts[-2][1], add_special_tokens=False).ids == [3306, 49407, 1002]
+    for i, text in texts:
         ids = np.array(tk.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
         assert all(n == len(ids) and zlib.crc32(ids[a : a + k].tobytes()) == crc for a, k, crc, n in found[i]), text
 
