@@ -40,19 +40,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import sliced, stored
+from .common import sliced, stored_by, trim
 from .imatch import let
 
 LONG_WORD = 1024
 #: A chunk of texts ends at so many distinct words or characters; a text is never cut.
-CHUNK_WORDS, CHUNK_CHARS = 300_000, 1 << 25
+CHUNK_WORDS, CHUNK_CHARS = 300_000, 1 << 24
 #: A row holds so many texts of a chunk, or one more than so many words.
 ROW_TEXTS, ROW_WORDS = 500, 200_000
-#: Bytes of text for each partition of distinct words.
-PART_BYTES = 1 << 24
+#: Bytes of text for each partition of distinct words, and how many buckets of chunks there may be.
+PART_BYTES, BUCKETS = 1 << 24, 50_000
 NO_PAIR = EDGE = 65535
-#: What a row of a chunk holds, in the order in which they are read: its pieces, ids of its other words, texts. Others are parts of distinct words.
-PIECES, IDS, TEXTS = -3, -2, -1
+#: What a row of a chunk holds: its pieces, or texts; any other is a part of distinct words.
+PIECES, TEXTS = -2, -1
 
 Ranks = dict[bytes, int]
 
@@ -296,8 +296,11 @@ def cut(rows: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
                 if len(numbers) >= CHUNK_WORDS or chars >= CHUNK_CHARS:
                     yield from chunk_rows()
                     chunk, numbers, ids, sizes, found, chars = chunk + 1, Numbers(), [], [], [], 0
+                    trim()
         if ids:
             yield from chunk_rows()
+            numbers, found = None, None
+            trim()
 
     return rows.mapInArrow(run, f"chunk long, part int, ids array<{kind.simpleString()}>, blob binary")
 
@@ -330,12 +333,15 @@ def distinct_words(batches):
     offsets = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.bincount(which, minlength=len(words)) * 16, out=offsets[1:])
     held = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(refs))])
+    del chunks, places, coded, which, order, refs
     for start in range(0, len(words), 10_000):
         yield pa.RecordBatch.from_arrays([words.slice(start, 10_000).cast(pa.string()), held.slice(start, 10_000).cast(pa.binary())], ["word", "refs"])
+    del words, held
+    trim()
 
 
 def of_chunks(path: str, most: int = 200_000):
-    """(refs, ids, word where ids is null) -> rows of IDS of chunks (blob: numbers, counts of ids, ids)."""
+    """(refs, ids, word where ids is null) -> chunk, blob: numbers, counts of ids, ids."""
 
     def run(batches):
         def out():
@@ -347,7 +353,7 @@ def of_chunks(path: str, most: int = 200_000):
                 n = counts[at]
                 chunk.append(refs[at[0], 0])
                 blob.append(packed(np.diff(refs[at, 1], prepend=0).astype("<u4"), n.astype("<u4"), ids[spread(starts[at], n)].astype("<u2")))
-            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([IDS] * len(chunk), pa.int32()), pa.array(blob, pa.binary())], ["chunk", "part", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["chunk", "blob"])
 
         held, n = [], 0
         for batch in batches:
@@ -382,32 +388,32 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fill(kind: pa.DataType):
-    """Rows by chunk, texts last -> doc_id, ids: the numbers of words replaced by ids."""
-
-    def run(batches):
-        now, counts, starts, values, known = None, None, None, None, []
-        for batch in sliced(batches, 20):
-            for chunk, part, keys, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if chunk != now:
-                    now, counts, known = chunk, None, []
-                if part == PIECES:
-                    at, ranks = unpacked(blob.as_py(), "<u4", "<u2")
-                    known.append((at, np.ones(len(at), np.int64), ranks))
-                    continue
-                if part == IDS:
-                    at, n, ids = unpacked(blob.as_py(), "<u4", "<u4", "<u2")
-                    known.append((np.cumsum(at, dtype=np.int64), n.astype(np.int64), ids))
-                    continue
-                if counts is None:
-                    at, n, values = (np.concatenate([k[j] for k in known]) for j in range(3))
-                    counts, starts, known = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), []
-                    counts[at], starts[at] = n, np.cumsum(n) - n
-                sizes, numbers = unpacked(blob.as_py(), "<u4", "u1")
-                numbers = from_varints(numbers)
-                n = counts[numbers]
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[spread(starts[numbers], n)].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([keys.values.cast(kind), ids], ["doc_id", "ids"])
+    """A chunk's texts and pieces, and the ids of its other words -> doc_id, ids: the numbers of words replaced by ids."""
+
+    def run(texts: pa.Table, others: pa.Table) -> pa.Table:
+        texts = texts.sort_by("part")  # pieces come first
+        known = []
+        for blob in others.column("blob"):
+            at, n, ids = unpacked(blob.as_py(), "<u4", "<u4", "<u2")
+            known.append((np.cumsum(at, dtype=np.int64), n.astype(np.int64), ids))
+        out, counts, starts, values = [], None, None, None
+        for part, keys, blob in zip(texts.column("part").to_pylist(), texts.column("ids"), texts.column("blob"), strict=True):
+            if part == PIECES:
+                at, ranks = unpacked(blob.as_py(), "<u4", "<u2")
+                known.append((at, np.ones(len(at), np.int64), ranks))
+                at, n, values = (np.concatenate([k[j] for k in known]) for j in range(3))
+                counts, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                counts[at], starts[at] = n, np.cumsum(n) - n
+                continue
+            sizes, numbers = unpacked(blob.as_py(), "<u4", "u1")
+            numbers = from_varints(numbers)
+            n = counts[numbers]
+            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[spread(starts[numbers], n)].astype(np.int32)))
+            out.append(pa.table([keys.values.cast(kind), ids], ["doc_id", "ids"]))
+        del texts, others, known, counts, starts, values
+        trim()
+        return pa.concat_tables(out)
 
     return run
 
@@ -417,14 +423,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType
     parts = 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES
-    held = stored(cut(rows, path, pattern, parts))
+    held = stored_by(cut(rows, path, pattern, parts), "chunk", min(parts, BUCKETS))
 
     words = held.where("part >= 0").repartitionById(parts, "part").select("chunk", "blob").mapInArrow(distinct_words, "word string, refs binary")
     short = F.octet_length("word") <= LONG_WORD
     ids = words.select("refs", F.when(short, folded(F.col("word"), PairTable(read_ranks(path)))).alias("ids"), F.when(~short, F.col("word")).alias("word"))
-    back = ids.mapInArrow(of_chunks(path), "chunk long, part int, blob binary")
-    both = held.where("part < 0").unionByName(back, allowMissingColumns=True).select("chunk", "part", "ids", "blob")
-    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(fill(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
+    back = ids.mapInArrow(of_chunks(path), "chunk long, blob binary")
+    texts = held.where("part < 0").select("chunk", "part", "ids", "blob")
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(fill(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

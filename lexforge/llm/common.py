@@ -7,6 +7,8 @@ the empty text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import getpass
 import os
 import tempfile
@@ -47,6 +49,13 @@ class Recent(dict):
         return out
 
 
+def trim() -> None:
+    """Hand freed memory back to the system after a large piece of work: worker processes stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +75,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Like ``stored``, but in ``buckets`` by ``column``: what is grouped or joined by it need not be shuffled. The catalog's entry is only a means."""
+    spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"lexforge_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).saveAsTable(name, "parquet", path=path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -11,6 +11,8 @@ White space inside a block, as Python's ``str.split`` knows it, becomes one spac
 blocks are joined by a blank line in page order. Null and empty pages, and pages
 without main blocks, give the empty text. Repeated rows are read alike and stay; an
 empty table gives an empty one. Unclosed tags, quotes and comments end with the page.
+Time and memory are linear in the page, however long or deep. Formulas belong to the
+block around them; what noscript and object hold is read like any other element's.
 """
 
 from __future__ import annotations
@@ -28,35 +30,71 @@ from pyspark.sql import functions as F
 from .common import per_row
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img label".split())
+#: Elements of formulas: their text is part of the block around them.
+FORMULA = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mfenced menclose mpadded semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title noscript iframe svg math select object".split())
+#: Thrown away with all they hold.
+RAW = frozenset("script style template textarea title iframe svg select annotation annotation-xml".split())
+#: Those of RAW that may hold elements of their own name or close themselves.
+NESTING = frozenset(("svg", "template"))
+SELF_CLOSING = frozenset(("svg", "annotation", "annotation-xml"))
 #: A start tag ends an open element of these without an end tag, up to the container.
 IMPLIED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CONTAINERS = frozenset("ul ol dl table tbody div section article main aside nav header footer form blockquote body html figure".split())
 P_ENDS = frozenset("address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: The sets of names that IMPLIED looks for.
+ENDED = (("p",), ("li",), ("dt", "dd"), ("tr", "td", "th"), ("td", "th"))
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
+QUOTED = re.compile(r"=\s*([\"'])")
 HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.!?…:;][\"'”’»)]*$")
+NOTHING: frozenset[str] = frozenset()
+#: Stands for hints none of which matters.
+UNKNOWN = frozenset("?")
 
 
 @dataclass
 class Block:
     tag: str
-    path: tuple[str, ...]
+    within: frozenset[str]  # the tags above
     hints: frozenset[str]
     near: frozenset[str]  # hints of the innermost element that has any
     text: str
     linked: int = 0
 
 
+class Node:
+    """An open element, with what its blocks need to know of those above: shared with the parent's where it adds nothing."""
+
+    __slots__ = ("tag", "within", "hints", "near", "ended")
+
+    def __init__(self, tag: str, own: frozenset[str], above: Node | None, place: int, known: frozenset[str] | None) -> None:
+        """``known``: the only names that matter to the reader; so the sets are bounded, however deep the page is."""
+        self.tag = tag
+        within, hints, near, ended = (above.within, above.hints, above.near, above.ended) if above else (NOTHING, NOTHING, NOTHING, (-1,) * len(ENDED))
+        if known is not None:
+            self.within = within if tag in within or tag not in known else within | {tag}
+            kept = own & known
+        else:
+            self.within = within if tag in within else within | {tag}
+            kept = own
+        self.hints = hints if kept <= hints else hints | kept
+        self.near = (kept or UNKNOWN) if own else near
+        # for each set of ENDED, the place of the innermost open element of it that no container hides
+        self.ended = tuple(place if tag in names else -1 if tag in CONTAINERS else k for names, k in zip(ENDED, ended, strict=True)) if tag in PLACED else ended
+
+
+PLACED = CONTAINERS.union(*ENDED)
+
+
 def tag_end(page: str, at: int) -> int:
     """The place after the > that ends the tag at ``at``; quoted values may hold >."""
     while True:
         end = page.find(">", at)
         if end < 0:
             return len(page)
-        quote = re.compile(r"=\s*([\"'])").search(page, at, end)
+        quote = QUOTED.search(page, at, end)
         if not quote:
             return end + 1
         close = page.find(quote[1], quote.end())
@@ -65,9 +103,24 @@ def tag_end(page: str, at: int) -> int:
         at = close + 1
 
 
-def blocks(page: str) -> list[Block]:
+def raw_end(page: str, tag: str, at: int) -> int:
+    """The place after the end tag of an element of RAW whose content begins at ``at``; elements of its name within count, where they may be."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?![\w-])", re.IGNORECASE).finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return tag_end(page, m.end())
+        elif tag in NESTING and page[tag_end(page, m.end()) - 2] != "/":
+            depth += 1
+    return len(page)
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, in time linear in the page; with ``known``, of tags and hints only those in it."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    open_: dict[str, int] = {}
     texts: list[str] = []
     linked = in_link = 0
 
@@ -75,17 +128,26 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
-            path = tuple(t for t, _ in stack)
-            hints = [h for _, h in stack if h]
-            out.append(Block(path[-1] if path else "", path, frozenset().union(*hints), hints[-1] if hints else frozenset(), text, min(linked, len(text))))
+            top = stack[-1] if stack else ROOT
+            out.append(Block(top.tag, top.within, top.hints, top.near, text, min(linked, len(text))))
         texts.clear()
         linked = 0
 
+    def cut(place: int) -> None:
+        """Elements from ``place`` on are closed."""
+        while len(stack) > place:
+            open_[stack.pop().tag] -= 1
+
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
+        if open_.get(name):
+            while stack[-1].tag != name:
+                open_[stack.pop().tag] -= 1
+            cut(len(stack) - 1)
+
+    def implied(names: tuple[str, ...]) -> None:
+        place = stack[-1].ended[ENDED.index(names)] if stack else -1
+        if place >= 0:
+            cut(place)
 
     at = 0
     while at < len(page):
@@ -114,12 +176,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, at = name[0].lower(), tag_end(page, name.end())
         if tag in RAW and not ending:
-            m = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, at)
-            at = len(page) if not m else tag_end(page, m.end())
+            if not (tag in SELF_CLOSING and page[at - 2] == "/"):
+                at = raw_end(page, tag, at)
             continue
         if tag == "a":
             in_link = 0 if ending else 1
-        if tag in INLINE:
+        if tag in INLINE or tag in FORMULA:
             if tag == "br":
                 texts.append(" ")
             continue
@@ -129,42 +191,37 @@ def blocks(page: str) -> list[Block]:
             close(tag)
             continue
         if tag in P_ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in CONTAINERS:
-                    break
-        for k in range(len(stack) - 1, -1, -1) if tag in IMPLIED else ():
-            if stack[k][0] in IMPLIED[tag]:
-                del stack[k:]
-                break
-            if stack[k][0] in CONTAINERS:
-                break
+            implied(("p",))
+        if tag in IMPLIED:
+            implied(IMPLIED[tag])
         if tag not in VOID:
             words = " ".join(next(v for v in m.groups() if v is not None) for m in HINT.finditer(page, name.end(), at)).lower()
-            stack.append((tag, frozenset(PART.findall(words))))
+            stack.append(Node(tag, frozenset(PART.findall(words)), stack[-1] if stack else None, len(stack), known))
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
+ROOT = Node("", NOTHING, None, 0, NOTHING)
+
+
 def bucket(n: int) -> int:
     return min(int(n).bit_length(), 9)
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    has_article = any("article" in b.path or "main" in b.path for b in page)
+    has_article = any("article" in b.within or "main" in b.within for b in page)
     out = []
     for k, b in enumerate(page):
         share = b.linked / max(len(b.text), 1)
         own = [f"tag={b.tag}", f"len={bucket(len(b.text))}", f"link={min(4, int(share * 4 + 0.01))}", "ends" if PUNCTUATION.search(b.text) else "open", f"words={bucket(b.text.count(' '))}"]
-        own += [f"in={t}" for t in set(b.path)]
+        own += [f"in={t}" for t in b.within]
         own += [f"hint={h}" for h in b.hints]
         own += [f"near={h}" for h in b.near] or ["near="]
         if "©" in b.text:
             own.append("copyright")
         if has_article:
-            own.append("inside" if "article" in b.path or "main" in b.path else "outside")
+            own.append("inside" if "article" in b.within or "main" in b.within else "outside")
         own.append("first" if k == 0 else "last" if k == len(page) - 1 else "middle")
         out.append(own)
     return out
@@ -178,6 +235,10 @@ class Field:
         self.weights = np.zeros((0, 2))
         self.steps = np.zeros((2, 2))
 
+    def names(self) -> frozenset[str]:
+        """Tags and hints that any feature has."""
+        return frozenset(f.partition("=")[2] for f in self.index if f.startswith(("in=", "hint=", "near="))) | {"article", "main"}
+
     def scores(self, page: list[list[str]]) -> np.ndarray:
         index, weights = self.index, self.weights
         out = np.zeros((len(page), 2))
@@ -358,20 +419,21 @@ def model(pages: int = 600, seed: int = 11) -> Field:
     return Field().train([labelled_page(maker.page()) for _ in range(pages)])
 
 
-def main_text(page: str, crf: Field) -> str:
-    found = blocks(page)
+def main_text(page: str, crf: Field, known: frozenset[str] | None = None) -> str:
+    found = blocks(page, known)
     return "\n\n".join(b.text for b, keep in zip(found, crf.decode(features(found)), strict=True) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """A row for every page: id, ``keep`` columns, text, n_chars."""
     crf = model()
+    known = crf.names()
     kinds = dict(pages.dtypes)
     columns = [id_col, *keep, html_col]
 
     def make():
         def rows(*given):
-            texts = [main_text(h or "", crf) for h in given[-1]]
+            texts = [main_text(h or "", crf, known) for h in given[-1]]
             return [*given[:-1], texts, [len(t) for t in texts]]
 
         return rows

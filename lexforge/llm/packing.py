@@ -111,16 +111,20 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 class WordIds(Recent):
     """Ids of words without white space, and of pre-tokens, as little-endian unsigned 16-bit bytes.
 
-    A pre-token's ids do not depend on its neighbours.
+    A pre-token's ids do not depend on its neighbours. A special token's string in a
+    text has that token's id, as the library gives it by default; with ``special_as_text``
+    it is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__(MEMO_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)")
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = str.maketrans({c: spell.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
         self.model = self.tokenizer.model
@@ -130,7 +134,7 @@ class WordIds(Recent):
             return self.piece(word)
         if not word:
             return b""
-        if PLAIN.fullmatch(word):
+        if PLAIN.fullmatch(word) and not self.special.search(word):
             pieces = PRETOKEN.findall(word.lower())
             return b"".join(map(self.__getitem__, pieces)) if pieces != [word] else self.piece(word)
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -144,9 +148,9 @@ class WordIds(Recent):
 
 
 @lru_cache(2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, special_as_text: bool = False) -> WordIds:
     """One for each worker process: its memo serves the tasks that follow."""
-    return WordIds(path)
+    return WordIds(path, special_as_text)
 
 
 def split_words(text: str) -> list[str]:
@@ -157,12 +161,12 @@ def split_words(text: str) -> list[str]:
 BLANK = re.compile("[\t\n\r\x0b\x0c]")
 
 
-def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """doc_id, grp, ids (unsigned 16-bit, the end id last)."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        find = word_ids(path).__getitem__
+        find = word_ids(path, special_as_text).__getitem__
         end = np.asarray([END_ID], "<u2").tobytes()
         for part in sliced(batches):
             ids = [b"".join(map(find, split_words(t or ""))) + end for t in part.column(1).to_pylist()]
@@ -173,7 +177,7 @@ def tokenised(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", t
     return docs.select(F.col(id_col), F.col(text_col), deal.alias("grp")).mapInArrow(run, f"doc_id {kind}, ids binary, grp long")
 
 
-def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
+def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS, special_as_text: bool = False) -> DataFrame:
     """A row for every piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, docs.count() // group_docs)
     kind = dict(docs.dtypes)[id_col]
@@ -195,4 +199,4 @@ def packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         })
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokenised(docs, path, groups, id_col, text_col).groupBy("grp").applyInArrow(group, schema)
+    return tokenised(docs, path, groups, id_col, text_col, special_as_text).groupBy("grp").applyInArrow(group, schema)
