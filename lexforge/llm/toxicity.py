@@ -1,11 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read as symbols of a small alphabet (insult, threat, target, negation,
-reporting verb, quotation mark, any other). Five deterministic transducers are
-composed into one; it runs over each clause that holds an insult or a threat and
-gives every match a weight: a target nearby raises it, a negation or reported
-speech lowers it. The document's score is the noisy-or of its matched words, each
-with the weight of its strongest clause: a word said often is no further evidence.
+Words are read as symbols of a small alphabet (insult, threat, target, copula,
+intent, negation, mention, reporting verb, quotation mark, any other). Deterministic
+weighted transducers are composed into one. A first one reads a clause from its end and
+marks insults and threats that a target follows; the others read it from its start:
+threats need intent, insults match, a negation or reported speech before a match
+lowers it, and a match that no target and no copula belongs to keeps only BARE of
+its weight. A clause's score is the noisy-or of its matches (a word said twice in a
+clause is one), the document's that of its clauses: so a lone insulting word decides
+nothing, and what is said to or of somebody does. Quotation lasts over clauses, to
+its closing mark or the end of the line.
 
 The insult lexicon is learned: words, and word beginnings written ``stem*``,
 whose share of toxic documents has a high lower confidence bound in a bounded
@@ -35,15 +39,23 @@ STEMS = (4, 5, 6, 7)
 #: Features counted in a task before they are handed on.
 COUNTED = 300_000
 
-NEGATIONS = frozenset("not never no isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca tampoco".split())
+NEGATIONS = frozenset("not never no nobody none neither nor without hardly cannot nicht kein keine keiner nie niemand ohne pas jamais ni personne aucun aucune sans nunca tampoco nadie ningún ninguna sin".split())
 REPORTS = frozenset("said says wrote claimed called quoted alleged sagte schrieb nannte dit écrit dijo escribió".split())
-TARGETS = frozenset("you your you're they them he him she her people du dich ihr euch sie tu toi vous eux ellos ella usted vosotros".split())
+#: What speaks of a word instead of using it.
+MENTIONS = frozenset("word words term terms expression phrase wort wörter begriff ausdruck mot mots terme expression palabra palabras término expresión".split())
+TARGETS = frozenset("you your you're they them he him she her people du dich dir ihr euch sie tu toi te vous eux ellos ella usted vosotros".split())
+COPULAS = frozenset("am is are was were be been being i'm he's she's they're ist sind war waren bist seid est sont es suis était étaient son eres somos era eran".split())
 THREATS = frozenset("kill hurt destroy beat punish attack töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 INTENTS = frozenset("will shall gonna i'll we'll going werde werden vais allons voy vamos".split())
+QUOTES = "\"“”„«»"
 
 CLAUSE = re.compile(r"[^.!?;\n]+")
-TOKEN = re.compile(r"[\w'’]+|[\"“”«»]")
+TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
 WORD = re.compile(r"[\w'’]+")
+QUOTE = re.compile(f"[{QUOTES}]")
+
+#: Weights: of a match without target or copula, of a threat without target, of a negated one, of reported speech or a mention.
+BARE, AIMLESS, NEGATED, REPORTED = 0.6, 0.25, 0.35, 0.4
 
 
 class Transducer:
@@ -69,59 +81,94 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
+def aimed(reach: int = 4) -> Transducer:
+    """Read from a clause's end: insults and threats that a target follows within ``reach`` words get a +."""
+
+    def step(state: int, symbol: str):
+        if symbol == "target":
+            return reach, symbol, 1.0
+        return max(0, state - 1), symbol + "+" if state and symbol in ("insult", "threat") else symbol, 1.0
+
+    return Transducer(0, step)
+
+
 def threat(reach: int = 4) -> Transducer:
-    """A threatening verb counts only within ``reach`` words after a sign of intent."""
+    """A threatening verb counts only within ``reach`` words after a sign of intent, and fully only if it is aimed."""
 
     def step(state: int, symbol: str):
         if symbol == "intent":
             return reach, "other", 1.0
-        if symbol == "threat":
-            return (0, "match", 0.9) if state else (0, "other", 1.0)
+        if symbol in ("threat", "threat+"):
+            return (0, "match+", 1.0 if symbol == "threat+" else AIMLESS) if state else (0, "other", 1.0)
         return max(0, state - 1), symbol, 1.0
 
     return Transducer(0, step)
 
 
 def insult() -> Transducer:
-    return Transducer(0, lambda state, symbol: (0, "match", 1.0) if symbol == "insult" else (0, symbol, 1.0))
-
+    return Transducer(0, lambda state, symbol: (0, symbol.replace("insult", "match"), 1.0))
 
-def target(reach: int = 4, without: float = 0.97) -> Transducer:
-    """A match that no target word precedes closely keeps ``without`` of its weight."""
 
+def negation(reach: int = 5) -> Transducer:
     def step(state: int, symbol: str):
-        if symbol == "target":
+        if symbol == "negation":
             return reach, "other", 1.0
-        return max(0, state - 1), symbol, 1.0 if symbol != "match" or state else without
+        return max(0, state - 1), symbol, NEGATED if symbol in ("match", "match+") and state else 1.0
 
     return Transducer(0, step)
 
 
-def negation(reach: int = 3, factor: float = 0.35) -> Transducer:
+def reported(reach: int = 3) -> Transducer:
+    """Within quotation marks, after a reporting verb until the clause ends, or within ``reach`` words after a mention."""
+
+    def step(state: tuple[bool, bool, int], symbol: str):
+        quoted, after, named = state
+        if symbol == "quote":
+            return (not quoted, after, named), "other", 1.0
+        if symbol == "report":
+            return (quoted, True, named), "other", 1.0
+        if symbol == "mention":
+            return (quoted, after, reach), "other", 1.0
+        return (quoted, after, max(0, named - 1)), symbol, REPORTED if symbol in ("match", "match+") and (quoted or after or named) else 1.0
+
+    return Transducer((False, False, 0), step)
+
+
+def target(reach: int = 4) -> Transducer:
+    """A match that neither follows a target or copula within ``reach`` words nor is aimed keeps BARE of its weight."""
+
     def step(state: int, symbol: str):
-        if symbol == "negation":
+        if symbol in ("target", "copula"):
             return reach, "other", 1.0
-        return max(0, state - 1), symbol, factor if symbol == "match" and state else 1.0
+        aim = symbol == "match+" or symbol == "match" and state > 0
+        return max(0, state - 1), "match" if symbol in ("match", "match+") else "other", 1.0 if aim or symbol != "match" else BARE
 
     return Transducer(0, step)
 
 
-def reported(factor: float = 0.4) -> Transducer:
-    """Within quotation marks, or after a reporting verb until the clause ends."""
-
-    def step(state: tuple[bool, bool], symbol: str):
-        quoted, after = state
-        if symbol == "quote":
-            return (not quoted, after), "other", 1.0
-        if symbol == "report":
-            return (quoted, True), "other", 1.0
-        return state, symbol, factor if symbol == "match" and (quoted or after) else 1.0
+class Grammar:
+    """The composed machine, and the one that runs before it from the other end."""
 
-    return Transducer((False, False), step)
+    def __init__(self) -> None:
+        self.back = aimed()
+        self.ahead = threat().then(insult()).then(negation()).then(reported()).then(target())
 
+    def start(self, quoted: bool) -> object:
+        rest, _ = self.ahead.start
+        before, _ = rest
+        return (before, (quoted, False, 0)), 0
 
-def grammar() -> Transducer:
-    return threat().then(insult()).then(negation()).then(reported()).then(target())
+    def run(self, symbols: list[str], quoted: bool) -> list[float]:
+        """The weight of each symbol's match, 0 where none is."""
+        marked, state = [], self.back.start
+        for s in reversed(symbols):
+            state, s, _ = self.back.step(state, s)
+            marked.append(s)
+        out, state = [], self.start(quoted)
+        for s in reversed(marked):
+            state, kind, weight = self.ahead.step(state, s)
+            out.append(weight if kind == "match" else 0.0)
+        return out
 
 
 class Memo(Recent):
@@ -137,35 +184,41 @@ class Memo(Recent):
 
 
 def symbol(word: str, memo: Memo) -> str:
-    for kind, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS), ("intent", INTENTS), ("threat", THREATS)):
+    if word in NEGATIONS or word.endswith("n't"):
+        return "negation"
+    for kind, words in (("report", REPORTS), ("mention", MENTIONS), ("target", TARGETS), ("copula", COPULAS), ("intent", INTENTS), ("threat", THREATS)):
         if word in words:
             return kind
-    return "quote" if word in "\"“”«»" else "insult" if memo[word] else "other"
+    return "quote" if word in QUOTES else "insult" if memo[word] else "other"
 
 
-def clause_scores(text: str, memo: Memo, machine: Transducer, best: dict[str, float]) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every clause with a match; ``best`` gets each matched word's largest weight."""
-    out = []
+def clause_scores(text: str, memo: Memo, machine: Grammar) -> list[tuple[int, int, float]]:
+    """(start, end, score) of every clause with a match."""
+    out, quoted, at = [], False, 0
+    quotes = QUOTE.search(text) is not None
     for clause in CLAUSE.finditer(text):
-        words = TOKEN.findall(clause[0].lower())
-        if not any(memo[w] for w in words):
-            continue
-        state, miss = machine.start, 1.0
-        for word in words:
-            state, kind, weight = machine.step(state, symbol(word, memo))
-            if kind == "match":
-                miss *= 1.0 - weight * memo[word]
-                best[word] = max(best.get(word, 0.0), weight * memo[word])
-        out.append((clause.start(), clause.end(), 1.0 - miss))
+        if quotes and "\n" in text[at : clause.start()]:
+            quoted = False
+        at = clause.end()
+        own = clause[0]
+        if any(map(memo.__getitem__, WORD.findall(own.lower()))):
+            words = TOKEN.findall(own.lower().replace("’", "'"))
+            best: dict[str, float] = {}
+            for word, weight in zip(words, machine.run([symbol(w, memo) for w in words], quoted), strict=True):
+                if weight:
+                    best[word] = max(best.get(word, 0.0), weight * memo[word])
+            if best:
+                out.append((clause.start(), clause.end(), 1.0 - math.prod(1.0 - w for w in best.values())))
+        if quotes:
+            quoted ^= len(QUOTE.findall(own)) % 2 == 1
     return out
 
 
-def score_text(text: str, memo: Memo, machine: Transducer) -> tuple[float, list[tuple[int, int, float]]]:
+def score_text(text: str, memo: Memo, machine: Grammar) -> tuple[float, list[tuple[int, int, float]]]:
     if not any(map(memo.__getitem__, WORD.findall(text.lower()))):
         return FLOOR, []
-    best: dict[str, float] = {}
-    clauses = clause_scores(text, memo, machine, best)
-    return max(FLOOR, 1.0 - math.prod(1.0 - w for w in best.values())), clauses
+    clauses = clause_scores(text, memo, machine)
+    return max(FLOOR, 1.0 - math.prod(1.0 - s for _, _, s in clauses)), clauses
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -174,7 +227,7 @@ def features(words: Iterable[str]) -> set[str]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
-    """The lexicon: feature -> lower bound of its share of toxic documents, prior taken off.
+    """The lexicon: feature -> its share of toxic documents, smoothed; a lower bound of that share decides what is in.
 
     Counted in Spark over the labelled sample; at most LEXICON_ENTRIES rows come to the driver.
     """
@@ -214,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: s
                 stem = f"{r.feature[:n]}*"
                 largest[stem] = max(largest.get(stem, 0), r.t)
     # a stem says something of its own only if no single word makes most of it
-    return {r.feature: float(r.w) for r in rows if r.feature[-1] != "*" or r.t >= 2 * largest.get(r.feature, 1)}
+    return {r.feature: (r.t + 1) / (r.n + 3) for r in rows if r.feature[-1] != "*" or r.t >= 2 * largest.get(r.feature, 1)}
 
 
 def lower_bound(t, n, z: float = 2.0):
@@ -227,7 +280,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", te
     """doc_id, score, clauses (start, end, score of each matched clause)."""
 
     def make():
-        memo, machine = Memo(lexicon), grammar()
+        memo, machine = Memo(lexicon), Grammar()
 
         def rows(ids, texts):
             scored = [score_text(t or "", memo, machine) for t in texts]
@@ -257,7 +310,7 @@ def flagged_filter(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        memo, machine = Memo(lexicon), grammar()
+        memo, machine = Memo(lexicon), Grammar()
         for batch in sliced(batches):
             keep = [score_text(t or "", memo, machine)[0] < THRESHOLD for t in batch.column(position).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -456,17 +456,75 @@ LEXICON = {"idiot": 0.95, "grumb*": 0.9}
 
 
 def test_op8_grammar():
-    memo, machine = toxicity.Memo(LEXICON), toxicity.grammar()
+    memo, machine = toxicity.Memo(LEXICON), toxicity.Grammar()
     score = lambda t: toxicity.score_text(t, memo, machine)[0]
-    assert score("You are an idiot.") > score("An idiot.") > toxicity.THRESHOLD
-    assert score("You are not an idiot.") < toxicity.THRESHOLD
-    assert score('She said you are an idiot.') < toxicity.THRESHOLD
-    assert score("I will kill you.") > toxicity.THRESHOLD > score("Sharks kill fish.")
-    assert score("grumbling words") > toxicity.THRESHOLD and score("nothing here") == toxicity.FLOOR == score("")
+    toxic = ["You are an idiot.", "Bob is an idiot.", "Idiot, you make me tired.", "I will kill you.", "You grumbling fool.", "An idiot here. And another idiot there.", '"Fine." You idiot! "Fine."']
+    clean = [
+        "An idiot.", "The word idiot derives from Greek.", "Nobody here is an idiot.", "You are not an idiot.", "You don’t look like an idiot.", "You don't look like an idiot.", "I will kill the process.", "Sharks kill fish.",
+        "She said you are an idiot.", '"You are lazy. You are an idiot", she wrote.', "«Tu es lent. Tu es un idiot», dit elle.", "nothing here", "",
+    ]
+    assert min(map(score, toxic)) >= toxicity.THRESHOLD > max(map(score, clean)), [(t, score(t)) for t in toxic + clean]
+    assert score("You are an idiot.") > score("An idiot.") > toxicity.FLOOR == score("nothing here") == score("")
+    assert score("A quote \" is left open.\nYou are an idiot.") > toxicity.THRESHOLD  # to the end of the line only
     (clause,) = toxicity.score_text("Fine. You idiot! Fine.", memo, machine)[1]
     assert clause[:2] == (5, 15)
 
 
+SYMBOLS = ["insult", "threat", "target", "copula", "intent", "negation", "mention", "report", "quote", "other", "other", "other"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SYMBOLS), max_size=14), st.booleans())
+def test_op8_composition_against_rules(symbols, quoted):
+    """The composed machines against the rules, looked up word by word."""
+
+    def last(k, kinds, reach):
+        """Whether one of ``kinds`` stands within ``reach`` words before k."""
+        return any(symbols[i] in kinds for i in range(max(0, k - reach), k))
+
+    want = []
+    for k, s in enumerate(symbols):
+        ahead = any(symbols[i] == "target" for i in range(k + 1, min(len(symbols), k + 5)))
+        if s == "insult":
+            weight = 1.0 if ahead or last(k, ("target", "copula"), 4) else toxicity.BARE
+        elif s == "threat":
+            # an intent serves one threat
+            used = max([i for i in range(k) if symbols[i] == "threat"], default=-1)
+            meant = [i for i in range(max(0, k - 4), k) if symbols[i] == "intent" and i > used]
+            weight = (1.0 if ahead else toxicity.AIMLESS) if meant else 0.0
+        else:
+            weight = 0.0
+        if last(k, ("negation",), 5):
+            weight *= toxicity.NEGATED
+        within = quoted ^ (symbols[:k].count("quote") % 2 == 1)
+        named = False
+        left = 0
+        for x in symbols[:k]:  # only words other than marks and verbs of speech use up a mention's reach
+            left = 3 if x == "mention" else left if x in ("quote", "report") else max(0, left - 1)
+        named = left > 0
+        if within or "report" in symbols[:k] or named:
+            weight *= toxicity.REPORTED
+        want.append(weight)
+    assert toxicity.Grammar().run(symbols, quoted) == pytest.approx(want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["you", "idiot", "fool", "not", "said", "is", '"', "the", "will", "kill", ".", "\n", "grumbling"]), max_size=40))
+def test_op8_document_score(words):
+    """A document's score is the noisy-or of its clauses, a clause's that of its words' strongest matches, by naive splitting."""
+    memo, machine, text = toxicity.Memo(LEXICON), toxicity.Grammar(), " ".join(words)
+    miss = 1.0
+    for line in text.split("\n"):
+        quoted = False
+        for clause in line.split("."):
+            own = clause.split()
+            weights = machine.run([toxicity.symbol(w, memo) for w in own], quoted)
+            for w in {w for w, x in zip(own, weights, strict=True) if x}:
+                miss *= 1 - max(x for v, x in zip(own, weights, strict=True) if v == w) * memo[w]
+            quoted ^= own.count('"') % 2 == 1
+    assert toxicity.score_text(text, memo, machine)[0] == pytest.approx(max(toxicity.FLOOR, 1 - miss))
+
+
 # 9
 
 
