@@ -1,9 +1,10 @@
 """Quality by supervised subword embeddings.
 
-Words and their character n-grams are hashed to rows of one embedding table, and
-so is the word pair "the same word again"; a document is the mean of its rows (and
-of PSEUDO zero ones, so that few words say little), followed by a softmax over the
-two labels. The table and the softmax are trained by stochastic gradient descent in numpy on a
+Words and their character n-grams are hashed to rows of one embedding table; of word
+bigrams, the one of a word and itself has a row too, learned like all others. A
+document is the mean of its rows, shrunk towards zero as if SHRINK rows more were
+zero (so that few words say little), followed by a softmax over the two labels. The
+table and the softmax are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled rows. Since mean and softmax are linear up to the last
 step, each row's share of the decision is one number, so scoring sums one
 remembered number a word.
@@ -30,19 +31,21 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 NGRAMS = (3, 4)
 THRESHOLD = 0.5
-PSEUDO = 20
-#: The row of "the same word again", counted AGAIN times as a word has about as many rows.
-REPEAT, AGAIN = zlib.crc32(b"same word again") & (BUCKETS - 1), 8
+SHRINK = 20
+#: The row of a word's bigram with itself.
+REPEAT = zlib.crc32(b"same word again") & (BUCKETS - 1)
 
 
 def buckets(word: str) -> list[int]:
-    """The rows of a word: itself and the n-grams of it between boundary marks."""
-    raw = b"<" + word.encode("utf-8", "surrogatepass") + b">"
-    crc = zlib.crc32
-    out = [crc(raw) & (BUCKETS - 1)]
-    for n in NGRAMS:
-        out += [crc(raw[i : i + n], n) & (BUCKETS - 1) for i in range(len(raw) - n + 1)]
-    return out
+    """The rows of a word: itself and the character n-grams of it between boundary marks."""
+    marked, crc = f"<{word}>", zlib.crc32
+    if marked.isascii():  # a character is a byte
+        raw = marked.encode()
+        grams = ((raw[i : i + n], n) for n in NGRAMS for i in range(len(raw) - n + 1))
+    else:
+        raw = marked.encode("utf-8", "surrogatepass")
+        grams = ((marked[i : i + n].encode("utf-8", "surrogatepass"), n) for n in NGRAMS for i in range(len(marked) - n + 1))
+    return [crc(raw) & (BUCKETS - 1), *(crc(g, n) & (BUCKETS - 1) for g, n in grams)]
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.4, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -57,7 +60,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.4,
         counts: Counter[int] = Counter()
         words = text.split()
         if again := sum(map(eq, words, words[1:])):
-            counts[REPEAT] += AGAIN * again
+            counts[REPEAT] += again
         for word, k in Counter(words).items():
             rows = memo.get(word)
             if rows is None:
@@ -66,7 +69,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.4,
                 counts[b] += k
         rows = np.fromiter(counts.keys(), np.int64, len(counts))
         share = np.fromiter(counts.values(), np.float32, len(counts))
-        docs.append((rows, share / (share.sum() + PSEUDO)))
+        docs.append((rows, share / (share.sum() + SHRINK)))
     y = np.asarray(labels, int)
     if not len(y):
         return np.zeros(BUCKETS, np.float32), 0.0
@@ -109,8 +112,8 @@ class Memo(Recent):
 
 def score_text(text: str, memo: Memo, bias: float) -> float:
     words = text.split()
-    again = AGAIN * sum(map(eq, words, words[1:]))
-    both = sum(map(memo.__getitem__, words), complex(again * memo.shares[REPEAT], again + PSEUDO))
+    again = sum(map(eq, words, words[1:]))
+    both = sum(map(memo.__getitem__, words), complex(again * memo.shares[REPEAT], again + SHRINK))
     z = bias + both.real / both.imag
     return float(1 / (1 + np.exp(-z)))
 

@@ -444,6 +444,28 @@ def test_held_out_accuracy(spark, name, label, least):
     assert np.mean([r.predicted == truth[r.doc_id] for r in own]) >= least
 
 
+def naive_softmax(text, table, soft, bias):
+    """Mean of the rows of every word, its n-grams and repeats, then softmax, one row at a time."""
+    rows, words = [], text.split()
+    for k, w in enumerate(words):
+        marked = f"<{w}>"
+        grams = [marked[i : i + n] for n in quality.NGRAMS for i in range(len(marked) - n + 1)]
+        rows += [zlib.crc32(marked.encode()) % quality.BUCKETS, *(zlib.crc32(g.encode(), len(g)) % quality.BUCKETS for g in grams)]
+        rows += [quality.REPEAT] * (k > 0 and words[k - 1] == w)
+    mean = sum((table[r] for r in rows), np.zeros(table.shape[1])) / (len(rows) + quality.SHRINK)
+    z = np.exp(mean @ soft + bias)
+    return z[1] / z.sum()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["the", "é", "ünï", "中文字", "a", "word", "x" * 9]), max_size=12).map(" ".join))
+def test_op7_score_against_softmax(text):
+    rng = np.random.default_rng(1)
+    table, soft, bias = rng.normal(size=(quality.BUCKETS, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    memo = quality.Memo(table @ (soft[:, 1] - soft[:, 0]))
+    assert quality.score_text(text, memo, bias[1] - bias[0]) == pytest.approx(naive_softmax(text, table, soft, bias))
+
+
 def test_op7_learns_repeats():
     good, bad = ["alpha beta gamma delta " * 3 + f"word{i}" for i in range(30)], ["alpha " * 12 + f"word{i}" for i in range(30)]
     shares, bias = quality.fit(good + bad, [1] * 30 + [0] * 30)
