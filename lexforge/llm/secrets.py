@@ -2,17 +2,18 @@
 
 A text is the first layer. Each layer is scanned for the base kinds and for
 encoded segments. All its percent escapes together, and all its backslash escapes,
-decode to one further layer each; base64, and zlib or gzip behind it, to a layer a
-segment, until none is left. Every
-character of a layer knows the range of the whole text that it came from, so a
-finding at any depth has a span there. A layer that was met before over the same
-range is not scanned again, so cycles end.
+decode to one further layer each; base64, and what is compressed behind it, to layers
+of each segment, until none is left. Every character of a layer knows the range of
+the whole text that it came from, so a finding at any depth has a span there. A layer
+that was met before over the same range is not scanned again, so cycles end.
 
 A null text is the empty text and has no spans. Repeated rows are scanned alike
 and stay; an empty table gives an empty one. Nothing is cut: a text of any length
 is scanned whole. Bytes that are not UTF-8 become U+FFFD, one each, and the layer is
-scanned with them and with any control characters. A decompressed layer may hold at most MAX_INFLATED bytes (a
-larger one is left packed: such bombs are no credentials).
+scanned with them and with any control characters; bytes with a zero in every other
+place are read as UTF-16 as well. Compressed data (zlib, gzip of any number of members,
+bare deflate, one in another) is inflated in pieces that end where no secret and no
+code can go on, so a layer of any size is scanned whole in the memory of a piece.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import per_row, sliced
 
 KINDS = ("assign", "access", "hex")
-MAX_INFLATED = 1 << 26
+#: Bytes that are inflated at a time.
+INFLATED = 1 << 18
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_HINT = re.compile(r"passw|secret|token|api", re.IGNORECASE | re.ASCII)
@@ -46,6 +49,10 @@ BAD = re.compile(r"[\udc80-\udcff]")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 #: Where zlib or gzip data may begin: zlib of the usual window anywhere, any other at the start.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\A\x78")
+#: What begins like compressed data.
+HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Bytes that no base kind, escape or base64 over lines goes over.
+BREAK = re.compile(rb"[^A-Za-z0-9+/_.=\-\"' :%\\{}\r\n\t]")
 #: A base64 segment without both of these is a word.
 LOWER, OTHER = re.compile(r"[a-z]"), re.compile(r"[A-Z0-9+/_=-]")
 
@@ -63,10 +70,20 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+class Same:
+    """One number for every character."""
+
+    def __init__(self, value: int) -> None:
+        self.value = value
+
+    def __getitem__(self, at: int) -> int:
+        return self.value
+
+
 class Layer:
     """A text and, for each of its characters, the range of the first layer that it stands for."""
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range) -> None:
+    def __init__(self, text: str, starts: list[int] | range | Same, ends: list[int] | range | Same) -> None:
         self.text, self.starts, self.ends = text, starts, ends
 
     def key(self) -> tuple:
@@ -85,6 +102,29 @@ class Layer:
             at += n
         return Layer(BAD.sub("\ufffd", text), starts, ends)
 
+    def below_wide(self, raw: bytes, sources: list[tuple[int, int]]) -> Iterator[Layer]:
+        """The layers of ``raw`` read as UTF-16, where every other byte is mostly zero."""
+        for order, high in (("utf-16-le", 1), ("utf-16-be", 0)):
+            if len(raw) >= 8 and 4 * raw[high::2].count(0) >= len(raw):
+                text = raw[: len(raw) // 2 * 2].decode(order, "replace")
+                narrow = text.encode("utf-8", "surrogatepass")
+                at, of_byte = 0, []
+                for c in text:
+                    n = 4 if c > "\uffff" else 2
+                    of_byte += [(sources[min(at, len(sources) - 1)][0], sources[min(at + n, len(sources)) - 1][1])] * len(c.encode("utf-8", "surrogatepass"))
+                    at += n
+                if found := self.below(narrow, of_byte):
+                    yield found
+
+    def below_packed(self, raw: bytes, start: int, end: int) -> Iterator[Layer]:
+        """The layers of inflated ``raw``: all of it stands for the same characters of this one."""
+        for order, high in (("utf-8", None), ("utf-16-le", 1), ("utf-16-be", 0)):
+            if high is not None and (len(raw) < 8 or 4 * raw[high::2].count(0) < len(raw)):
+                continue
+            text = raw.decode(order, "replace")
+            if high is None and MAY_HOLD.search(raw) or high is not None and MAY_HOLD.search(text.encode()):
+                yield Layer(text, Same(self.starts[start]), Same(self.ends[end - 1]))
+
 
 def percent_layers(layer: Layer) -> Iterator[Layer]:
     """The whole layer with its percent escapes undone."""
@@ -134,16 +174,71 @@ def backslash_layers(layer: Layer) -> Iterator[Layer]:
         yield found
 
 
-def inflate(raw: bytes) -> bytes | None:
-    for bits in (15, 31):  # zlib, gzip
-        machine = zlib.decompressobj(bits)
-        try:
-            out = machine.decompress(raw, MAX_INFLATED)
-        except zlib.error:
-            continue
-        if machine.eof and not machine.unconsumed_tail:
-            return out
-    return None
+def inflate(chunks: Iterator[bytes], bits: int) -> Iterator[bytes]:
+    """What ``chunks`` inflate to, INFLATED bytes at most at a time; members that follow one another too, and what there is of damaged data."""
+    machine = zlib.decompressobj(bits)
+    for chunk in chunks:
+        while chunk:
+            try:
+                out = machine.decompress(chunk, INFLATED)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            if machine.eof:
+                chunk = machine.unused_data
+                if bits != 31 or not chunk.startswith(b"\x1f\x8b"):
+                    return
+                machine = zlib.decompressobj(bits)
+            else:
+                chunk = machine.unconsumed_tail
+    while out := _rest(machine):
+        yield out
+
+
+def _rest(machine) -> bytes:
+    try:
+        return b"" if machine.eof else machine.decompress(machine.unconsumed_tail, INFLATED)
+    except zlib.error:
+        return b""
+
+
+def is_deflate(raw: bytes) -> bool:
+    """Whether all of ``raw`` is one bare deflate stream."""
+    machine, chunk = zlib.decompressobj(-15), raw
+    try:
+        while not machine.eof:
+            out = machine.decompress(chunk, INFLATED)
+            chunk = machine.unconsumed_tail
+            if not out and not chunk and not machine.eof:
+                return False
+    except zlib.error:
+        return False
+    return not machine.unused_data
+
+
+def unpacked(raw: bytes, bits: int) -> Iterator[bytes]:
+    """Pieces of what ``raw`` inflates to, compressed data within inflated in turn; each ends where nothing that is looked for goes on."""
+    chunks, seen, depth = inflate(iter((raw,)), bits), set(), 0
+    while (first := next(chunks, None)) is not None:
+        if not HEADER.match(first) or (mark := hashlib.sha256(first).digest()) in seen:  # data that inflates to itself ends here
+            chunks = chain((first,), chunks)
+            break
+        seen.add(mark)
+        depth += 1
+        whole = chain((first,), chunks)
+        chunks = inflate(whole if depth % 50 else iter((b"".join(whole),)), 31 if first[0] == 0x1F else 15)
+    held: list[bytes] = []
+    for chunk in chunks:
+        last = BREAK.search(chunk[::-1])
+        if last:
+            cut = len(chunk) - last.start()
+            yield b"".join((*held, chunk[:cut]))
+            held = [chunk[cut:]]
+        else:
+            held.append(chunk)
+    if held:
+        yield b"".join(held)
 
 
 def base64_layers(layer: Layer) -> Iterator[Layer]:
@@ -165,11 +260,18 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
                 raw = base64.b64decode(part + "=" * (-len(part) % 4))
                 first = lambda i, k=k, at=at: k + i // 3 * 4 + i % 3
                 for m in PACKED.finditer(raw):
-                    packed = inflate(raw[m.start() :])
-                    if packed and (found := layer.below(packed, [(at[first(m.start())], end)] * len(packed))):
+                    for packed in unpacked(raw[m.start() :], 31 if m[0][0] == 0x1F else 15):
+                        yield from layer.below_packed(packed, at[first(m.start())], end)
+                if is_deflate(raw):
+                    for packed in unpacked(raw, -15):
+                        yield from layer.below_packed(packed, at[k], end)
+                wide = b"\0" in raw
+                if wide or MAY_HOLD.search(raw):
+                    sources = [(at[first(i)], at[first(i) + 1] + 1) for i in range(len(raw))]
+                    if found := layer.below(raw, sources):
                         yield found
-                if MAY_HOLD.search(raw) and (found := layer.below(raw, [(at[first(i)], at[first(i) + 1] + 1) for i in range(len(raw))])):
-                    yield found
+                    if wide:
+                        yield from layer.below_wide(raw, sources)
 
 
 DECODERS = (percent_layers, backslash_layers, base64_layers)

@@ -219,6 +219,43 @@ def test_op2_base64_anywhere(text):
     assert [s for s in spans if s not in base and s[1] == "assign"]
 
 
+def bare(data):
+    machine = zlib.compressobj(wbits=-15)
+    return machine.compress(data) + machine.flush()
+
+
+B64 = lambda raw: base64.b64encode(raw).decode()
+
+
+@pytest.mark.parametrize("code", [
+    B64(SECRET.encode("utf-16-le")), B64(SECRET.encode("utf-16-be")), B64(SECRET.encode("utf-16")), B64(zlib.compress(SECRET.encode("utf-16-le"))), B64(bare(f"{SECRET} {MANY}".encode())),
+    B64(gzip.compress(b"first member, ") + gzip.compress(SECRET.encode())), B64(gzip.compress(zlib.compress(gzip.compress(SECRET.encode())))), B64(gzip.compress(f"{SECRET} {MANY}".encode())[:-60]),
+    "password: %68%75nter2abc", r"password = \u0068unter2abc", "api_key %3D abcdef1234",
+])
+def test_op2_more_layers(code):
+    base, spans = secrets.all_spans(f"before {code} after")
+    more = [s for s in spans if s not in base]
+    assert any(k == "assign" and 7 <= a < b <= 7 + len(code) for a, k, b in more), code
+
+
+def test_op2_large_layers():
+    """Secrets at both ends and in the middle of layers that inflate to 200 MB and to 2 MB without any break."""
+    for filler in (b"\0" * (100 << 20), b"a" * (1 << 20)):
+        machine, out = zlib.compressobj(), []
+        for part in (b"password=Tr0ub4dor3;", filler, b" token=abcdef99 ", filler, b" " + b"AKIA" + b"ABCDEFGH" * 3):
+            out.append(machine.compress(part))
+        code = B64(b"".join(out) + machine.flush())
+        assert {k for _, k, _ in secrets.all_spans("x " + code)[1]} >= {"assign", "access"}
+
+
+def test_op2_cycle_of_packed_data():
+    """Gzip within gzip, deeper than any call stack."""
+    data = SECRET.encode()
+    for _ in range(1_200):
+        data = gzip.compress(data, 0, mtime=0)
+    assert [k for _, k, _ in secrets.all_spans(B64(data))[1]] and not secrets.all_spans(B64(gzip.compress(b"nothing")))[1]
+
+
 def test_op2_base_against_patterns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = by_id(secrets.secrets(docs))
