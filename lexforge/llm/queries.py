@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,5 +76,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_secrets, op3_bpe, op4_imatch, op5_pii, op6_html, op7_quality, op8_toxicity, op9_packing, op10_minhash)}
-ORACLES: dict[str, str] = {}
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_secrets that SQL can express."""
+    return op2_secrets(spark, sf_dir).drop("spans")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_pii that SQL can express."""
+    return op5_pii(spark, sf_dir).drop("spans")
+
+
+def imatch_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_imatch that SQL can express."""
+    return op4_imatch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embeddings, op2_secrets, op3_bpe, op4_imatch, op5_pii, op6_html, op7_quality, op8_toxicity, op9_packing, op10_minhash, secrets_base, pii_base, imatch_edited)
+}
