@@ -122,15 +122,26 @@ def per_row(df: DataFrame, columns: list[str | Column], schema: str, make: Calla
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``bound`` labelled rows that are not held out, by a hash of the id: (text, y).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text", chars: int | None = None) -> DataFrame:
+    """At most ``bound`` labelled documents that are not held out, by a hash of the id, of ``chars`` characters in all at most: (text, y).
 
-    Only the ids are sampled first; they are at most ``bound`` rows, hence the broadcast.
+    Only the ids are sampled first; they are at most ``bound`` rows, hence the
+    broadcast. Of repeated rows with one id the least text counts.
     """
+    order = [F.xxhash64("_id"), F.col("_id")]
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
         .groupBy("_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(bound)
+        .orderBy(*order).limit(bound)
     )
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "_id").select("text", "y")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
+    if chars is not None:
+        total, taken = 0, []
+        for r in rows.select("_id", F.length("text").alias("n")).orderBy(*order).collect():  # at most ``bound`` rows of two numbers
+            total += r.n
+            if total > chars:
+                break
+            taken.append(r["_id"])
+        rows = rows.where(F.col("_id").isin(taken))
+    return rows.select("text", "y")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import GROUP, dealt, pairs_of
-from .common import Recent, sliced, stored
+from .common import Recent, drop_stored, sliced, stored
 from .components import components
 
 BANDS, ROWS = 28, 5
@@ -156,7 +156,7 @@ def find(root: np.ndarray, k: int) -> int:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_key (digest of the set; null if it is empty), samples, sketch, bands."""
+    """id, mark (hash of the text), n_shingles, set_key (digest of the set; null if it is empty), samples, sketch, bands."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -179,9 +179,9 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 for k in range(ROWS):
                     b = mixed(b + least[k::ROWS])
                 bands.append(b.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(samples, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_key", "samples", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(samples, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "mark", "n_shingles", "set_key", "samples", "sketch", "bands"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, samples int, sketch binary, bands array<long>")
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, mark long, n_shingles long, set_key binary, samples int, sketch binary, bands array<long>")
 
 
 def places(hashes: np.ndarray) -> np.ndarray:
@@ -248,6 +248,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every document: id, n_shingles, component_id, kept."""
+    out = labelled(docs, words, threshold, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def labelled(docs: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """A row for every document: id, mark, n_shingles, set_key, c (the least id of its component; null without words or id)."""
     percent, kind = round(100 * threshold), dict(docs.dtypes)[id_col]
     own = stored(signatures(docs, words, id_col, text_col))
     least = lambda c: F.min_by(c, "id").alias(c)
@@ -338,25 +344,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     labelled = label(work)
     apart = labelled.groupBy(*GROUP, "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(*GROUP, "key")
     open_rows = stored(labelled.join(apart, [*GROUP, "key"]).groupBy(*GROUP).applyInArrow(second_pass, f"t int, key long, rep {kind}").distinct())
+    unneeded = [members, work, pairs, sets, links, open_rows]
     if not open_rows.isEmpty():
         full = label(open_rows).join(sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
         more = stored(dealt(full, [*columns, "component", "shingles"]).groupBy(*GROUP).applyInArrow(verified, f"u {kind}, v {kind}"))
         part = stored(components(links.unionByName(ordered(more))))
+        unneeded.append(more)
+    for table in unneeded:
+        drop_stored(docs.sparkSession, table)
     named = classes.select("set_key", "rep").join(part.withColumnRenamed("u", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("c"))
-    out = own.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return own.select("id", "mark", "n_shingles", "set_key").join(named, "set_key", "left")
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the near copies of a document with a smaller id; of rows with one id one stays.
+    """``docs`` without the near copies of a document with a smaller id.
 
-    Rows without an id, or whose text has no words, are no copies of anything and stay.
+    Of rows with one id and one shingle set that of the text with the least hash stays,
+    of rows with one id and one text the least row; rows with one id whose texts are no
+    copies all stay. Rows without an id, or whose text has no words, are no copies of
+    anything and stay.
     """
-    found = near_duplicates(docs, words, threshold)
-    gone = stored(found.where("not kept").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = stored(labelled(docs, words, threshold, "doc_id", "text").where("c is not null").select("id", "mark", "set_key", "c"))
+    first = found.groupBy("id", "set_key").agg(F.min("mark").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = found.where("id <> c").select("id", "mark").union(found.join(first, ["id", "set_key"]).where("mark <> first").select("id", "mark")).distinct()
+    gone = stored(gone.withColumnsRenamed({"id": "__id", "mark": "__mark"}))
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    left = marked.join(gone, (marked["doc_id"] == gone["__id"]) & (marked["__mark"] == gone["__mark"]), "left_anti")
+    twice = found.where("id = c").groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id"), F.col("mark").alias("__mark"))
     if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(once.select(docs.columns))
+        return left.select(docs.columns)
+    repeated = left.join(twice, ["doc_id", "__mark"], "left_semi")
+    once = repeated.groupBy("doc_id", "__mark").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(twice, ["doc_id", "__mark"], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import Recent, held_out, labelled_sample, per_row, sliced
 
-#: Labelled rows the classifier is fitted on, at most; their texts come to the driver.
-TRAIN_ROWS = 2_500
+#: Labelled rows the classifier is fitted on, at most, and their characters; their texts come to the driver.
+TRAIN_ROWS, TRAIN_CHARS = 2_500, 40_000_000
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 NGRAMS = (3, 4)
@@ -119,7 +119,7 @@ def score_text(text: str, memo: Memo, bias: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    rows = labelled_sample(docs, labels, "quality", bound).collect()
+    rows = labelled_sample(docs, labels, "quality", bound, chars=TRAIN_CHARS).collect()
     rows.sort(key=lambda r: (zlib.crc32(r.text.encode("utf-8", "surrogatepass")), r.text))  # one order whatever the partitions
     return fit([r.text for r in rows], [r.y for r in rows])
 

@@ -706,3 +706,13 @@ def test_op10_keep_one(spark):
     kept = minhash.keep_one(table(spark))
     assert kept.columns == table(spark).columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 6, 7, 8, 9, None, 11], key=str)
+
+
+def test_op10_keep_one_repeated_ids(spark):
+    """Rows with one id whose texts are no copies all stay; of copies with one id one row does, always the same."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (1, b), (2, b.upper()), (3, a), (3, "something else altogether that has more than five words"), (4, "Same words here again and again"), (4, "same WORDS here again and again"), (4, "same WORDS here again and again")]
+    got = [sorted((r.doc_id, r.text) for r in minhash.keep_one(table(spark, order)).collect()) for order in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    assert [(i, t) for i, t in got[0] if i < 4] == [(1, a), (1, b), (3, rows[4][1])]
+    assert [i for i, _ in got[0] if i == 4] == [4]
