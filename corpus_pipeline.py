@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import minhash, packing, quality, secrets, toxicity
-from lexforge.llm.common import stored, table
+from lexforge.llm.common import drop_stored, stored, table
 from lexforge.llm.queries import tokenizer_path
 
 
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if k:
+            drop_stored(spark, before)
     return docs
