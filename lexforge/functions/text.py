@@ -15,6 +15,7 @@ Null texts have no tokens.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import regex
@@ -30,8 +31,9 @@ BOUNDARY = r"_+|(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\
 LONG_BYTES = 256
 LONG_MARK = "\x00long:"
 
-#: The folds that lower-casing alone does not make.
+#: The common folds that lower-casing alone does not make, and all of them by Unicode's full case folding.
 FOLDS = (("ß", "ss"), ("ſ", "s"), ("ς", "σ"))
+RARE_FOLDS = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if (f := c.casefold()) != c.lower() and c not in "ßſς"}
 
 #: Words that carry no meaning in a question.
 STOPWORDS = tuple(
@@ -46,10 +48,13 @@ GENERIC = tuple(
 
 
 def fold(text: Column) -> Column:
-    out = F.lower(text)
+    """Full case folding: ASCII is lower-cased, common letters replaced, and only texts with rare ones go character by character."""
+    common = F.lower(text)
     for a, b in FOLDS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        common = F.replace(common, F.lit(a), F.lit(b))
+    table = F.from_json(F.lit(json.dumps(RARE_FOLDS | dict(FOLDS))), "map<string, string>")
+    rare = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.lower(c))), "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.rlike(f"[{''.join(RARE_FOLDS)}]"), rare).otherwise(common)
 
 
 def digested(form: Column) -> Column:

@@ -47,15 +47,25 @@ class Versions:
         row = rows.orderBy(F.desc("generation")).first()
         return Manifest(row.generation, row.schema, row.tokenizer, row.declarations) if row else None
 
+    def next(self) -> Manifest:
+        """The generation to write next: nobody reads it before it is committed."""
+        now = self.latest()
+        return Manifest(now.generation + 1 if now else 1)
+
+    def path(self, manifest: Manifest, name: str) -> str:
+        return f"{self.folder}/generation={manifest.generation}/{name}"
+
+    def commit(self, manifest: Manifest) -> None:
+        row = [(manifest.generation, manifest.schema, manifest.tokenizer, manifest.declarations)]
+        self.spark.createDataFrame(row, "generation int, schema int, tokenizer int, declarations int").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
     def publish(self, tables: dict[str, DataFrame]) -> Manifest:
         """Writes the tables as the next generation. The generation says whether cursors still hold."""
-        now = self.latest()
-        new = Manifest(now.generation + 1 if now else 1)
+        new = self.next()
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/generation={new.generation}/{name}")
-        row = [(new.generation, new.schema, new.tokenizer, new.declarations)]
-        self.spark.createDataFrame(row, "generation int, schema int, tokenizer int, declarations int").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+            df.write.mode("overwrite").parquet(self.path(new, name))
+        self.commit(new)
         return new
 
     def read(self, manifest: Manifest, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/generation={manifest.generation}/{name}")
+        return self.spark.read.parquet(self.path(manifest, name))

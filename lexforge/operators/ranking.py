@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import K1, ranker_idf, temporal_factor
-from ..functions.text import fold_text, is_generic, text_tokens
-from ..plans.query_plan import QueryPlan
+from ..functions.text import ALNUM, fold, fold_text, text_tokens
 from .index import declared_symbols, symbol_of_line
 from .search import POOL, exact_path
 
 EXPANSION_RATIO, EXPANSION_ONLY, PROXIMITY_CAP = 0.35, 0.5, 0.15
 LAMBDA, OVERLAP, ADJACENT, SALIENT = 0.85, 0.8, 0.7, 128
+#: Bytes of a text that its fields, but the body, are taken from.
+FIELD_BYTES = 16_384
 
 #: Weight, length normalisation and mean length of each field (0: the corpus mean).
 PROJECT_FIELDS = {"symbol": (7.0, 0.0, 1.0), "signature": (4.0, 0.2, 24.0), "basename": (5.0, 0.0, 1.0), "path": (4.0, 0.0, 1.0), "doc_comment": (2.0, 0.5, 64.0), "comment": (1.5, 0.5, 64.0), "body": (1.0, 0.75, 0.0)}
@@ -42,6 +43,16 @@ class Options:
     mmr: bool = True
 
 
+def bounded(text: Column) -> Column:
+    """The first FIELD_BYTES bytes, less a character that they cut."""
+    raw = F.encode(text, "UTF-8")
+    goes_on = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
+    cut = F.lit(FIELD_BYTES - 3)
+    for n in range(FIELD_BYTES - 2, FIELD_BYTES + 1):
+        cut = F.when(~goes_on(n), n).otherwise(cut)
+    return F.when(F.octet_length(text) <= FIELD_BYTES, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
+
+
 def body_field() -> Column:
     """The name of a session chunk's body field, by its kind and role."""
     return (
@@ -96,8 +107,8 @@ def field_scores(shares: DataFrame, terms: DataFrame, n: Column) -> DataFrame:
 
     terms: query_id, term, evidence, doc_freq (null: unknown).
     """
-    tf = shares.join(terms, "term").groupBy("query_id", "match_id", "term").agg(F.sum("share").alias("tf"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"))
-    one = ranker_idf(n, F.col("doc_freq")) * F.col("tf") / (K1 + F.col("tf")) * F.col("evidence")
+    tf = shares.join(terms, "term").groupBy("query_id", "match_id", "term").agg(F.sum("share").alias("tf"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"), F.first(n).alias("n"))
+    one = ranker_idf(F.col("n"), F.col("doc_freq")) * F.col("tf") / (K1 + F.col("tf")) * F.col("evidence")
     return tf.groupBy("query_id", "match_id").agg(F.sum(one).alias("score"))
 
 
@@ -105,21 +116,25 @@ def capped_expansion(original: Column, expansion: Column) -> Column:
     return F.when(original > 0, F.least(expansion, original * EXPANSION_RATIO)).otherwise(F.least(expansion, F.lit(EXPANSION_ONLY)))
 
 
+def contains(body: Column, literal: Column) -> Column:
+    """``literal`` stands in ``body`` with no alphanumeric or ``_`` on either side."""
+    edge = rf"[{ALNUM}_]"
+    quoted = F.regexp_replace(literal, r"([^\p{IsAlphabetic}\p{N}\s])", r"\\$1")
+    return F.regexp_like(body, F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})")))
+
+
 def exact_class(cls: Column, literal: Column) -> Column:
     """Over chunks with kind, path, text, symbols, identities, surfaces: the exact class, or null."""
     inside = F.array_contains("symbols", literal)
     known = F.array_contains("identities", literal)
-    body = F.lower("text")
-    edge = r"[\p{IsAlphabetic}\p{N}_]"
-    quoted = F.regexp_replace(literal, r"([^\p{IsAlphabetic}\p{N}\s])", r"\\$1")
-    bounded = F.regexp_like(body, F.concat(F.lit(f"(?<!{edge})"), quoted, F.lit(f"(?!{edge})")))
+    held = contains(fold(F.col("text")), literal)
     return (
         F.when(literal == "", F.lit(None))
         .when((cls == "identifier") & inside, F.when(literal.contains("::"), "qualified_symbol").otherwise("symbol"))
         .when((cls == "identifier") & known & (literal.contains("::") | (F.col("kind") == "session")), "historical_identity")
         .when((cls == "path") & (F.col("kind") == "project") & exact_path(F.col("path"), literal), F.when(literal.rlike(r"[/\\]"), "full_path").otherwise("basename"))
         .when((cls == "path") & (F.col("kind") == "session") & F.array_contains("surfaces", literal), "historical_identity")
-        .when((cls == "diagnostic") & bounded, "diagnostic")
+        .when((cls == "diagnostic") & held, "diagnostic")
     )
 
 
@@ -207,35 +222,38 @@ def select_diverse(rows: list, salient: list[dict[str, float]], limit: int, opti
     return out
 
 
-def rerank(candidates: DataFrame, idf: dict[str, float], unknown: float, limit: int, options: Options = Options(), plans: dict[int, QueryPlan] | None = None) -> DataFrame:
-    """Candidates (query_id, match_id, kind, source_key, source_version, path, text, symbols, byte and line bounds,
-    tier, original, expansion, decay) in the order of selection, with proximity and diversity.
+RANKED = (
+    "query_id long, match_id string, position long, score double, tier int, exact string, lane string, baseline double, original double, expansion double, lexical double, "
+    "proximity_bonus double, decay double, relevance double, selection_score double, n_collapsed long, collapsed array<string>"
+)
+
+
+def rerank(candidates: DataFrame, limit: int, options: Options = Options(), originals: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
+    """Candidates (query_id, match_id, kind, source_key, source_version, text, symbols, salient, byte and line bounds, lane,
+    exact, tier, baseline, original, expansion, lexical, decay) in the order of selection, with their trace.
 
-    ``plans``: by query_id; ``idf``: of salient terms, ``unknown`` for others.
+    A query's candidates are at most POOL by admission, so a group is small. ``originals``: the
+    queries' terms, for proximity. Candidates without any evidence are left out.
     """
-    plans = plans or {}
+    originals = originals or {}
 
     def group(found: pd.DataFrame) -> pd.DataFrame:
-        plan = plans.get(int(found.query_id.iloc[0]))
-        terms = [text_tokens(t or "") for t in found.text]
-        lexical = found.original + found.expansion
-        bonus = [x * PROXIMITY_CAP * proximity(s, plan.original) if options.proximity and plan else 0.0 for x, s in zip(lexical, terms, strict=True)]
-        found = found.assign(relevance=(lexical + bonus) * (found.decay if options.decay else 1.0))
-        keep = (found.original > 0) | (found.expansion > 0) | (found.tier > 0)
-        terms = [t for t, k in zip(terms, keep, strict=True) if k]
+        terms = originals.get(int(found.query_id.iloc[0]), ())
+        keep = (found.original > 0) | (found.expansion > 0) | found.exact.notna()
         found = found[keep]
+        near = [proximity(text_tokens(t or ""), terms) if options.proximity else 0.0 for t in found.text]
+        bonus = found.lexical * PROXIMITY_CAP * near
+        found = found.assign(bonus=bonus, relevance=(found.lexical + bonus) * found.decay, text=found.text.fillna(""))
         rows = list(found.itertuples())
-        salient = []
-        for t in terms:
-            own = {x: idf.get(x, unknown) if options.weighted_similarity else 1.0 for x in set(t) if not is_generic(x)}
-            salient.append(dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:SALIENT]))
+        salient = [dict(s) if s is not None else {} for s in found.salient]
         picked = select_diverse(rows, salient, limit, options)
-        return pd.DataFrame(
-            [(rows[i].query_id, rows[i].match_id, k + 1, rows[i].tier, float(rows[i].relevance), float(s), len(c)) for k, (i, c, s) in enumerate(picked)],
-            columns=["query_id", "match_id", "position", "tier", "relevance", "selection_score", "n_collapsed"],
-        )
+        out = []
+        for k, (i, collapsed, selection) in enumerate(picked):
+            r = rows[i]
+            out.append((r.query_id, r.match_id, k + 1, r.relevance, r.tier, r.exact, r.lane, float(r.baseline), r.original, r.expansion, r.lexical, r.bonus, r.decay, r.relevance, float(selection), len(collapsed), collapsed))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RANKED.split(", ")])
 
-    return candidates.groupBy("query_id").applyInPandas(group, "query_id long, match_id string, position long, tier long, relevance double, selection_score double, n_collapsed long")
+    return candidates.groupBy("query_id").applyInPandas(group, RANKED)
 
 
 __all__ = ["Options", "PROJECT_FIELDS", "SESSION_FIELDS", "declared_symbols", "fold_text", "temporal_factor"]

@@ -1,0 +1,35 @@
+"""The whole ranked search: published quality and ablations, lanes, filters, hydration, decay."""
+
+import pytest
+from pyspark.sql import functions as F
+from quality_set import CASES, DOCUMENTS, PUBLISHED
+
+from lexforge.operators import metrics as M
+from lexforge.operators import ranking as R
+from lexforge.operators.published import Index
+from lexforge.plans.ranked import Query, search
+
+NOW = "2026-09-21T00:00:00+00:00"
+CHUNKS = "match_id string, collection string, kind string, path string, source_key string, text string, timestamp string, role string, agent string, session_id string, event_id string, field_kind string"
+
+
+def chunk(key, kind, path, text, time=None, role=None, collection="fixture"):
+    own = (time, role, "codex", key, key, "tool_result" if role == "tool" else "message") if kind == "session" else (None,) * 6
+    return (f"m-{key}", collection, kind, path, key, text, *own)
+
+
+@pytest.fixture(scope="module")
+def fixture_index(spark, tmp_path_factory):
+    rows = spark.createDataFrame([chunk(*d) for d in DOCUMENTS], CHUNKS)
+    return Index.publish(rows, str(tmp_path_factory.mktemp("quality")))
+
+
+@pytest.mark.parametrize("off", PUBLISHED)
+def test_published_quality(spark, fixture_index, off):
+    queries = [Query(i, q, "fixture", kind) for i, (q, kind, _, _) in enumerate(CASES)]
+    options = R.Options(**({off: False} if off else {}))
+    hits = search(fixture_index, queries, options, NOW, 20).hits
+    ranked = hits.join(fixture_index.chunks.select("match_id", F.col("source_key").alias("source"), F.col("text").alias("text_key")), "match_id").select("query_id", F.col("position").alias("rank"), "source", "text_key")
+    judged = spark.createDataFrame([(i, s, g) for i, c in enumerate(CASES) for g, names in ((3, c[2]), (1, c[3])) for s in names], "query_id long, source string, grade int")
+    got = M.retrieval_metrics(ranked, judged, relevant=3).agg(*(F.avg(c).alias(c) for c in ("recall", "mrr", "ndcg", "duplicate_rate"))).first()
+    assert [round(x, 4) for x in got] == pytest.approx(PUBLISHED[off], abs=1e-4)
