@@ -107,9 +107,14 @@ def field_scores(shares: DataFrame, terms: DataFrame, n: Column) -> DataFrame:
 
     terms: query_id, term, evidence, doc_freq (null: unknown).
     """
-    tf = shares.join(terms, "term").groupBy("query_id", "match_id", "term").agg(F.sum("share").alias("tf"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"), F.first(n).alias("n"))
+    # sums run in one order, so that equal rows get equal scores
+    tf = shares.join(terms, "term").groupBy("query_id", "match_id", "term").agg(
+        F.array_sort(F.collect_list(F.struct("field", "share"))).alias("shares"), F.first("evidence").alias("evidence"), F.first("doc_freq").alias("doc_freq"), F.first(n).alias("n"),
+    )
+    tf = tf.withColumn("tf", F.aggregate("shares", F.lit(0.0), lambda s, x: s + x["share"]))
     one = ranker_idf(F.col("n"), F.col("doc_freq")) * F.col("tf") / (K1 + F.col("tf")) * F.col("evidence")
-    return tf.groupBy("query_id", "match_id").agg(F.sum(one).alias("score"))
+    every = tf.groupBy("query_id", "match_id").agg(F.array_sort(F.collect_list(F.struct("term", one.alias("one")))).alias("every"))
+    return every.select("query_id", "match_id", F.aggregate("every", F.lit(0.0), lambda s, x: s + x["one"]).alias("score"))
 
 
 def capped_expansion(original: Column, expansion: Column) -> Column:

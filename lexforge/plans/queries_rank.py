@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from ..operators import ranking as R
 from ..operators import search as S
 from . import oracle as O
 from .api import excerpt_window
-from .queries_search import TALK_SCOPE, Built, asked, best, doc_chunks, table, talk_chunks
+from .queries_search import TALK_SCOPE, Built, asked, best, doc_chunks, published, table, talk_chunks
 from .query_plan import EXTENSIONS, QueryPlan, classified
+from .ranked import Query, search
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,29 +221,36 @@ def proximity(spark, sf_dir):
     return near.groupBy("doc_id").agg((F.lit(2.0) / (F.min(F.col("i") - F.col("at")) + 1)).alias("proximity"))
 
 
-@query()
+RANKED = [(1, "the stupid trash"), (2, "worthless clown"), (3, "11.txt")]
+RANKED_TERMS = [(1, "stupid"), (1, "trash"), (2, "worthless"), (2, "clown"), (3, "11.txt"), (3, "11"), (3, "txt")]
+
+
+@query(rf"""WITH {O.scored(O.DOCS, O.values(RANKED, 'query_id, query'))}, plan AS {O.values(RANKED_TERMS, 'query_id, term')},
+  cand AS (SELECT query_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS r FROM hits) WHERE r <= 200 UNION SELECT 3, match_id FROM src WHERE ends_with(path, '/11.txt')),
+  lines AS (SELECT match_id, unnest(string_split(text, chr(10))) AS line FROM src),
+  fl AS (SELECT match_id, 'path' AS field, path AS value FROM src UNION ALL SELECT match_id, 'basename', regexp_extract(path, '[^/]*$') FROM src
+    UNION ALL SELECT match_id, 'doc_comment', string_agg(line, chr(10)) FROM lines WHERE regexp_matches(line, '^\s*(///|/\*\*)') GROUP BY 1 UNION ALL SELECT match_id, 'comment', string_agg(line, chr(10)) FROM lines WHERE regexp_matches(line, '^\s*(//|#)') GROUP BY 1),
+  ft AS (SELECT match_id, field, term, tf FROM {O.tf('fl', 'match_id, field', 'value')} UNION ALL SELECT match_id, 'body', term, tf FROM post), flen AS (SELECT match_id, field, sum(tf) AS length FROM ft GROUP BY 1, 2),
+  shares AS (SELECT query_id, match_id, term, sum(CASE field WHEN 'path' THEN 4.0::DOUBLE * tf WHEN 'basename' THEN 5.0::DOUBLE * tf WHEN 'doc_comment' THEN 2.0::DOUBLE * tf / (0.5::DOUBLE + 0.5::DOUBLE * length / 64)
+    WHEN 'comment' THEN 1.5::DOUBLE * tf / (0.5::DOUBLE + 0.5::DOUBLE * length / 64) ELSE tf / (0.25::DOUBLE + 0.75::DOUBLE * length / greatest(total::DOUBLE / n, 1)) END) AS share
+    FROM cand JOIN plan USING (query_id) JOIN ft USING (match_id, term) JOIN flen USING (match_id, field) CROSS JOIN st GROUP BY 1, 2, 3),
+  rel AS (SELECT query_id, match_id, sum(coalesce(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1) * share / (1.5::DOUBLE + share)) AS relevance FROM shares LEFT JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2),
+  tiers AS (SELECT query_id, match_id, coalesce(relevance, 0) AS relevance, CASE WHEN query_id = 3 AND ends_with(path, '/11.txt') THEN 2 ELSE 0 END AS tier FROM cand LEFT JOIN rel USING (query_id, match_id) JOIN src USING (match_id))
+  SELECT CAST(query_id AS BIGINT) AS query_id, match_id, position, tier, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, round(relevance, 9) DESC, match_id) AS position FROM tiers WHERE relevance > 0 OR tier > 0) WHERE position <= 10""")
 def ranked_search(spark, sf_dir):
-    """The whole way for a batch: lanes, pool, field scores, tiers, proximity, dedupe, diversity."""
-    texts = [(1, "the stupid trash"), (2, "worthless clown")]
-    plans = {i: QueryPlan.of(q) for i, q in texts}
-    b = Built(doc_chunks(spark, sf_dir))
-    lexical = S.top(b.hits(asked(spark, texts)), S.TOP)
-    meaningful = S.top(b.hits(asked(spark, [(i, " ".join(p.original)) for i, p in plans.items() if p.stopwords_removed])), S.RESERVE)
-    none = lexical.limit(0)
-    pool = S.admitted(S.merged_lanes(lexical, meaningful, none, none, none), F.lit(False), F.lit(False), F.lit(False))
-    chunks = b.chunks.withColumns({"field_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}).join(pool.select("match_id").distinct(), "match_id", "left_semi")
-    counted = T.term_frequencies(R.field_texts(chunks), ["match_id", "field"], "value")
-    sizes = counted.groupBy("match_id", "field").agg(F.sum("tf").alias("length"))
-    terms = spark.createDataFrame([(i, t, 1.0) for i, p in plans.items() for t in p.original], "query_id long, term string, evidence double").join(b.df.select("term", "doc_freq"), "term", "left")
-    stats = b.stats.first()
-    shares = R.field_shares(counted.join(sizes, ["match_id", "field"]), F.lit(stats.total_tokens / stats.doc_count))
-    scored = R.field_scores(shares, terms, F.lit(stats.doc_count)).withColumnRenamed("score", "original")
-    idf = {r.term: float(r.w) for r in b.df.join(counted.select("term").distinct(), "term", "left_semi").select("term", C.ranker_idf(F.lit(stats.doc_count), F.col("doc_freq")).alias("w")).collect()}
-    rows = pool.drop("path").join(scored, ["query_id", "match_id"]).join(chunks, "match_id").withColumns({
-        "source_version": F.sha2("text", 256), "symbols": R.declared_symbols(F.col("text")), "start_byte": F.lit(0), "end_byte": F.octet_length("text"), "start_line": F.lit(1), "end_line": F.lit(1),
-        "tier": F.lit(0), "expansion": F.lit(0.0), "decay": F.lit(1.0),
-    })
-    return R.rerank(rows, idf, 1.0, 10, plans=plans)
+    """The whole way for a batch, up to the order by tier and relevance; proximity, copies and diversity are looked at by tests."""
+    chunks = doc_chunks(spark, sf_dir)
+    hits = search(replace(published(chunks), chunks=chunks.withColumn("eligible", F.lit(True))), [Query(i, q, "docs", "project") for i, q in RANKED], R.Options(proximity=False, dedupe=False, mmr=False), NOW).hits
+    return hits.select("query_id", "match_id", "position", "tier", F.round("relevance", 6).alias("relevance"))
+
+
+@query()
+def ranked_search_whole(spark, sf_dir):
+    """Every stage, over sessions: filters, expansion of a weak query, decay, proximity, copies and diversity."""
+    chunks = talk_chunks(spark, sf_dir)
+    index = replace(published(chunks), chunks=chunks.withColumn("eligible", F.lit(True)))
+    asked_ = [Query(1, "the of and", "talks", "session", agent="claude"), Query(2, "crash", "talks", "session"), Query(3, "thanedble attion", "talks", "session", after="2026-01-02T00:00:00.000Z")]
+    return search(index, asked_, now=NOW).hits.drop("collapsed")
 
 
 @query()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index as I
 from ..operators import search as S
+from ..operators.published import Index
 from ..sources import project as P
-from ..sources.shared import stored
+from ..sources.shared import stream_folder
 from . import oracle as O
 
 QUERIES, ORACLES = {}, {}
@@ -46,20 +47,41 @@ def talk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def build(chunks: DataFrame) -> Index:
+    """A new index of a table that comes in fewer splits than there are cores."""
+    spark = chunks.sparkSession
+    return Index.publish(chunks, stream_folder(spark), partitions=spark.sparkContext.defaultParallelism, texts=False)
+
+
+_published: dict[tuple, Index] = {}
+
+
+def published(chunks: DataFrame) -> Index:
+    """The index of ``chunks``, built by the first query of the application that asks for it."""
+    key = (chunks.sparkSession.sparkContext.applicationId, chunks.semanticHash(), tuple(sorted(chunks.inputFiles())))
+    if key not in _published:
+        _published[key] = build(chunks)
+    return _published[key]
+
+
 class Built:
-    """Postings of some chunks, written once as an index is, and the statistics over them."""
+    """A published index for searches of one scope."""
 
     def __init__(self, chunks: DataFrame, scope: tuple[str, str] = ("docs", "project")) -> None:
-        self.chunks, self.scope = chunks, scope
-        self.posted = stored(I.postings(chunks))
-        self.lengths = I.lengths(chunks, self.posted)
-        self.stats = I.corpus_stats(self.lengths)
-        self.df = I.term_stats(self.posted)
+        self.chunks, self.scope, self.index = chunks, scope, published(chunks)
+        self.posted, self.df = self.index.postings.drop("bucket"), self.index.df.drop("bucket")
+        self.lengths, self.stats = self.index.lengths, self.index.stats
 
     def hits(self, terms: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-        posted = self.posted if chunks is None else self.posted.join(chunks.select("match_id"), "match_id", "left_semi")
+        """Scores of all chunks, or of ``chunks``; the few terms of a small batch are looked up in their buckets."""
+        few = terms.select("term").distinct().limit(S.TOP + 1).collect()
+        names = [r.term for r in few] if len(few) <= S.TOP else None
+        posted, df = (rows if names is None else self.index.of_terms(rows, names) for rows in (self.index.postings, self.index.df))
+        posted = posted.drop("bucket")
+        if chunks is not None:
+            posted = posted.join(chunks.select("match_id"), "match_id", "left_semi")
         collection, kind = self.scope
-        return S.score(terms.withColumns({"collection": F.lit(collection), "kind": F.lit(kind)}), posted, self.lengths, self.stats, self.df)
+        return S.score(terms.withColumns({"collection": F.lit(collection), "kind": F.lit(kind)}), posted, self.lengths, self.stats, df.drop("bucket"))
 
 
 def asked(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
@@ -76,6 +98,14 @@ TWICE = [(1, "trash trash stupid")]
 NONE = [(1, "nomatchqvx")]
 
 
+@query(f"WITH {O.index(O.DOCS)} SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM df) AS n_terms, n AS doc_count, total AS total_tokens FROM st")
+def index_build(spark, sf_dir):
+    """A whole build: tokens, postings by bucket, lengths, statistics, declarations, all written."""
+    new = build(doc_chunks(spark, sf_dir))
+    counts = [rows.agg(F.count("*").alias(name)) for rows, name in ((new.postings, "n_postings"), (new.df, "n_terms"))]
+    return new.stats.select("doc_count", "total_tokens").join(F.broadcast(counts[0])).join(F.broadcast(counts[1])).select("n_postings", "n_terms", "doc_count", "total_tokens")
+
+
 @query(f"SELECT match_id, term, tf FROM {O.tf(O.DOCS, 'match_id')}")
 def tokenize_documents(spark, sf_dir):
     return I.postings(doc_chunks(spark, sf_dir)).select("match_id", "term", "tf")
