@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stream_folder
+from ..sources.shared import stored, stream_folder
 from ..operators import coverage as V
 from ..operators import sessions as N
+from ..sources import session_ingest as G
 from ..sources import session_records as J
 from ..streaming.incremental import IndexStream, appended, checkpoints
 from . import oracle as O
@@ -221,3 +223,46 @@ def stream_suffix(spark, sf_dir):
     seen = checkpoints(rows.where("turn < 2"))
     now = rows.withColumn("digest", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), F.lit("changed")).otherwise(F.col("digest")))
     return appended(now, seen)[0].select("conv_id", "turn")
+
+
+def histories(spark, sf_dir):
+    """The conversations as records of the three agents' formats, with byte places: an opening record, then a message a turn."""
+    talks = talk_chunks(spark, sf_dir).where("role IN ('user', 'assistant')")
+    text, none = F.col("text"), F.lit(None).cast("string")
+    codex = F.struct(F.lit("response_item").alias("type"), "timestamp", F.struct(F.lit("message").alias("type"), F.col("event_id").alias("id"), "role", F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), text.alias("text"))).alias("content")).alias("payload"))
+    claude = F.struct(F.col("role").alias("type"), "timestamp", F.col("session_id").alias("sessionId"), F.col("event_id").alias("uuid"), F.concat(F.lit("/work/"), "session_id").alias("cwd"), F.struct("role", text.alias("content")).alias("message"))
+    copilot = F.struct(F.concat("role", F.lit(".message")).alias("type"), "timestamp", F.col("event_id").alias("id"), F.struct(text.alias("content")).alias("data"))
+    turn = F.when(F.col("agent") == "codex", F.to_json(codex)).when(F.col("agent") == "claude", F.to_json(claude)).otherwise(F.to_json(copilot))
+    meta = F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), F.concat(F.lit("/work/"), "session_id").alias("cwd")).alias("payload"))
+    start = F.struct(F.lit("session.start").alias("type"), F.struct(F.col("session_id").alias("sessionId"), F.struct(F.concat(F.lit("/work/"), "session_id").alias("cwd")).alias("context")).alias("data"))
+    opening = F.when(F.col("agent") == "codex", F.to_json(meta)).when(F.col("agent") == "copilot", F.to_json(start)).otherwise(none)
+    first = talks.select("agent", "session_id", opening.alias("line")).distinct().where("line IS NOT NULL").withColumn("turn", F.lit(-1).cast("long"))
+    lines = talks.select("agent", "session_id", turn.alias("line"), F.col("turn").cast("long").alias("turn")).unionByName(first)
+    w = Window.partitionBy("session_id").orderBy("turn")
+    size = F.octet_length("line") + 1
+    return lines.select(
+        F.col("session_id").alias("source_key"), "agent", F.row_number().over(w).cast("long").alias("line_no"), (F.sum(size).over(w) - size).alias("start_byte"), F.sum(size).over(w).alias("end_byte"),
+        F.sha2("line", 256).alias("digest"), F.lit(True).alias("complete"), "line", "turn",
+    )
+
+
+INGESTED = f"""SELECT session_id, agent, match_id AS event_id, timestamp, role, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS BIGINT) AS ordinal, text
+  FROM (SELECT s.*, c.turn FROM {O.TALKS} s JOIN conversations c ON s.match_id = c.conv_id || ':' || c.turn) WHERE role IN ('user', 'assistant') AND trim(text) <> ''"""
+
+
+@query(INGESTED)
+def session_ingest(spark, sf_dir):
+    """Histories of three agents, ingested in steps: a part, a rewritten source, the rest; against the conversations themselves."""
+    records = stored(histories(spark, sf_dir))
+    index = G.SessionIndex(spark, stream_folder(spark))
+    odd = F.col("source_key").cast("long") % 4 == 1
+    index.ingest(records.where("turn < 2").withColumn("line", F.when(odd, F.regexp_replace("line", '"role":"user"', '"role":"assistant"')).otherwise(F.col("line"))).withColumn("digest", F.sha2("line", 256)), expected=0)
+    index.ingest(records.where(odd | (F.col("turn") < 3)), expected=1)
+    index.ingest(records, expected=2)
+    return index.chunks().select(F.col("session_id"), "agent", "event_id", "timestamp", "role", "ordinal", "text")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS source_key, '/work/' || conv_id AS cwd FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def session_folders(spark, sf_dir):
+    """The working folders that histories name."""
+    return G.working_folders(histories(spark, sf_dir))

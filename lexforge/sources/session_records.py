@@ -21,9 +21,9 @@ PROVIDERS = {"codex": ("sessions", "archived_sessions"), "claude": ("projects",)
 FIELD = "struct<role: string, tool: string, field_kind: string, call_id: string, text: string>"
 
 
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_records(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """path, line_no, start_byte, end_byte, digest, complete, line of every JSONL record."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").options(**options).load(paths).select("path", "content")
 
     def run(batches):
         import hashlib
@@ -155,7 +155,8 @@ def normalised(records: DataFrame, agent: str) -> DataFrame:
     """The visible fields of one provider's records, before correlation and deduplication."""
     tree = {"codex": codex, "claude": claude, "copilot": copilot}[agent]()
     event = first_of("$.uuid", "$.id", "$.payload.id", "$.data.eventId", "$.payload.call_id", "$.data.toolCallId")
-    session = first_of("$.sessionId", "$.session_id", "$.data.sessionId") if agent != "codex" else F.when(get("$.type") == "session_meta", get("$.payload.id"))
+    named = {"codex": F.when(get("$.type") == "session_meta", first_of("$.payload.session_id", "$.payload.id")), "copilot": get("$.data.sessionId")}
+    session = F.coalesce(first_of("$.session_id", "$.sessionId"), named.get(agent, F.lit(None).cast("string")))
     rows = parsed(records)
     w = Window.partitionBy("source_key").orderBy("line_no")
     rows = rows.withColumn("session_id", F.coalesce(F.last(session, ignorenulls=True).over(w), F.lit("unknown")))

@@ -15,6 +15,10 @@ from pyspark.sql.types import StructType
 from ..operators.index import SCOPE, lengths, postings
 
 
+#: Bytes of records whose digests are taken together.
+BLOCK = 1 << 20
+
+
 class IndexStream:
     """Appends chunks from a stream to an index folder (postings, lengths by batch)."""
 
@@ -51,19 +55,26 @@ def appended(records: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, Dat
     """
     complete = records.where("complete")
     below = complete.join(checkpoints, "source_key").where(F.col("end_byte") <= F.col("offset"))
-    prefix = below.groupBy("source_key").agg(prefix_digest().alias("now"), F.max("end_byte").alias("reached"))
+    prefix = prefix_digests(below).select("source_key", F.col("prefix_digest").alias("now"), F.col("offset").alias("reached"))
     fits = checkpoints.join(prefix, "source_key", "left").where((F.col("now") == F.col("prefix_digest")) & (F.col("reached") == F.col("offset"))).select("source_key", "offset")
     rebuild = complete.select("source_key").distinct().join(fits, "source_key", "left_anti")
     fresh = complete.join(fits, "source_key").where(F.col("start_byte") >= F.col("offset")).drop("offset")
     return fresh, rebuild
 
 
-def prefix_digest():
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_byte", "digest"))), lambda r: r["digest"]), ""), 256)
+def prefix_digests(records: DataFrame) -> DataFrame:
+    """source_key, offset, prefix_digest: the digest of the digests of blocks of BLOCK bytes, each the digest of its records' ones in order.
+
+    So no task holds more than a block's records, or a number for each block of a source.
+    """
+    joined = lambda column, order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda r: r[column]), ""), 256)
+    blocks = records.groupBy("source_key", F.floor(F.col("start_byte") / BLOCK).alias("block")).agg(joined("digest", "start_byte").alias("of_block"), F.max("end_byte").alias("offset"))
+    return blocks.groupBy("source_key").agg(F.max("offset").alias("offset"), joined("of_block", "block").alias("prefix_digest"))
 
 
 def checkpoints(records: DataFrame) -> DataFrame:
-    return records.where("complete").groupBy("source_key").agg(F.max("end_byte").alias("offset"), prefix_digest().alias("prefix_digest"))
+    """source_key, offset, prefix_digest of the complete records."""
+    return prefix_digests(records.where("complete"))
 
 
 __all__ = ["IndexStream", "SCOPE", "appended", "checkpoints"]
