@@ -120,10 +120,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     least = rows.groupBy("block").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     firsts = rows.join(F.broadcast(least), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
     firsts = firsts.groupBy("block").agg(F.min(F.struct("doc_id", *columns)).alias("row"))
-    # at most BLOCKS rows, in one order
+    # only the blocks' numbers, at most BLOCKS of them, are put in one order; a text goes to the block before its own
     around = Window.orderBy("block")
     everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = firsts.select("block", F.coalesce(F.lead("row").over(around), F.first("row").over(everything)).alias("row"))
+    before = rows.select("block").distinct().select("block", F.coalesce(F.lead("block").over(around), F.first("block").over(everything)).alias("next_block"))
+    ends = firsts.withColumnRenamed("block", "next_block").join(F.broadcast(before), "next_block")
     ends = ends.select(F.lit(None).cast("bigint").alias("doc_id"), *(F.col("row")[c].alias(c) for c in columns), "block", F.lit(1).alias("end"))
 
     within = Window.partitionBy("block").orderBy("end", "doc_id", "text")
