@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import dealt, pairs_of, runs
+from .buckets import dealt, pairs_of
+from .buckets import shared as shared_rows
 from .common import stored
 from .components import components
 
@@ -38,6 +39,8 @@ RECALL = 0.97
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 4_096
 BITS = 64
+#: Words of 64 bits of a code that go with a table's rows: enough to tell pairs apart, whatever the number of tables.
+CODE_WORDS = 4
 
 
 class Index:
@@ -52,7 +55,7 @@ class Index:
         self.each = bits // self.width
         rng = np.random.default_rng(seed)
         self.rotations = [self.learn(sample, dims, bits, rng, k) for k in range(math.ceil(self.tables / self.each))]
-        total = bits * len(self.rotations)
+        total = bits * min(len(self.rotations), CODE_WORDS)
         #: More differing bits than this do not come from a pair at the threshold.
         self.most = total * differ + 5 * math.sqrt(total * differ * (1 - differ)) + 2
 
@@ -73,7 +76,7 @@ class Index:
         """(codes as rows of 64-bit words, keys of the tables)."""
         signs = [(unit @ r >= 0) for r in self.rotations]
         words = []
-        for s in signs:
+        for s in signs[:CODE_WORDS]:
             wide = np.zeros((len(s), 64), np.uint8)
             wide[:, : s.shape[1]] = s
             words.append(np.packbits(wide, axis=1).view(np.uint64))
@@ -160,7 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         return pa.table({"t": pa.array([t] * len(at), pa.int64()), "key": found.column("key").take(at), "rep": found.column("rep").take(at)})
 
     groups = ["t", "part", "i", "j"]
-    some = stored(dealt(tables, ["rep", "code"]).groupBy(*groups).applyInArrow(partners, f"t long, key long, rep {kind}").distinct())
+    some = stored(dealt(shared_rows(tables), ["rep", "code"]).groupBy(*groups).applyInArrow(partners, f"t long, key long, rep {kind}").distinct())
 
     def rerank(key, found):
         """For every row with links first found in this table: their number, and the root of its component here."""
@@ -194,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         return pa.table({"u": rep.take(at), "n": pa.array(links).take(at), "v": rep.take(pa.array(root[np.flatnonzero(links)]))})
 
     with_vectors = some.join(coded.select("rep", "n", "unit", "keys").withColumnRenamed("n", "size"), "rep")
-    work = dealt(with_vectors.select("t", "key", "rep", "size", "unit", "keys"), ["rep", "size", "unit", "keys"]).withColumnRenamed("size", "n")
+    work = dealt(shared_rows(with_vectors.select("t", "key", "rep", "size", "unit", "keys")), ["rep", "size", "unit", "keys"]).withColumnRenamed("size", "n")
     found = stored(work.groupBy(*groups).applyInArrow(rerank, f"u {kind}, n long, v {kind}"))
 
     links = found.groupBy("u").agg(F.sum("n").alias("links"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import GROUP, dealt, pairs_of
+from .buckets import GROUP, dealt, pairs_of, shared
 from .common import Recent, drop_stored, sliced, stored
 from .components import components
 
@@ -41,8 +41,9 @@ BANDS, ROWS = 28, 5
 BINS, BITS = 1024, 2048
 #: How far below the threshold, in standard errors, a sketch's estimate may lie.
 SLACK = 4.0
-#: Bits of the filter that says whose sets are needed: a bound on what comes to the driver, 2 MB.
-FILTER_BITS = 1 << 24
+#: Bits for each id of the filter that says whose sets are needed, and bits at most: a bound on what comes to the driver, 16 MB.
+#: Beyond it the ids are joined instead.
+ID_BITS, FILTER_BITS = 12, 1 << 27
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,44 +185,54 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, mark long, n_shingles long, set_key binary, samples int, sketch binary, bands array<long>")
 
 
-def places(hashes: np.ndarray) -> np.ndarray:
-    """Four bits of the filter for each hash."""
+def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Four bits of a filter of ``bits`` for each hash."""
     h = hashes.view(np.uint64)
-    return np.concatenate([(mixed(h + k) % np.uint64(FILTER_BITS)).astype(np.int64) for k in np.arange(1, 5, dtype=np.uint64) * MIX])
+    return np.concatenate([(mixed(h + k) % np.uint64(bits)).astype(np.int64) for k in np.arange(1, 5, dtype=np.uint64) * MIX])
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``ids`` (id) as bytes: FILTER_BITS, whatever the number of ids; a full one only lets more through."""
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of ``ids`` (id) as 32-bit words."""
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS // 32, np.int32)
+        own = np.zeros(bits // 32, np.int32)
         for batch in sliced(batches):
-            at = places(batch.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 5, (np.uint32(1) << (at & 31).astype(np.uint32)).view(np.int32))
-        word = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits[word])], ["word", "bits"])
+            at = places(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(own, at >> 5, (np.uint32(1) << (at & 31).astype(np.uint32)).view(np.int32))
+        word = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(own[word])], ["word", "bits"])
 
     found = ids.select(F.xxhash64("id")).mapInArrow(run, "word int, bits int").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, np.int32)
+    out = np.zeros(bits // 32, np.int32)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles: the full sets of the documents with ``ids`` (and of a few others). The texts stay where they are."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    kind = dict(docs.dtypes)[id_col]
+    """id, shingles: the full sets of the documents with ``ids`` (distinct), and of a few others. The texts stay where they are.
+
+    The filter grows with the ids, so that it lets through one in a few hundred others;
+    of more ids than FILTER_BITS serve, the documents are joined with them instead.
+    """
+    kind, n = dict(docs.dtypes)[id_col], ids.count()
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col))
+    bits = 1 << max(20, (ID_BITS * n - 1).bit_length())
+    if bits > FILTER_BITS:
+        rows, wanted = rows.join(ids, "id", "left_semi"), None
+    else:
+        wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits))
 
     def run(batches):
-        memo, bits = WordHash(), wanted.value
+        memo = WordHash()
         for batch in sliced(batches):
-            at = places(batch.column(2).to_numpy()).reshape(4, -1)
-            keep = (bits[at >> 5].view(np.uint32) >> (at & 31).astype(np.uint32) & 1).all(axis=0)
-            batch = batch.filter(pa.array(keep))
+            if wanted is not None:
+                own = wanted.value
+                at = places(batch.column(2).to_numpy(), bits).reshape(4, -1)
+                keep = (own[at >> 5].view(np.uint32) >> (at & 31).astype(np.uint32) & 1).all(axis=0)
+                batch = batch.filter(pa.array(keep))
             found = [shingle_set(t, words, memo).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.xxhash64(id_col))
     return stored(rows.mapInArrow(run, f"id {kind}, shingles binary"))
 
 
@@ -260,8 +271,7 @@ def labelled(docs: DataFrame, words: int, threshold: float, id_col: str, text_co
     classes = stored(own.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("size"), least("samples"), least("sketch"), least("bands")))
 
     members = classes.select(F.lit(0).alias("t"), F.explode("bands").alias("key"), "rep")
-    shared = members.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    members = stored(members.join(shared, ["t", "key"]))
+    members = stored(shared(members))
     sketches = classes.select("rep", "size", "samples", "sketch")
 
     def first_pass(key, found):
@@ -335,7 +345,7 @@ def labelled(docs: DataFrame, words: int, threshold: float, id_col: str, text_co
     work = stored(dealt(members.join(sketches, "rep"), columns))
     pairs = stored(ordered(work.groupBy(*GROUP).applyInArrow(first_pass, f"u {kind}, v {kind}")))
     # a row that passes with any other is in its bucket's forest, so these are all the ids whose sets either pass needs
-    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs, words, id_col, text_col)
+    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, words, id_col, text_col)
     links = confirmed(pairs, sets, percent)
     part = stored(components(links))
 
@@ -347,7 +357,7 @@ def labelled(docs: DataFrame, words: int, threshold: float, id_col: str, text_co
     unneeded = [members, work, pairs, sets, links, open_rows]
     if not open_rows.isEmpty():
         full = label(open_rows).join(sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-        more = stored(dealt(full, [*columns, "component", "shingles"]).groupBy(*GROUP).applyInArrow(verified, f"u {kind}, v {kind}"))
+        more = stored(dealt(shared(full), [*columns, "component", "shingles"]).groupBy(*GROUP).applyInArrow(verified, f"u {kind}, v {kind}"))
         part = stored(components(links.unionByName(ordered(more))))
         unneeded.append(more)
     for table in unneeded:

@@ -119,7 +119,7 @@ def test_blocks_meet_once(spark, monkeypatch):
     monkeypatch.setattr(buckets, "BLOCK", 8)
     rows = spark.range(30).select(F.lit(0).alias("t"), F.lit(5).cast("long").alias("key"), F.col("id").alias("rep"))
     units = {}
-    for r in buckets.dealt(rows, ["rep"]).collect():
+    for r in buckets.dealt(buckets.shared(rows), ["rep"]).collect():
         units.setdefault((r.t, r.part, r.i, r.j), []).append((r.block, r.rep))
     met = []
     for (_, _, i, j), own in units.items():
