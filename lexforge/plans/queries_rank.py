@@ -191,11 +191,17 @@ def temporal_decay(spark, sf_dir):
     return talk_chunks(spark, sf_dir).select("match_id", F.round(C.temporal_factor(at, f"{NOW}Z".replace(" ", "T"), F.lit(False), F.lit(False)), 9).alias("decay"))
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) - 1 AS n_collapsed FROM documents WHERE text <> '' GROUP BY text")
+@query("""WITH d AS (SELECT doc_id // 100 AS query_id, doc_id, CASE WHEN text = '' THEN CAST(doc_id AS VARCHAR) ELSE 'x' || text END AS k FROM documents)
+  SELECT query_id, CAST(min(doc_id) AS VARCHAR) AS match_id, count(*) - 1 AS n_collapsed, list_sort(list(CAST(doc_id AS VARCHAR)) FILTER (doc_id <> least)) AS collapsed
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY query_id, k) AS least FROM d) GROUP BY query_id, k""")
 def content_dedupe(spark, sf_dir):
-    """Identical non-empty texts fall to the first of them."""
-    rows = table(spark, sf_dir, "documents").where("text <> ''")
-    return rows.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("n_collapsed")).drop("k")
+    """The diverse selection over groups of a hundred documents: equal texts fall to the most relevant of them, here the one with the least id."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.floor(F.col("doc_id") / 100).alias("query_id"), F.col("doc_id").cast("string").alias("match_id"), F.lit("project").alias("kind"), F.col("doc_id").cast("string").alias("source_key"), F.lit("v").alias("source_version"), "text", F.array().cast("array<string>").alias("symbols"),
+        F.lit(None).cast("map<string,double>").alias("salient"), *(F.lit(k).cast("long").alias(c) for c, k in (("start_byte", 0), ("end_byte", 1), ("start_line", 1), ("end_line", 1))), F.lit(None).cast("string").alias("exact"), F.lit(0).alias("tier"), F.lit("fill").alias("lane"),
+        F.lit(1.0).alias("baseline"), F.lit(1.0).alias("original"), F.lit(0.0).alias("expansion"), (1.0 / (1 + F.col("doc_id") % 100)).alias("lexical"), F.lit(1.0).alias("decay"))
+    picked = R.rerank(rows, S.POOL, R.Options(proximity=False, mmr=False))
+    return picked.select("query_id", "match_id", "n_collapsed", F.when(F.size("collapsed") > 0, F.array_sort("collapsed")).alias("collapsed"))
 
 
 @query(f"""WITH t AS (SELECT match_id, term, 1.0::DOUBLE + strlen(term) AS w FROM {O.tf(O.DOCS, 'match_id')}), s AS (SELECT match_id, sum(w) AS total FROM t GROUP BY 1),
@@ -213,12 +219,14 @@ def weighted_jaccard(spark, sf_dir):
 @query(r"""WITH w AS (SELECT doc_id, unnest(list) AS t, generate_subscripts(list, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS list FROM documents)), m AS (SELECT * FROM w WHERE t IN ('the', 'thin')),
   n AS (SELECT a.doc_id, min(abs(a.i - b.i)) + 1 AS best FROM m a ASOF JOIN m b ON a.doc_id = b.doc_id AND a.i > b.i WHERE a.t <> b.t GROUP BY 1) SELECT doc_id, 2.0::DOUBLE / best AS proximity FROM n""")
 def proximity(spark, sf_dir):
-    """Two words' nearest places: the last other word before each."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "t")).where(F.col("t").isin("the", "thin"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    near = rows.withColumn("before", F.lag("t").over(w)).withColumn("at", F.lag("i").over(w)).where("t <> before")
-    return near.groupBy("doc_id").agg((F.lit(2.0) / (F.min(F.col("i") - F.col("at")) + 1)).alias("proximity"))
+    """The shortest stretch of words that holds both of two."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+
+    def near(batches):
+        for batch in batches:
+            yield batch.assign(proximity=[R.nearest_cover(list(w), {"the", "thin"}) for w in batch.words])[["doc_id", "proximity"]]
+
+    return rows.where("words IS NOT NULL").mapInPandas(near, "doc_id long, proximity double").where("proximity > 0")
 
 
 RANKED = [(1, "the stupid trash"), (2, "worthless clown"), (3, "11.txt")]

@@ -210,10 +210,24 @@ def declared_symbols(spark, sf_dir):
     return I.declarations(rows)
 
 
-@query("SELECT match_id FROM (VALUES ('c')) AS v(match_id)")
+def declaring_chunks(spark, sf_dir):
+    """Documents that open with a declaration; every fiftieth one's has the same name."""
+    n = (F.col("match_id").cast("long") % 50).cast("string")
+    opening = F.when(F.col("match_id").cast("long") % 3 == 0, F.concat(F.lit("pub(crate) async fn Sym_"), n, F.lit("(x: u8) {\n"))).otherwise(F.concat(F.lit("  void Space::Sym_"), n, F.lit("(int x) {\n// fn hidden\n")))
+    return doc_chunks(spark, sf_dir).withColumn("text", F.concat(opening, "text"))
+
+
+NAMED = "(SELECT doc_id, CAST(doc_id AS VARCHAR) AS match_id, CASE WHEN doc_id % 3 = 0 THEN 'sym_' ELSE 'space::sym_' END || doc_id % 50 AS symbol FROM documents)"
+
+
+@query(f"SELECT match_id, symbol FROM {NAMED}")
+def declarations(spark, sf_dir):
+    return I.declarations(declaring_chunks(spark, sf_dir))
+
+
+@query(f"SELECT match_id FROM {NAMED} WHERE symbol = 'space::sym_7' ORDER BY match_id LIMIT 40")
 def definition_lane(spark, sf_dir):
-    rows = spark.createDataFrame(CODE, "match_id string, text string").withColumn("kind", F.lit("project"))
-    return S.definition_lane(I.declarations(rows), "foo::bar")
+    return S.definition_lane(I.declarations(declaring_chunks(spark, sf_dir)), "space::sym_7")
 
 
 @query("SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, string_agg(line, chr(10) ORDER BY n) || CASE WHEN max(n) < max(total) THEN chr(10) ELSE '' END AS text FROM (SELECT doc_id, n, line, total, (n - 1) // 60 AS ordinal FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n, len(lines) AS total FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''))) WHERE NOT (n = total AND line = '') GROUP BY doc_id, ordinal")

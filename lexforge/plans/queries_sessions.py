@@ -183,9 +183,29 @@ LEDGER = [("p", "a", 1, 0, 2, {"binary": 2}), ("p", "b", 0, 1, 0, {"io": 1, "bin
 LEDGER_SCHEMA = "collection string, source_key string, pending long, errors long, excluded long, diagnostics map<string,long>"
 
 
-@query(f"SELECT * FROM {O.values([('p', 1, 1, 2, 'binary:3,io:1'), ('q', 0, 0, 0, ''), ('r', 0, 3, 0, 'io:3')], 'collection, pending, errors, excluded, diagnostics')}")
+LEDGER_SQL = "(SELECT source AS collection, CAST(doc_id AS VARCHAR) AS source_key, CAST(doc_id % 4 = 0 AS BIGINT) AS pending, CAST(doc_id % 5 = 0 AS BIGINT) AS errors, CAST(doc_id % 7 = 0 AS BIGINT) AS excluded, lang, doc_id % 3 + 1 AS n, doc_id FROM documents)"
+
+
+def ledger_of(spark, sf_dir):
+    """The documents as scanned sources, with outcomes by their ids."""
+    d = table(spark, sf_dir, "documents")
+    flag = lambda k: (F.col("doc_id") % k == 0).cast("long")
+    return d.select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("source_key"), flag(4).alias("pending"), flag(5).alias("errors"), flag(7).alias("excluded"), F.create_map("lang", (F.col("doc_id") % 3 + 1).cast("long")).alias("diagnostics"))
+
+
+@query(f"""WITH l AS {LEDGER_SQL}, d AS (SELECT collection, string_agg(lang || ':' || n, ',' ORDER BY lang || ':' || n) AS diagnostics FROM (SELECT collection, lang, sum(n) AS n FROM l GROUP BY 1, 2) GROUP BY 1)
+  SELECT collection, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(excluded) AS BIGINT) AS excluded, any_value(diagnostics) AS diagnostics FROM l JOIN d USING (collection) GROUP BY 1""")
 def coverage_totals(spark, sf_dir):
-    return V.totals(spark.createDataFrame(LEDGER, LEDGER_SCHEMA))
+    return V.totals(ledger_of(spark, sf_dir))
+
+
+@query(f"SELECT collection, source_key, CASE WHEN doc_id % 10 = 3 THEN 9 ELSE pending END AS pending FROM {LEDGER_SQL} WHERE doc_id % 10 <> 6")
+def coverage_precise_scan(spark, sf_dir):
+    """A precise scan: some sources have other outcomes, some are gone, the others stay."""
+    ledger = ledger_of(spark, sf_dir)
+    n = F.col("source_key").cast("long") % 10
+    updates = ledger.where(n.isin(3, 6)).withColumns({"gone": n == 6, "pending": F.lit(9).cast("long")})
+    return V.applied(ledger, updates, full=False, completed=True).select("collection", "source_key", "pending")
 
 
 @query(f"SELECT * FROM {O.values([('p', 'b', 0), ('p', 'n', 5), ('q', 'c', 0), ('r', 'd', 0)], 'collection, source_key, pending')}")
