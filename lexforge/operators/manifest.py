@@ -67,5 +67,8 @@ class Versions:
         self.commit(new)
         return new
 
-    def read(self, manifest: Manifest, name: str) -> DataFrame:
+    def read(self, manifest: Manifest, name: str, schema: str | None = None) -> DataFrame:
+        """``schema``: of a table that may have no file, if it is partitioned and empty."""
+        if schema:
+            return self.spark.read.schema(schema).parquet(self.path(manifest, name))
         return self.spark.read.parquet(self.path(manifest, name))

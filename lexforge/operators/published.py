@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import index as I
+from . import sessions as N
 from .manifest import Versions
 
 BUCKETS = 64
+CLUSTERED = {
+    "postings": "match_id string, collection string, kind string, term string, tf long, bucket int", "df": "collection string, kind string, term string, doc_freq long, bucket int", "declared": "match_id string, symbol string, bucket int",
+}
 #: Look-ups of more terms than this read all buckets.
 MOST_TERMS = 4_096
 
@@ -31,6 +35,16 @@ def buckets_of(terms: Iterable[str]) -> list[int]:
     return sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
 
 
+def with_columns(chunks: DataFrame) -> DataFrame:
+    """Columns that a collection has not are null, bounds those of the text as a whole."""
+    text = F.coalesce("text", F.lit(""))
+    more = {c: F.lit(None).cast("string") for c in ("agent", "session_id", "event_id", "timestamp", "role", "tool", "field_kind", "path")}
+    path = F.col("path") if "path" in chunks.columns else F.lit(None).cast("string")
+    more |= {"source_key": F.coalesce(path, F.col("match_id")), "source_version": F.sha2(text, 256), "eligible": F.lit(True), "ordinal": F.lit(0).cast("long")}
+    more |= {c: v.cast("long") for c, v in (("start_byte", F.lit(0)), ("end_byte", F.octet_length(text)), ("start_line", F.lit(1)), ("end_line", F.size(F.split(text, "\n"))))}
+    return chunks.withColumns({c: v for c, v in more.items() if c not in chunks.columns})
+
+
 @dataclass(frozen=True)
 class Index:
     """chunks: match_id, collection, kind, eligible, path, text and what else they have. Statistics are those of eligible sources."""
@@ -41,6 +55,7 @@ class Index:
     stats: DataFrame
     df: DataFrame
     declared: DataFrame
+    occurrences: DataFrame  # match_id, occurrence, fingerprint of session chunks: which are copies
     generation: int = 0
 
     @staticmethod
@@ -48,7 +63,7 @@ class Index:
         """Builds and publishes the next generation. ``partitions``: where the input comes in fewer splits than there are cores, deal it out first."""
         spark = chunks.sparkSession
         versions = Versions(spark, folder)
-        kept = chunks if "eligible" in chunks.columns else chunks.withColumn("eligible", F.lit(True))
+        kept = with_columns(chunks)
         eligible = kept.where("eligible")
         dealt = eligible.repartition(partitions) if partitions else eligible
         new = versions.next()
@@ -68,9 +83,10 @@ class Index:
         stats = write("stats", I.corpus_stats(lengths))
         df = write("df", I.term_stats(postings), "term")
         declared = write("declared", I.declarations(dealt), "symbol")
+        occurrences = write("occurrences", N.occurrences(eligible.where("kind = 'session'")).select("match_id", "occurrence", "fingerprint"))
         chunks = write("chunks", kept) if texts else kept
         versions.commit(new)
-        return Index(chunks, postings, lengths, stats, df, declared, new.generation)
+        return Index(chunks, postings, lengths, stats, df, declared, occurrences, new.generation)
 
     @staticmethod
     def open(spark: SparkSession, folder: str) -> Index | None:
@@ -79,7 +95,8 @@ class Index:
         now = versions.latest()
         if now is None or now.needed() != "nothing":
             return None
-        return Index(*(versions.read(now, name) for name in ("chunks", "postings", "lengths", "stats", "df", "declared")), now.generation)
+        names = ("chunks", "postings", "lengths", "stats", "df", "declared", "occurrences")
+        return Index(*(versions.read(now, name, CLUSTERED.get(name)) for name in names), now.generation)
 
     def of_terms(self, rows: DataFrame, terms: Iterable[str]) -> DataFrame:
         """``rows`` (postings, df or declared) of the buckets of ``terms``."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -247,16 +245,14 @@ RANKED_TERMS = [(1, "stupid"), (1, "trash"), (2, "worthless"), (2, "clown"), (3,
   SELECT CAST(query_id AS BIGINT) AS query_id, match_id, position, tier, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, round(relevance, 9) DESC, match_id) AS position FROM tiers WHERE relevance > 0 OR tier > 0) WHERE position <= 10""")
 def ranked_search(spark, sf_dir):
     """The whole way for a batch, up to the order by tier and relevance; proximity, copies and diversity are looked at by tests."""
-    chunks = doc_chunks(spark, sf_dir)
-    hits = search(replace(published(chunks), chunks=chunks.withColumn("eligible", F.lit(True))), [Query(i, q, "docs", "project") for i, q in RANKED], R.Options(proximity=False, dedupe=False, mmr=False), NOW).hits
+    hits = search(published(doc_chunks(spark, sf_dir)), [Query(i, q, "docs", "project") for i, q in RANKED], R.Options(proximity=False, dedupe=False, mmr=False), NOW).hits
     return hits.select("query_id", "match_id", "position", "tier", F.round("relevance", 6).alias("relevance"))
 
 
 @query()
 def ranked_search_whole(spark, sf_dir):
     """Every stage, over sessions: filters, expansion of a weak query, decay, proximity, copies and diversity."""
-    chunks = talk_chunks(spark, sf_dir)
-    index = replace(published(chunks), chunks=chunks.withColumn("eligible", F.lit(True)))
+    index = published(talk_chunks(spark, sf_dir))
     asked_ = [Query(1, "the of and", "talks", "session", agent="claude"), Query(2, "crash", "talks", "session"), Query(3, "thanedble attion", "talks", "session", after="2026-01-02T00:00:00.000Z")]
     return search(index, asked_, now=NOW).hits.drop("collapsed")
 

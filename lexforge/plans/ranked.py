@@ -20,7 +20,8 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import ranking as R
 from ..operators import search as S
-from ..operators.published import Index
+from ..operators import sessions as N
+from ..operators.published import Index, with_columns
 from ..sources.shared import stored
 from .query_plan import QueryPlan
 
@@ -70,16 +71,6 @@ def in_scope() -> Column:
     return own & glob & same("q_agent", "agent") & same("q_session", "session_id") & within & until
 
 
-def with_columns(chunks: DataFrame) -> DataFrame:
-    """Columns that a collection has not are null, bounds those of the text as a whole."""
-    text = ["agent", "session_id", "event_id", "timestamp", "role", "tool", "field_kind", "path"]
-    more = {c: F.lit(None).cast("string") for c in text if c not in chunks.columns}
-    bounds = {"start_byte": F.lit(0), "end_byte": F.octet_length(F.coalesce("text", F.lit(""))), "start_line": F.lit(1), "end_line": F.size(F.split(F.coalesce("text", F.lit("")), "\n"))}
-    own = {"source_key": F.coalesce(F.col("path") if "path" in chunks.columns else F.lit(None).cast("string"), F.col("match_id")), "source_version": F.sha2(F.coalesce("text", F.lit("")), 256)}
-    more |= {c: v for c, v in own.items() if c not in chunks.columns}
-    return chunks.withColumns(more | {c: v.cast("long") for c, v in bounds.items() if c not in chunks.columns})
-
-
 class Search:
     """The stages of one call; each gives a table by query_id."""
 
@@ -113,14 +104,25 @@ class Search:
     def scoped(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.meta, "match_id").join(self.asked, "query_id").where(in_scope()).select(rows.columns)
 
+    def best(self, scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+        """The best ``k`` of what a query may see; of a session's copies only the one that stands for them, with their number."""
+        hits = self.scoped(scores)
+        if not any(q.kind == "session" for q in self.queries):
+            return S.top(hits.withColumn("copy_count", F.lit(1).cast("long")), k, key=key)
+        by_key = hits if key == "query_id" else hits.withColumnRenamed("query_id", "asked_by").withColumnRenamed(key, "query_id")
+        grouped = N.grouped_hits(by_key.join(self.index.occurrences, "match_id"))
+        grouped = grouped if key == "query_id" else grouped.withColumnRenamed("query_id", key).withColumnRenamed("asked_by", "query_id")
+        single = hits.join(self.index.occurrences.select("match_id"), "match_id", "left_anti").withColumn("copy_count", F.lit(1).cast("long"))
+        return S.top(grouped.select(single.columns).unionByName(single), k, key=key)
+
     def lexical(self) -> DataFrame:
         """All terms of the query, with multiplicity and stopwords."""
-        return S.top(self.scoped(self.scores(self.raw, {t for q in self.queries for t in T.text_tokens(q.text)})), S.TOP)
+        return self.best(self.scores(self.raw, {t for q in self.queries for t in T.text_tokens(q.text)}), S.TOP)
 
     def meaningful(self) -> DataFrame:
         """Natural words alone, where stopwords were taken out."""
         rows = [(i, t, 1) for i, p in self.plans.items() if p.stopwords_removed for t in p.original]
-        return S.top(self.scoped(self.scores(self.small(rows, TERMS), {t for _, t, _ in rows})), S.RESERVE)
+        return self.best(self.scores(self.small(rows, TERMS), {t for _, t, _ in rows}), S.RESERVE)
 
     def definitions(self) -> DataFrame:
         """Chunks that declare an identifier that was asked for."""
@@ -152,13 +154,15 @@ class Search:
         rows = [(i, i * PROBES + n, t, k) for i, p in self.plans.items() for n, probe in enumerate(p.probes) for t, k in Counter(T.text_tokens(probe.query)).items()]
         terms = self.small(rows, "query_id long, probe long, term string, weight long").join(F.broadcast(weak.where("weak")), "query_id", "left_semi")
         hits = self.scores(terms, {r[2] for r in rows}).withColumn("probe", F.col("query_id")).withColumn("query_id", F.floor(F.col("probe") / PROBES))
-        return S.top(self.scoped(hits), S.TOP, key="probe").select("query_id", "match_id", "score")
+        return self.best(hits, S.TOP, key="probe").select("query_id", "match_id", "score", "copy_count")
 
     def pool(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(admitted rows with their lanes, counts of the lanes, weak by query)."""
         lexical = stored(self.lexical())
         weak = stored(self.weak(lexical))
-        lanes = stored(S.merged_lanes(lexical, self.meaningful(), self.definitions(), self.paths(), self.expansion(weak)).withColumnRenamed("path", "by_path"))
+        meaningful, expansion = stored(self.meaningful()), stored(self.expansion(weak))
+        self.copies = lexical.select("query_id", "match_id", "copy_count").unionByName(meaningful.select("query_id", "match_id", "copy_count")).unionByName(expansion.select("query_id", "match_id", "copy_count"))
+        lanes = stored(S.merged_lanes(lexical, meaningful, self.definitions(), self.paths(), expansion).withColumnRenamed("path", "by_path"))
         # the filters hold once more where the lanes meet: no lane can go round them
         seen = lanes.join(self.meta, "match_id").join(self.asked, "query_id").join(F.broadcast(weak), "query_id").where(F.when(in_scope(), True).otherwise(F.raise_error(F.lit("a candidate is outside the query's scope")).cast("boolean")))
         exact = S.exact_path(F.col("path"), F.col("literal"))
@@ -234,6 +238,8 @@ class Search:
         rows = rows.join(self.lexical_scores(pool, chunks), ["query_id", "match_id"]).join(self.baselines(pool), ["query_id", "match_id"]).join(self.salient(chunks), "match_id", "left")
         rows = rows.withColumn("lexical", F.col("original") + F.col("expansion") if o.fields else F.col("baseline").cast("double"))
         hits = R.rerank(rows, self.limit, o, {i: p.original for i, p in self.plans.items()})
+        copies = self.copies.groupBy("query_id", "match_id").agg(F.max("copy_count").alias("copy_count"))
+        hits = hits.join(F.broadcast(copies), ["query_id", "match_id"], "left").withColumn("copy_count", F.coalesce("copy_count", F.lit(1)))
         return Ranked(hits, pool, counts, self.plans, self.index.generation)
 
 
