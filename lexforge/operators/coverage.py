@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 COUNTS = ["pending", "errors", "excluded"]
 MOST_PATHS = 1024
+#: Categories of diagnostics that clients see by name.
+PUBLIC = tuple(
+    "binary_excluded content_cache_hit content_cache_miss content_cache_write_error git_metadata_excluded non_file_change outside_root ownership_excluded symlink_excluded "
+    "unsupported_encoding unsupported_record watcher_unavailable".split()
+)
 
 
 def applied(ledger: DataFrame, updates: DataFrame, full: bool, completed: bool) -> DataFrame:

@@ -55,8 +55,13 @@ def grouped_hits(hits: DataFrame) -> DataFrame:
 
 
 def copies_of(chunks: DataFrame, match_id: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """All chunks equivalent to ``match_id``: same fingerprint, same position; by path, source, ordinal, id. One that cannot be grouped gives itself."""
-    rows = occurrences(chunks)
+    """All chunks equivalent to ``match_id``: same fingerprint, same position; by path, source, ordinal, id. One that cannot be grouped gives itself.
+
+    Only chunks with the match's own agent, session and event are looked at.
+    """
+    own = chunks.where(F.col("match_id") == match_id).select(*(F.col(c).alias(f"own_{c}") for c in IDENTITY))
+    near = chunks.join(F.broadcast(own), [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in IDENTITY]).select(chunks.columns)
+    rows = occurrences(near.where(groupable() | (F.col("match_id") == match_id)))
     anchor = rows.where(F.col("match_id") == match_id).select(F.coalesce("fingerprint", "occurrence").alias("event"), F.col("position").alias("at"))
     found = rows.withColumn("event", F.coalesce("fingerprint", "occurrence")).join(F.broadcast(anchor), "event").where("position = at").drop("at")
     return found.orderBy("path", "source_key", "ordinal", "match_id").offset(offset).limit(limit)
