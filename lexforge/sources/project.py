@@ -1,14 +1,19 @@
 """Project files: discovery, decoding, binary rejection and chunking.
 
-Files are read by the ``binaryFile`` source. Ignore rules become path predicates;
-a file that cannot be decoded, or is binary, is an exclusion with its reason.
+Spark's own file sources pass over names that begin with ``.`` or ``_``, which projects
+are full of, so folders are listed and files read by tasks through Arrow's file systems.
+The listing comes first; ignore rules (nested ignore files too) become path predicates on
+it, and only what they leave is read. A file that cannot be decoded, is binary, or keeps
+changing while it is read is an exclusion with its reason.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +34,114 @@ def ignore_regex(rule: str) -> str | None:
     return rf"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
 
 
-def is_ignored(path: Column, rules: list[str]) -> Column:
-    """The last rule that matches decides; ``!`` takes a path back. ``.git`` is always left out."""
+Rule = str | tuple[str, str]
+
+
+def is_ignored(path: Column, rules: list[Rule]) -> Column:
+    """The last rule that matches decides; ``!`` takes a path back. A rule may come with the folder that it holds for. ``.git`` is always left out."""
     out = F.lit(False)
     for rule in rules:
+        folder, rule = ("", rule) if isinstance(rule, str) else rule
         back = rule.startswith("!")
         if pattern := ignore_regex(rule[back:]):
-            out = F.when(path.rlike(pattern), F.lit(not back)).otherwise(out)
-    return out | path.rlike(r"(?:^|/)\.git(?:/|$)")
+            below = "".join("\\" + c if not c.isalnum() else c for c in f"{folder}/") if folder else ""
+            out = F.when(path.rlike(f"^{below}{pattern.removeprefix('^')}"), F.lit(not back)).otherwise(out)
+    return out | path.rlike(GIT)
+
+
+GIT = r"(?:^|/)\.git(?:/|$)"
+IGNORE_FILES = (".gitignore", ".ignore")
+TRIES = 3
+
+
+def file_system(root: str) -> tuple[pf.FileSystem, str]:
+    return pf.FileSystem.from_uri(root) if "://" in root else (pf.LocalFileSystem(), os.path.abspath(root.removeprefix("file:")))
+
+
+def below(fs: pf.FileSystem, base: str, entry: str) -> Iterator[tuple[str, int, int, str]]:
+    """(relative path, length, modified in ns, kind) of an entry of ``base`` and all below it; links are not followed."""
+    place = f"{base}/{entry}"
+    if isinstance(fs, pf.LocalFileSystem):
+        files = [place] if os.path.islink(place) or not os.path.isdir(place) else (os.path.join(d, n) for d, folders, names in os.walk(place) for n in [*names, *(f for f in folders if os.path.islink(os.path.join(d, f)))])
+        for f in files:
+            at = os.lstat(f)
+            kind = "symlink" if os.path.islink(f) else "file" if os.path.isfile(f) else "other"
+            yield os.path.relpath(f, base), at.st_size, at.st_mtime_ns, kind
+        return
+    info = fs.get_file_info(place)
+    for f in fs.get_file_info(pf.FileSelector(place, recursive=True)) if info.type == pf.FileType.Directory else [info]:
+        if f.type == pf.FileType.File:
+            yield f.path.removeprefix(f"{base}/"), f.size, f.mtime_ns or 0, "file"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), length, modified, kind (file, symlink, other) of all below ``root``; no content is read. Each entry of the root is listed by a task."""
+    fs, base = file_system(root)
+    first = [f.base_name for f in fs.get_file_info(pf.FileSelector(base))]
+
+    def run(batches):
+        fs, base = file_system(root)
+        for batch in batches:
+            out = [row for entry in batch.column(0).to_pylist() for row in below(fs, base, entry)]
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "length", "modified", "kind"])
+
+    rows = spark.createDataFrame([(e,) for e in first], "entry string").repartition(max(1, min(len(first), spark.sparkContext.defaultParallelism)))
+    return rows.mapInArrow(run, "path string, length long, modified long, kind string").withColumn("modified", F.timestamp_micros(F.floor(F.col("modified") / 1000)))
+
+
+def stable_bytes(fs: pf.FileSystem, path: str) -> bytes | None:
+    """The content, if the file was the same before and after; None if it changed at each of TRIES."""
+    state = lambda: (i := fs.get_file_info(path)) and (i.type, i.size, i.mtime_ns)
+    for _ in range(TRIES):
+        before = state()
+        try:
+            with fs.open_input_file(path) as f:
+                content = f.read()
+        except FileNotFoundError:
+            continue
+        if state() == before:
+            return content
+    return None
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """path, content (null if the file is not stable), version, modified, length."""
+
+    def run(batches):
+        fs, base = file_system(root)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                content = [stable_bytes(fs, f"{base}/{p}") for p in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), part.column(1), part.column(2)], ["path", "content", "modified", "length"])
+
+    found = files.select("path", "modified", "length").mapInArrow(run, "path string, content binary, modified timestamp, length long")
+    return found.select("path", "content", F.sha2("content", 256).alias("version"), "modified", "length")
+
+
+def nested_rules(listed: DataFrame, root: str) -> list[Rule]:
+    """The rules of all ignore files, each with its folder: the repository's own exclusions, then from the root down, ``.ignore`` after ``.gitignore``."""
+    name = F.element_at(F.split("path", "/"), -1)
+    files = with_content(listed.where((name.isin(*IGNORE_FILES) & ~F.col("path").rlike(GIT)) | (F.col("path") == ".git/info/exclude")), root)
+    found = [(r.path.rpartition("/")[0], r.path.rpartition("/")[2], r.content or b"") for r in files.select("path", "content").collect()]  # a few small files
+    found = [("" if n == "exclude" else d, n, c) for d, n, c in found]
+    found.sort(key=lambda x: (x[1] != "exclude", x[0].count("/") + bool(x[0]), x[0], IGNORE_FILES.index(x[1]) if x[1] in IGNORE_FILES else 0))
+    return [(d, line) for d, _, c in found for line in c.decode("utf-8", "replace").splitlines()]
+
+
+def excluded_entries(listed: DataFrame) -> DataFrame:
+    """path, reason of what is never read: links, repository metadata, and what is no file."""
+    reason = F.when(F.col("path").rlike(GIT), "git_metadata_excluded").when(F.col("kind") == "symlink", "symlink_excluded").when(F.col("kind") != "file", "non_file_change")
+    return listed.select("path", reason.alias("reason")).where("reason is not null")
 
 
-def discover(spark: SparkSession, root: str, rules: list[str] = (), only: list[str] | None = None) -> DataFrame:
-    """path (relative), content, version, modified, length of the files below ``root``; ``only`` narrows to given paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), r"^.*?" + "".join("\\" + c if not c.isalnum() else c for c in root.split(":")[-1].strip("/")) + "/", "")
-    files = files.select(path.alias("path"), "content", F.sha2("content", 256).alias("version"), F.col("modificationTime").alias("modified"), "length")
-    files = files.where(~is_ignored(F.col("path"), list(rules)))
-    return files.where(F.col("path").isin(only)) if only is not None else files
+def discover(spark: SparkSession, root: str, rules: list[Rule] = (), only: list[str] | None = None) -> DataFrame:
+    """path (relative), content, version, modified, length of the files below ``root`` that neither ``rules`` nor the ignore files leave out; ``only`` narrows to given paths."""
+    listed = listing(spark, root)
+    every = [*rules, *nested_rules(listed, root)]
+    files = listed.where((F.col("kind") == "file") & ~is_ignored(F.col("path"), every))
+    return with_content(files.where(F.col("path").isin(only)) if only is not None else files, root)
 
 
 def changed(found: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -71,8 +167,10 @@ def is_binary(text: str) -> bool:
     return False
 
 
-def decode(content: bytes) -> tuple[str | None, str | None]:
-    """(text, None) or (None, reason): by byte order mark, else strict UTF-8."""
+def decode(content: bytes | None) -> tuple[str | None, str | None]:
+    """(text, None) or (None, reason): by byte order mark, else strict UTF-8. None is a file that did not keep still."""
+    if content is None:
+        return None, "unstable_source"
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if content.startswith(mark):
             content, codec = content[len(mark) :], name
@@ -153,5 +251,5 @@ def narrowed_changes(porcelain: list[str], diff: list[str]) -> set[str] | None:
     for line in porcelain:
         name = line[3:].strip()
         paths |= {part.strip().strip('"') for part in name.split(" -> ")} if name else set()
-    ignoring = (".gitignore", ".git/info/exclude")
+    ignoring = (".gitignore", ".ignore", ".git/info/exclude")
     return None if any(p.endswith(ignoring) for p in paths) else paths

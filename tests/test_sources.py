@@ -27,6 +27,39 @@ def test_decode(content, reason):
     assert P.decode(content)[1] == reason
 
 
+def test_discover_hidden_nested_and_links(spark, tmp_path):
+    files = {
+        "pkg/__init__.py": "a = 1\n", "_config.yml": "b", ".github/w.yml": "c", ".gitignore": "*.log\nbuild/\n", "pkg/.gitignore": "!keep.log\n/only.py\n", "pkg/keep.log": "k", "x.log": "no", "build/o.txt": "no", "pkg/only.py": "no",
+        "pkg/sub/only.py": "yes", ".ignore": "secret.txt\n", "secret.txt": "no", ".git/info/exclude": "local.txt\n", ".git/HEAD": "no", "local.txt": "no",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.py").symlink_to(tmp_path / "pkg/__init__.py")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    found = P.discover(spark, str(tmp_path))
+    assert sorted(r.path for r in found.select("path").collect()) == sorted([".github/w.yml", ".gitignore", ".ignore", "_config.yml", "pkg/.gitignore", "pkg/__init__.py", "pkg/keep.log", "pkg/sub/only.py"])
+    reasons = {(r.path, r.reason) for r in P.excluded_entries(P.listing(spark, str(tmp_path))).collect()}
+    assert {("link.py", "symlink_excluded"), ("loop", "symlink_excluded"), (".git/HEAD", "git_metadata_excluded")} <= reasons
+    assert [r.path for r in P.discover(spark, str(tmp_path), only=["_config.yml"]).collect()] == ["_config.yml"]
+
+
+def test_unstable_files():
+    class Growing:
+        n = 0
+
+        def get_file_info(self, path):
+            self.n += 1
+            return type("Info", (), {"type": 1, "size": self.n, "mtime_ns": 0})
+
+        def open_input_file(self, path):
+            import io
+
+            return io.BytesIO(b"x")
+
+    assert P.stable_bytes(Growing(), "p") is None and P.decode(None) == (None, "unstable_source")
+
+
 def test_discover(spark, tmp_path):
     for name, text in {"a.py": "x = 1\n", "skip/b.py": "y", "keep.log": "z", "drop.log": "z", ".git/config": "g", "deep/er/c.rs": "fn main() {}\n"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
