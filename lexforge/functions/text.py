@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 OCCURRENCE = rf"[{ALNUM}_.:/\\-]+"
 SEPARATORS = r"[-.:/\\]"
-#: A plain word: its only form is itself, folded.
-PLAIN = r"^\p{IsUppercase}?\p{IsLowercase}+$"
+#: A plain word's only form is itself, folded; one separator behind it makes the whole a second form.
+WORD = r"(?:\p{IsUppercase}?\p{IsLowercase}+|\p{IsUppercase}+|[0-9]+)"
+PLAIN, ENDED = rf"^{WORD}$", rf"^{WORD}[-.:/\\]$"
 BOUNDARY = r"_+|(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 LONG_BYTES = 256
 LONG_MARK = "\x00long:"
+#: Bytes of a text that its fields, but the body, and its declarations are taken from.
+FIELD_BYTES = 16_384
 
 #: The common folds that lower-casing alone does not make, and all of them by Unicode's full case folding.
 FOLDS = (("ß", "ss"), ("ſ", "s"), ("ς", "σ"))
@@ -54,7 +57,17 @@ def fold(text: Column) -> Column:
         common = F.replace(common, F.lit(a), F.lit(b))
     table = F.from_json(F.lit(json.dumps(RARE_FOLDS | dict(FOLDS))), "map<string, string>")
     rare = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.lower(c))), "")
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.rlike(f"[{''.join(RARE_FOLDS)}]"), rare).otherwise(common)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(F.length(F.translate(text, "".join(RARE_FOLDS), "")) < F.length(text), rare).otherwise(common)
+
+
+def bounded(text: Column) -> Column:
+    """The first FIELD_BYTES bytes, less a character that they cut."""
+    raw = F.encode(text, "UTF-8")
+    goes_on = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
+    cut = F.lit(FIELD_BYTES - 3)
+    for n in range(FIELD_BYTES - 2, FIELD_BYTES + 1):
+        cut = F.when(~goes_on(n), n).otherwise(cut)
+    return F.when(F.octet_length(text) <= FIELD_BYTES, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
 
 
 def digested(form: Column) -> Column:
@@ -77,7 +90,11 @@ def forms(occurrence: Column) -> Column:
     surface = F.when(shorter.rlike(SEPARATORS), shorter).otherwise(occurrence)
     whole = F.when(occurrence.rlike(SEPARATORS) & occurrence.rlike(rf"[{ALNUM}]"), F.array(fold(surface))).otherwise(F.array().cast("array<string>"))
     every = F.concat(F.flatten(F.transform(runs, run_forms)), whole)
-    return F.when(occurrence.rlike(PLAIN), F.array(fold(occurrence))).otherwise(F.transform(every, digested))
+    word = F.substring(occurrence, F.lit(1), F.length(occurrence) - 1)
+    return (
+        F.when(occurrence.rlike(PLAIN), F.array(digested(fold(occurrence)))).when(occurrence.rlike(ENDED), F.array(digested(fold(word)), digested(fold(occurrence))))
+        .otherwise(F.transform(every, digested))
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -86,9 +103,13 @@ def tokens(text: Column) -> Column:
 
 
 def term_frequencies(rows: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """key..., term, tf. Equal occurrences of a row are counted before their forms are worked out."""
+    """key..., term, tf. Equal occurrences of a row are counted before their forms are worked out.
+
+    The texts are dealt out by their key, once; both counts then find their rows together,
+    so neither occurrences nor terms, which are larger than the texts, are shuffled.
+    """
     keys = [key] if isinstance(key, str) else key
-    found = rows.select(*keys, F.explode(occurrences(F.col(text))).alias("occurrence")).groupBy(*keys, "occurrence").agg(F.count("*").alias("n"))
+    found = rows.select(*keys, text).repartition(*keys).select(*keys, F.explode(occurrences(F.col(text))).alias("occurrence")).groupBy(*keys, "occurrence").agg(F.count("*").alias("n"))
     return found.select(*keys, F.explode(forms(F.col("occurrence"))).alias("term"), "n").groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, term_frequencies
+from ..functions.text import bounded, fold, term_frequencies
 
 SCOPE = ["collection", "kind"]
 
@@ -90,8 +90,8 @@ def declared_symbols(text: Column) -> Column:
 
 
 def declarations(chunks: DataFrame) -> DataFrame:
-    """match_id, symbol: of project chunks only."""
-    return chunks.where("kind = 'project'").select("match_id", F.explode(declared_symbols(F.col("text"))).alias("symbol"))
+    """match_id, symbol: of project chunks only, within the bytes that fields are taken from."""
+    return chunks.where("kind = 'project'").select("match_id", F.explode(declared_symbols(bounded(F.col("text")))).alias("symbol"))
 
 
 def source_key(collection: Column, path: Column) -> Column:

@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import K1, ranker_idf, temporal_factor
-from ..functions.text import ALNUM, fold, fold_text, text_tokens
+from ..functions.text import ALNUM, bounded, fold, fold_text, text_tokens
 from .index import declared_symbols, symbol_of_line
 from .search import POOL, exact_path
 
 EXPANSION_RATIO, EXPANSION_ONLY, PROXIMITY_CAP = 0.35, 0.5, 0.15
 LAMBDA, OVERLAP, ADJACENT, SALIENT = 0.85, 0.8, 0.7, 128
-#: Bytes of a text that its fields, but the body, are taken from.
-FIELD_BYTES = 16_384
 
 #: Weight, length normalisation and mean length of each field (0: the corpus mean).
 PROJECT_FIELDS = {"symbol": (7.0, 0.0, 1.0), "signature": (4.0, 0.2, 24.0), "basename": (5.0, 0.0, 1.0), "path": (4.0, 0.0, 1.0), "doc_comment": (2.0, 0.5, 64.0), "comment": (1.5, 0.5, 64.0), "body": (1.0, 0.75, 0.0)}
@@ -43,16 +41,6 @@ class Options:
     mmr: bool = True
 
 
-def bounded(text: Column) -> Column:
-    """The first FIELD_BYTES bytes, less a character that they cut."""
-    raw = F.encode(text, "UTF-8")
-    goes_on = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
-    cut = F.lit(FIELD_BYTES - 3)
-    for n in range(FIELD_BYTES - 2, FIELD_BYTES + 1):
-        cut = F.when(~goes_on(n), n).otherwise(cut)
-    return F.when(F.octet_length(text) <= FIELD_BYTES, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
-
-
 def body_field() -> Column:
     """The name of a session chunk's body field, by its kind and role."""
     return (
@@ -261,4 +249,4 @@ def rerank(candidates: DataFrame, limit: int, options: Options = Options(), orig
     return candidates.groupBy("query_id").applyInPandas(group, RANKED)
 
 
-__all__ = ["Options", "PROJECT_FIELDS", "SESSION_FIELDS", "declared_symbols", "fold_text", "temporal_factor"]
+__all__ = ["Options", "bounded", "PROJECT_FIELDS", "SESSION_FIELDS", "declared_symbols", "fold_text", "temporal_factor"]

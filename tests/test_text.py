@@ -28,7 +28,7 @@ def test_surfaces():
 
 
 def test_column_twin(spark):
-    texts = [*VECTORS, "aBCd XMLHttpRequest2 éÉcole", "a.b.c- d::", None, "A" * 300]
+    texts = [*VECTORS, "aBCd XMLHttpRequest2 éÉcole", "a.b.c- d::", None, "A" * 300, "a" * 300 + " " + "b" * 300 + ".", "WORD word. Word: WORD- 12 12. ǅ ǅ. ª ªb", "ﬁle ŉx ΐ ᏸ İstanbul ΣΊΣΥΦΟΣ ẞ ſ ς", "x" * 255 + "é."]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = {}
     for r in T.term_frequencies(rows, "id", "text").collect():
