@@ -118,6 +118,8 @@ def per_row(df: DataFrame, columns: list[str | Column], schema: str, make: Calla
             if batch.num_rows:
                 out = rows(*[c.to_pylist() for c in batch.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
+        del rows
+        trim()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import GROUP, dealt, pairs_of, shared
-from .common import Recent, drop_stored, sliced, stored
+from .common import Recent, drop_stored, sliced, stored, trim
 from .components import components
 
 BANDS, ROWS = 28, 5
@@ -181,6 +181,8 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     b = mixed(b + least[k::ROWS])
                 bands.append(b.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(samples, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "mark", "n_shingles", "set_key", "samples", "sketch", "bands"])
+        del memo
+        trim()
 
     return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, mark long, n_shingles long, set_key binary, samples int, sketch binary, bands array<long>")
 
@@ -232,6 +234,8 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text_
                 batch = batch.filter(pa.array(keep))
             found = [shingle_set(t, words, memo).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+        del memo
+        trim()
 
     return stored(rows.mapInArrow(run, f"id {kind}, shingles binary"))
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held_out, labelled_sample, per_row, sliced
+from .common import Recent, held_out, labelled_sample, per_row, sliced, trim
 
 #: Labelled rows the classifier is fitted on, at most, and their characters; their texts come to the driver.
 TRAIN_ROWS, TRAIN_CHARS = 2_500, 40_000_000
@@ -152,5 +152,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             keep = [score_text(t or "", memo, bias) >= THRESHOLD for t in batch.column(position).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del memo
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held_out, labelled_sample, per_row, sliced
+from .common import Recent, held_out, labelled_sample, per_row, sliced, trim
 
 FLOOR = 0.02
 THRESHOLD = 0.7
@@ -314,5 +314,7 @@ def flagged_filter(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         for batch in sliced(batches):
             keep = [score_text(t or "", memo, machine)[0] < THRESHOLD for t in batch.column(position).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del memo
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
