@@ -3,7 +3,7 @@
 Its tables lie in one generation of a ``Versions`` folder. Postings, term statistics
 and declarations are clustered by a bucket of the term (CRC-32), so a look-up of a few
 terms reads a few buckets whatever the size of the index; within a bucket rows are
-dealt by ranges of term and match, so a term that every chunk holds is no single task.
+dealt by match and sorted by term, so a term that every chunk holds is no single task.
 """
 
 from __future__ import annotations
@@ -67,13 +67,15 @@ class Index:
         eligible = kept.where("eligible")
         dealt = eligible.repartition(partitions) if partitions else eligible
         new = versions.next()
+        parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
 
         def write(name: str, rows: DataFrame, clustered: str | None = None) -> DataFrame:
             path = versions.path(new, name)
             if clustered:
                 rows = rows.withColumn("bucket", bucket(F.col(clustered)))
-                by = [c for c in ("bucket", clustered, "match_id") if c in rows.columns]
-                rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("bucket").parquet(path)
+                # a bucket is dealt out by match (or term) over as many tasks as there are partitions for it
+                spread = F.pmod(F.xxhash64("match_id" if "match_id" in rows.columns else clustered), F.lit(parts))
+                rows.repartition("bucket", spread).sortWithinPartitions("bucket", clustered).write.mode("overwrite").partitionBy("bucket").parquet(path)
             else:
                 rows.write.mode("overwrite").parquet(path)
             return spark.read.schema(rows.schema).parquet(path)
