@@ -7,7 +7,10 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators import published
+from lexforge.operators.index import unreachable_terms
 from lexforge.plans import catalog
+from lexforge.plans.queries_search import Built, asked
 
 CHARS = [chr(i) for i in range(0x2200) if re.match(f"[{T.TWIN}]", chr(i))]
 
@@ -52,3 +55,36 @@ def test_terms_are_not_shuffled(spark, sf):
         text = plan(catalog.queries()[name](spark, sf))
         assert "Exchange" not in text and "Aggregate" not in text, name
     assert plan(catalog.queries()["incremental_stats"](spark, sf)).count("Aggregate") <= 10
+
+
+def rows_of(spark, docs):
+    rows = [(str(i), "c", "project", f"src/{i}.rs", f"k{i}", d) for i, d in enumerate(docs)]
+    return spark.createDataFrame(rows, "match_id string, collection string, kind string, path string, source_key string, text string")
+
+
+def test_scores_are_dealt_out_by_match(spark):
+    """Terms of many queries meet postings that already lie by match: no exchange of (query, match)."""
+    built = Built(rows_of(spark, ["a b c", "b c d", "x"]), ("c", "project"))
+    hits = built.hits(asked(spark, [(1, "a b b"), (2, "c d")]))
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, match_id", plan(hits)) and len(hits.collect()) == 4
+
+
+def test_tasks_follow_the_texts(spark, monkeypatch):
+    rows = rows_of(spark, ["a" * 100] * 30)
+    assert published.tasks_for(rows) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(published, "TASK_BYTES", 100)
+    assert published.tasks_for(rows) == 30 and published.tasks_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_neighbours_are_shuffled_once(spark, sf):
+    assert plan(catalog.queries()["weighted_jaccard"](spark, sf)).count("Exchange") == 1
+
+
+def test_fields_do_not_read_texts_again(spark, sf):
+    assert "text" not in "".join(re.findall(r"ReadSchema: \S+", plan(catalog.queries()["field_scores_project"](spark, sf))))
+
+
+def test_vocabulary_is_looked_up_first(spark):
+    posted = spark.createDataFrame([("a",), ("b",), ("b",)], "term string")
+    found = unreachable_terms(spark.createDataFrame([("b",), ("c",)], "term string"), posted)
+    assert "LeftSemi" in plan(found) and [r.term for r in found.collect()] == ["c"]
