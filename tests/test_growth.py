@@ -76,6 +76,26 @@ def test_tasks_follow_the_texts(spark, monkeypatch):
     assert published.tasks_for(rows) == 30 and published.tasks_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
 
 
+def sorted_by_task(spark, tmp_path, monkeypatch, docs, **bounds) -> list[int]:
+    """Postings that each task of a build sorts, by the files it writes."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(published, name, value, raising=False)
+    posted = published.Index.publish(rows_of(spark, docs), f"file://{tmp_path}/index", texts=False).postings
+    task = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    return [r["count"] for r in posted.groupBy(task.alias("task")).count().collect()]
+
+
+def test_tasks_of_an_index_are_even(spark, tmp_path, monkeypatch):
+    docs = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(40)]
+    size = sum(map(len, docs)) // 128
+    found = sorted_by_task(spark, tmp_path, monkeypatch, docs, TASK_BYTES=size, SORT_BYTES=size)
+    assert max(found) <= 2.5 * sum(found) / 128
+
+
+def test_a_term_of_every_chunk_is_dealt_out(spark, tmp_path, monkeypatch):
+    assert max(sorted_by_task(spark, tmp_path, monkeypatch, ["the"] * 80, SORT_CHUNKS=20)) <= 40
+
+
 def test_neighbours_are_shuffled_once(spark, sf):
     assert plan(catalog.queries()["weighted_jaccard"](spark, sf)).count("Exchange") == 1
 
