@@ -96,6 +96,14 @@ def test_a_term_of_every_chunk_is_dealt_out(spark, tmp_path, monkeypatch):
     assert max(sorted_by_task(spark, tmp_path, monkeypatch, ["the"] * 80, SORT_CHUNKS=20)) <= 40
 
 
+def test_texts_of_many_tasks_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Tasks that keep postings in memory as they shuffle them make those of TASK_BYTES."""
+    splits, made = [], published.I.postings
+    monkeypatch.setattr(published.I, "postings", lambda rows: splits.append(rows.rdd.getNumPartitions()) or made(rows))
+    sizes = sorted_by_task(spark, tmp_path, monkeypatch, ["a" * 100] * 60, TASK_BYTES=400, SORT_BYTES=100, MERGED=40)
+    assert sum(sizes) == 60 and splits[0] >= 15
+
+
 def test_neighbours_are_shuffled_once(spark, sf):
     assert plan(catalog.queries()["weighted_jaccard"](spark, sf)).count("Exchange") == 1
 
